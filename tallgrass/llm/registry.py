@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallgrass.llm.chat import OP4_SQL, op4_chat_formatting
 from tallgrass.llm.decontaminate import op3_decontamination
+from tallgrass.llm.packing import op5_sequence_packing
 from tallgrass.llm.quality import op10_tokenizer_fertility
 from tallgrass.llm.secrets import op9_secret_scan
 from tallgrass.llm.simhash import op1_simhash_near_dedup
+from tallgrass.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
         op3_decontamination,
+        op4_chat_formatting,
+        op5_sequence_packing,
+        op7_toxicity,
         op9_secret_scan,
         op10_tokenizer_fertility,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4_SQL}

@@ -36,6 +36,15 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def escaped_role(role: Column) -> Column:
+    """A role ends at the first line break, so its own become ``<\\n``."""
+    return F.replace(escaped(role), F.lit("\n"), F.lit("<\\n"))
+
+
+def unescaped_role(role: Column) -> Column:
+    return unescaped(F.replace(role, F.lit("<\\n"), F.lit("\n")))
+
+
 def text_part(text: Column) -> Column:
     """A message of text only, as a list of one part."""
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens")))
@@ -71,7 +80,7 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.transform(
             "turns",
             lambda t: F.array(
-                piece(F.concat(F.lit(START), escaped(t["role"]), F.lit("\n")), F.lit(False)),
+                piece(F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n")), F.lit(False)),
                 piece(t["content"], t["role"].isin(*loss_roles)),
                 piece(F.lit(f"{END}\n"), F.lit(False)),
             ),
@@ -94,7 +103,7 @@ def read_back(formatted: Column) -> Column:
     def turn(block: Column) -> Column:
         inner = F.split_part(block, F.lit(END), F.lit(1))
         at = F.instr(inner, "\n")
-        return F.struct(unescaped(F.left(inner, at - 1)).alias("role"), unescaped(F.substr(inner, at + 1)).alias("text"))
+        return F.struct(unescaped_role(F.left(inner, at - 1)).alias("role"), unescaped(F.substr(inner, at + 1)).alias("text"))
 
     return F.transform(blocks, turn)
 

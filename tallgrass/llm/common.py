@@ -14,17 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the reliable checkpoint folder that the whole cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the whole cluster shares.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; a temporary one is
-    made only where the setting is missing (single-machine tests).
+    The cluster names it in ``spark.checkpoint.dir``; a temporary one is made only
+    where the setting is missing (single-machine tests).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallgrass-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallgrass-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -11,6 +11,7 @@ from tallgrass.llm.decontaminate import op3_decontamination
 from tallgrass.llm.packing import op5_sequence_packing
 from tallgrass.llm.quality import op10_tokenizer_fertility
 from tallgrass.llm.secrets import op9_secret_scan
+from tallgrass.llm.sharding import OP8_SQL, op8_size_tiered_sharding
 from tallgrass.llm.simhash import op1_simhash_near_dedup
 from tallgrass.llm.toxicity import op7_toxicity
 
@@ -22,8 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_chat_formatting,
         op5_sequence_packing,
         op7_toxicity,
+        op8_size_tiered_sharding,
         op9_secret_scan,
         op10_tokenizer_fertility,
     )
 }
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op8_size_tiered_sharding": OP8_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.llm.chat import OP4_SQL, op4_chat_formatting
 from tallgrass.llm.decontaminate import op3_decontamination
+from tallgrass.llm.html import op2_html_extraction
 from tallgrass.llm.packing import op5_sequence_packing
 from tallgrass.llm.quality import op10_tokenizer_fertility
 from tallgrass.llm.secrets import op9_secret_scan
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_html_extraction,
         op3_decontamination,
         op4_chat_formatting,
         op5_sequence_packing,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallgrass.llm.chat import OP4_SQL, op4_chat_formatting
 from tallgrass.llm.decontaminate import op3_decontamination
 from tallgrass.llm.html import op2_html_extraction
+from tallgrass.llm.mixing import op6_context_mixing
 from tallgrass.llm.packing import op5_sequence_packing
 from tallgrass.llm.quality import op10_tokenizer_fertility
 from tallgrass.llm.secrets import op9_secret_scan
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_decontamination,
         op4_chat_formatting,
         op5_sequence_packing,
+        op6_context_mixing,
         op7_toxicity,
         op8_size_tiered_sharding,
         op9_secret_scan,

@@ -1,4 +1,324 @@
-"""The registered queries of the library, with the same question in SQL where SQL has the means."""
+"""The registered queries of the library, with the same question in SQL where SQL has the means.
 
-QUERIES = {}
-ORACLES = {}
+Tables stand in for records: a document is a record whose question is its text and whose answer is its source,
+benchmark items are needles, events are a change log, conversations are ordered lines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallgrass.functions import rules
+from tallgrass.functions import text as T
+from tallgrass.operators import dedupe, extract, lookup, merge, rollup
+from tallgrass.streaming.capture import capture_events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keyed(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return read(spark, sf_dir, name).withColumn("key", T.key("text"))
+
+
+# The key of a text in SQL. Its regular expressions have no look-behind, so pair rules run twice; NFKC and formula
+# commands are left out, as SQL has no means for them, and the tables hold no text that they change.
+_DASH = r"[\-‐‑‒–—―−]"
+_QUOTES = (rules.DOUBLE_QUOTES + rules.SINGLE_QUOTES).replace("'", "''")
+_UNIFIED = ('"' * len(rules.DOUBLE_QUOTES) + "'" * len(rules.SINGLE_QUOTES)).replace("'", "''")
+_SP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}" + rules.BLANK_GLYPHS + "]"
+
+
+def _sql_norm(text: str) -> str:
+    out = f"coalesce({text}, '')"
+    for _ in range(2):
+        out = rf"regexp_replace({out}, '(\p{{L}}){_DASH}(\p{{L}})', '\1\2', 'g')"
+    out = f"translate(translate({out}, '{rules.DASHES}', '{'-' * len(rules.DASHES)}'), '{_QUOTES}', '{_UNIFIED}')"
+    out = rf"regexp_replace({out}, '\$\$([^$\n]{{1,400}})\$\$|\$([^$\n]{{1,120}})\$', ' \1\2 ', 'g')"
+    out = f"replace(replace({out}, '{{', ''), '}}', '')"
+    for _ in range(2):
+        out = rf"regexp_replace({out}, '([\p{{L}}\p{{N}}]){_SP}*[_^]{_SP}*([\p{{L}}\p{{N}}])', '\1\2', 'g')"
+    return f"lower(trim(regexp_replace({out}, '{_SP}+', ' ', 'g')))"
+
+
+def _sql_key(text: str) -> str:
+    return rf"trim(regexp_replace({_sql_norm(text)}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+
+
+_KEYED = f"keyed AS (SELECT *, {_sql_key('text')} AS key FROM documents)"
+_NEEDLES = f"needles AS (SELECT item_id, key, replace(key, ' ', '') AS solid FROM (SELECT item_id, {_sql_key('text')} AS key FROM benchmark))"
+_PAGES = f"pages_ AS (SELECT doc_id, key, replace(key, ' ', '') AS solid FROM (SELECT doc_id, {_sql_key('text')} AS key FROM documents))"
+
+
+@query(f"SELECT doc_id, md5({_sql_norm('text')}) AS norm_md5, md5({_sql_key('text')}) AS key_md5, length(replace({_sql_key('text')}, ' ', '')) >= 12 AS usable FROM documents")
+def norm_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(T.norm("text")).alias("norm_md5"), F.md5(T.key("text")).alias("key_md5"), T.solid_usable(T.solid("text")).alias("usable"))
+
+
+@query(f"WITH {_KEYED} SELECT max(doc_id) AS doc_id, min(doc_id) AS pos, md5(key) AS key_md5 FROM keyed WHERE key <> '' GROUP BY key")
+def key_dedupe_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dedupe_last(keyed(spark, sf_dir).select("doc_id", "key"), "key", "doc_id").select("doc_id", "pos", F.md5("key").alias("key_md5"))
+
+
+@query(f"WITH {_KEYED}, w AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY key ORDER BY doc_id) AS kept FROM keyed WHERE key <> '') SELECT doc_id AS dropped, kept FROM w WHERE kept IS NOT NULL")
+def key_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.replaced_pairs(keyed(spark, sf_dir).select("doc_id", "key"), "key", "doc_id").select("dropped", "kept")
+
+
+@query(
+    f"""WITH {_KEYED}, j AS (SELECT k.doc_id, k.key, k.source, l.quality FROM keyed k LEFT JOIN labels l USING (doc_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id DESC) AS n,
+      first_value(quality IGNORE NULLS) OVER (PARTITION BY key ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS other FROM j)
+    SELECT doc_id, source, coalesce(quality, other) AS quality FROM r WHERE n = 1"""
+)
+def dedupe_with_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = keyed(spark, sf_dir).select("doc_id", "key", "source").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return dedupe.dedupe_in_place(rows, "key", "doc_id", ["quality"]).select("doc_id", "source", "quality")
+
+
+@query(f"WITH {_KEYED} SELECT md5(key) AS key_md5, array_to_string(list(doc_id ORDER BY doc_id), ',') AS places, count(*) AS n FROM keyed GROUP BY key HAVING count(*) > 1")
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = dedupe.duplicate_groups(keyed(spark, sf_dir), "key", "doc_id")
+    return groups.select(F.md5("key").alias("key_md5"), F.array_join(F.col("places").cast("array<string>"), ",").alias("places"), "n")
+
+
+@query(f"WITH {_KEYED}, c AS (SELECT count(*) AS n FROM keyed GROUP BY key) SELECT count(*) FILTER (WHERE n > 1) AS groups, CAST(sum(n - 1) AS BIGINT) AS removed, count(*) AS stay FROM c")
+def surplus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.surplus(keyed(spark, sf_dir), "key")
+
+
+@query(f"WITH {_KEYED} SELECT doc_id, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY key) AS n, doc_id = max(doc_id) OVER (PARTITION BY key) AS keep FROM keyed")
+def dup_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.ordinals(keyed(spark, sf_dir).select("doc_id", "key"), "key", "doc_id").select("doc_id", "k", "n", "keep")
+
+
+@query(f"WITH {_KEYED} SELECT doc_id FROM keyed WHERE key IN (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(*) > 1)")
+def double_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.double_keys(keyed(spark, sf_dir).select("doc_id", "key"), "key").select("doc_id")
+
+
+@query(f"WITH {_KEYED} SELECT md5(key) AS key_md5, count(DISTINCT source) AS answers FROM keyed GROUP BY key HAVING count(DISTINCT source) > 1")
+def ambiguous_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.ambiguous_keys(keyed(spark, sf_dir), "key", "source").select(F.md5("key").alias("key_md5"), "answers")
+
+
+@query(f"WITH {_KEYED}, w AS (SELECT doc_id AS dropped, lead(doc_id) OVER w AS kept, source AS old, lead(source) OVER w AS new FROM keyed WHERE key <> '' WINDOW w AS (PARTITION BY key ORDER BY doc_id)) SELECT dropped, kept, old, new FROM w WHERE kept IS NOT NULL AND old IS DISTINCT FROM new")
+def clash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.clashes(keyed(spark, sf_dir), "key", "doc_id", "source").drop("key")
+
+
+@query(f"WITH {_KEYED} SELECT count(*) AS records, count(DISTINCT key) FILTER (WHERE key <> '') AS keys, count(*) FILTER (WHERE key = '') AS empty FROM keyed")
+def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.key_audit(keyed(spark, sf_dir), "key")
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events of a user are answers in order; the first third of all is the base, and a page in ``props`` is the link."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("answer"), F.when(F.col("event_id") % 4 == 0, F.get_json_object("props", "$.k")).alias("link"))
+    return events.filter("ord % 3 = 0"), events.filter("ord % 3 <> 0")
+
+
+_MARKED = """rows_ AS (SELECT user_id AS key, event_id AS ord, event_type AS answer, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k') END AS link,
+    CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS src FROM events),
+  taking AS (SELECT * FROM (SELECT *, max(CASE WHEN src = 0 THEN ord END) OVER (PARTITION BY key) AS last_base FROM rows_) WHERE src = 1 OR ord = last_base),
+  marked AS (SELECT *, row_number() OVER w AS nth, (row_number() OVER w = 1) OR answer IS DISTINCT FROM lag(answer) OVER w AS start,
+    coalesce(link, '') <> '' AND count(CASE WHEN coalesce(link, '') <> '' THEN 1 END) OVER (PARTITION BY key ORDER BY src, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0 AS first_link
+    FROM taking WINDOW w AS (PARTITION BY key ORDER BY src, ord)),
+  merged AS (SELECT key, arg_max(answer, nth) FILTER (WHERE start) AS answer, arg_max(ord, nth) FILTER (WHERE start) AS ord,
+    coalesce(arg_max(link, nth) FILTER (WHERE start AND coalesce(link, '') <> ''), arg_min(link, nth) FILTER (WHERE coalesce(link, '') <> '')) AS link,
+    min(src) = 1 AS is_new, arg_min(ord, nth) AS pos,
+    count(*) FILTER (WHERE nth > 1 AND (start OR first_link)) AS n_updates, count(*) FILTER (WHERE nth > 1 AND NOT start AND NOT first_link) AS n_same
+    FROM marked GROUP BY key)"""
+
+
+@query(f"WITH {_MARKED} SELECT * FROM merged")
+def ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.ordered_merge(*_changes(spark, sf_dir), "key", "ord", "answer", ["link"])
+
+
+@query(f"WITH {_MARKED} SELECT count(*) FILTER (WHERE is_new) AS added, CAST(sum(n_updates) AS BIGINT) AS updated, CAST(sum(n_same) AS BIGINT) AS same, count(*) AS total FROM merged")
+def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_report(merge.ordered_merge(*_changes(spark, sf_dir), "key", "ord", "answer", ["link"]))
+
+
+@query("SELECT event_id AS ord FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events WHERE event_id % 3 = 0) WHERE event_id < last")
+def merge_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.superseded(_changes(spark, sf_dir)[0], "key", "ord").select("ord")
+
+
+def _last_by_user(events: DataFrame) -> DataFrame:
+    return events.groupBy("key").agg(F.max("ord").alias("ord"), F.max_by("answer", "ord").alias("answer"))
+
+
+@query("WITH b AS (SELECT user_id AS key, max(event_id) AS ord FROM events WHERE event_id % 7 = 0 GROUP BY 1), i AS (SELECT user_id AS key, max(event_id) AS ord FROM events WHERE event_id % 7 <> 0 GROUP BY 1) SELECT * FROM b UNION ALL SELECT * FROM i WHERE key NOT IN (SELECT key FROM b WHERE key IS NOT NULL)")
+def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("answer"))
+    return merge.append_new(_last_by_user(events.filter("ord % 7 = 0")), _last_by_user(events.filter("ord % 7 <> 0")), "key").select("key", "ord")
+
+
+@query("WITH b AS (SELECT user_id AS key, max(event_id) AS ord FROM events WHERE event_id % 7 = 0 GROUP BY 1), i AS (SELECT user_id AS key, max(event_id) AS ord FROM events WHERE event_id % 7 <> 0 GROUP BY 1) SELECT coalesce(i.key, b.key) AS key, coalesce(i.ord, b.ord) AS ord FROM b FULL JOIN i ON b.key = i.key")
+def refresh_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("answer"))
+    return merge.refresh(_last_by_user(events.filter("ord % 7 = 0")), _last_by_user(events.filter("ord % 7 <> 0")), "key").select("key", "ord")
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return lookup.forms(read(spark, sf_dir, "documents"), "doc_id", "text"), lookup.forms(read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+_HITS = f"""{_PAGES}, {_NEEDLES}, hits AS (SELECT doc_id AS page_id, item_id AS needle_id, CAST(CASE WHEN contains(p.key, n.key) THEN length(n.key) ELSE length(n.solid) END AS BIGINT) AS score
+  FROM pages_ p JOIN needles n ON n.key <> '' AND (contains(p.key, n.key) OR (length(n.solid) >= 12 AND contains(p.solid, n.solid))))"""
+
+
+@query(f"WITH {_HITS} SELECT page_id, arg_min(needle_id, (-score, needle_id)) AS needle_id, max(score) AS score FROM hits GROUP BY page_id")
+def contains_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.contains_lookup(*_sides(spark, sf_dir))
+
+
+@query(f"WITH {_HITS} SELECT * FROM hits")
+def contains_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.containment_pairs(*_sides(spark, sf_dir))
+
+
+_PART_ROWS = rf"parts AS (SELECT item_id, part, key, replace(key, ' ', '') AS solid FROM (SELECT item_id, part, {_sql_key('text')} AS key FROM (SELECT item_id, 0 AS part, split_part(text, '.', 1) AS text FROM benchmark UNION ALL SELECT item_id, 1, split_part(text, '.', 2) FROM benchmark)) WHERE key <> '')"
+
+
+@query(
+    f"""WITH {_PAGES}, {_PART_ROWS}, hits AS (SELECT doc_id, item_id, CASE WHEN contains(p.key, n.key) THEN length(n.key) ELSE length(n.solid) END AS score FROM pages_ p JOIN parts n
+      ON contains(p.key, n.key) OR (length(n.solid) >= 12 AND contains(p.solid, n.solid))),
+    wanted AS (SELECT item_id, count(*) AS n FROM parts GROUP BY item_id)
+    SELECT h.doc_id AS page_id, h.item_id AS needle_id, CAST(sum(score) AS BIGINT) AS score FROM hits h JOIN wanted w USING (item_id) GROUP BY h.doc_id, h.item_id, w.n HAVING count(*) = w.n"""
+)
+def composite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.slice(F.split("text", r"\."), 1, 2)).alias("part", "text"))
+    needles = lookup.forms(parts.withColumn("id", F.struct("item_id", "part")), "id", "text").filter("key <> ''").select("id.item_id", "id.part", "key", "solid").withColumnRenamed("item_id", "id")
+    return lookup.composite_pairs(_sides(spark, sf_dir)[0], needles)
+
+
+_DICE = f"""{_PAGES}, {_NEEDLES}, pw AS (SELECT doc_id, list_distinct(list_filter(string_split(key, ' '), w -> w <> '')) AS words FROM pages_),
+  nw AS (SELECT item_id, list_distinct(list_filter(string_split(key, ' '), w -> w <> '')) AS words FROM needles WHERE key <> ''),
+  pe AS (SELECT doc_id, len(words) AS n, unnest(words) AS w FROM pw), ne AS (SELECT item_id, len(words) AS n, unnest(words) AS w FROM nw),
+  shared AS (SELECT doc_id, item_id, 2.0::DOUBLE * count(*) / (first(pe.n) + first(ne.n)) AS dice FROM pe JOIN ne USING (w) GROUP BY doc_id, item_id),
+  every AS (SELECT d.doc_id, i.item_id, coalesce(s.dice, 0) AS dice FROM pw d CROSS JOIN nw i LEFT JOIN shared s ON s.doc_id = d.doc_id AND s.item_id = i.item_id),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, item_id) AS rank FROM every)"""
+
+
+@query(f"WITH {_DICE} SELECT doc_id AS page_id, item_id AS needle_id, dice, rank FROM ranked WHERE rank <= 5")
+def dice_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.dice_shortlist(*_sides(spark, sf_dir))
+
+
+@query()
+def approx_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.approx_lookup(*_sides(spark, sf_dir)).drop("near")
+
+
+@query()
+def lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.lookup_cascade(*_sides(spark, sf_dir))
+
+
+@query("""WITH g AS (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS record FROM conversations WHERE role IN ('user', 'assistant'))
+  SELECT conv_id, min(turn) FILTER (WHERE role = 'user') AS pos, md5(max(text) FILTER (WHERE role = 'user')) AS question_md5, md5(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant')) AS answers_md5
+  FROM g WHERE record > 0 GROUP BY conv_id, record HAVING count(*) FILTER (WHERE role = 'assistant' AND text <> '') > 0 AND max(text) FILTER (WHERE role = 'user') <> ''""")
+def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = read(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    rows = turns.withColumn("opens", F.col("role") == "user").withColumn("record", F.count_if("opens").over(w)).filter("record > 0")
+    pairs = extract.grouped_answers(rows, ["conv_id", "record"], "turn", "text")
+    return pairs.select("conv_id", "pos", F.md5("question").alias("question_md5"), F.md5(F.array_join("answers", "\n")).alias("answers_md5"))
+
+
+@query("SELECT conv_id, turn, md5(last_value(CASE WHEN role = 'user' AND length(text) >= 60 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS context_md5 FROM conversations")
+def preceding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = extract.preceding_context(rows, "conv_id", "turn", "text", (F.col("role") == "user") & (F.length("text") >= extract.SCENARIO_LENGTH))
+    return found.select("conv_id", "turn", F.md5("context").alias("context_md5"))
+
+
+@query(r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '(\p{L}+(?:-\p{L}+)?)', 1)) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+  h AS (SELECT replace(w, '-', '') AS joined, min(w) AS hyphenated, CAST(sum(n) AS BIGINT) AS n_hyphen FROM c WHERE contains(w, '-') GROUP BY 1)
+  SELECT h.joined, hyphenated, c.n AS n_plain, n_hyphen FROM h JOIN c ON c.w = h.joined""")
+def hyphen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.hyphen_candidates(read(spark, sf_dir, "documents"), "text")
+
+
+@query(f"SELECT p_partkey, p_name FROM part WHERE contains({_sql_norm('p_name')}, {_sql_norm(chr(39) + 'RED' + chr(39))})")
+def substring_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").filter(T.norm("p_name").contains(T.norm(F.lit("RED")))).select("p_partkey", "p_name")
+
+
+@query(rf"WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{_SP}+', ' ', 'g')) AS one FROM documents) SELECT doc_id, CASE WHEN length(one) <= 80 THEN one ELSE substr(one, 1, 79) || '…' END AS brief FROM t")
+def brief_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.brief("text").alias("brief"))
+
+
+@query("SELECT event_id, CASE WHEN contains(event_type, 'purchase') OR contains(event_type, 'error') THEN 'wrong' WHEN contains(event_type, 'view') THEN 'partial' WHEN contains(event_type, 'click') THEN 'correct' ELSE 'unknown' END AS status FROM events")
+def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", T.status_of("event_type", "purchase|error", "view", "click").alias("status"))
+
+
+@query("SELECT event_id, CASE WHEN coalesce(json_extract_string(props, '$.type'), '') <> '' THEN json_extract_string(props, '$.type') WHEN json_type(props) = 'OBJECT' THEN 'crossword' ELSE 'plain' END AS kind FROM events")
+def record_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallgrass.functions import records
+
+    events = read(spark, sf_dir, "events").withColumn("answer", F.try_parse_json("props"))
+    return events.select("event_id", records.record_kind(F.get_json_object("props", "$.type"), F.col("answer")).alias("kind"))
+
+
+@query('SELECT event_type AS "class", count(*) AS n FROM events GROUP BY 1')
+def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.class_histogram(read(spark, sf_dir, "events"), "event_type")
+
+
+@query("""WITH f AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)
+  SELECT event_type AS verdict, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ', ' ORDER BY k) FILTER (WHERE k <= 3) AS labels, greatest(count(*) - 3, 0) AS more FROM f GROUP BY 1""")
+def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.verdict_rollup(read(spark, sf_dir, "events"), "event_type", "event_id", "event_id")
+
+
+@query("SELECT user_id, CASE WHEN bool_and(value > 50) THEN 'all' WHEN bool_and(NOT value > 50) THEN 'none' ELSE 'mixed' END AS state FROM events GROUP BY user_id")
+def all_none_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(rollup.overall_state(F.col("value") > 50).alias("state"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_link_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.get_json_object("props", "$.k")
+    return read(spark, sf_dir, "events").select("event_id", link.alias("k")).filter("k IS NOT NULL")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a ')) AS n_links, len(regexp_extract_all(html, '<li>')) AS n_items, len(regexp_extract_all(html, '<p>')) AS n_paragraphs FROM pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.link_count(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def page_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.control_groups(extract.page_controls(read(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS start FROM events)
+  SELECT user_id AS key, arg_max(event_type, event_id) FILTER (WHERE start) AS answer, max(event_id) FILTER (WHERE start) AS ord, min(event_id) AS pos FROM r GROUP BY user_id""")
+def capture_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_events(spark, sf_dir)

@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def substring_distance(needle: str, text: str, budget: int) -> int:
     """Least edits from ``needle`` to a run of whole words of ``text``.
 
-    Only comparisons with ``budget`` are meaningful: a distance beyond it may come out as any larger number.
+    A run's first letter stands against a letter of the needle, it is not inserted. Only comparisons with ``budget`` are meaningful: a distance beyond it may come out as any larger number.
     One row of the table at a time is computed; insertions along a row are a running minimum.
     """
     n, m = len(needle), len(text)
@@ -21,18 +22,23 @@ def substring_distance(needle: str, text: str, budget: int) -> int:
         return n if n else 0
     letters = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     starts = np.concatenate([[True], letters == 32])
-    along = np.arange(m + 1)
-    row = np.where(starts, 0, budget + 1)
+    small = np.int16 if m + n + budget < 32_000 else np.int32
+    along = np.arange(m + 1, dtype=small)
+    row = np.where(starts, 0, budget + 1).astype(small)
     for i, letter in enumerate(np.frombuffer(needle.encode("utf-32-le"), np.uint32), 1):
-        best = np.minimum(np.append(i, row[:-1] + (letters != letter)), row + 1)
-        row = np.minimum.accumulate(best - along) + along
+        best = row + small(1)
+        np.minimum(best[1:], row[:-1] + (letters != letter), out=best[1:])
+        best[0] = i
+        best -= along
+        row = np.minimum.accumulate(best, out=best)
+        row += along
         if row.min() > budget:
             return int(row.min())
     ends = np.append(letters == 32, True)
     return int(min(budget + 1, row[ends].min()))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _distances(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for needles, texts, budgets in batches:
         yield pd.Series([None if a is None or b is None else substring_distance(a, b, int(k)) for a, b, k in zip(needles, texts, budgets, strict=True)], dtype="Int32")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallgrass.functions import rules
 from tallgrass.functions.text import brief
@@ -56,7 +57,7 @@ def _compared(rule):  # noqa: ANN001, ANN202
             return json.dumps({k: [plain(x) for x in v] if isinstance(v, list) else plain(v) for k, v in sorted(value.items())}, ensure_ascii=False)
         return plain(value)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(form)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallgrass.functions import rules
 
@@ -22,7 +23,7 @@ ELLIPSIS = "…"
 
 
 def _by_rule(rule):  # noqa: ANN001, ANN202
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(rule, na_action="ignore")
@@ -126,9 +127,9 @@ def plural(n: Column, one: str, few: str, many: str) -> Column:
 
 
 def unquote(text: Column | str) -> Column:
-    """Without one pair of equal quotes around."""
+    """Without one pair of equal quotes around, and without outer spaces."""
     t = F.trim(_c(text))
-    return F.when(t.rlike(r"""(?s)^".*"$|^'.*'$""") & (F.length(t) >= 2), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    return F.when(t.rlike(r"""(?s)^".*"$|^'.*'$""") & (F.length(t) > 1), F.trim(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
 
 
 def crossword_word(text: Column | str) -> Column:
@@ -141,16 +142,17 @@ def item_number(text: Column | str) -> Column:
 
 
 def trim_ellipsis(text: Column | str) -> Column:
-    """Without one closing ellipsis, and the spaces and commas before it."""
+    """Without one closing ellipsis, outer spaces, and the commas before it."""
     t = _c(text)
-    return F.when(t.endswith(ELLIPSIS), F.regexp_replace(F.rtrim(F.regexp_replace(t, f"{ELLIPSIS}$", "")), ",+$", "")).otherwise(t)
+    bare = F.trim(F.rtrim(F.trim(F.left(t, F.length(t) - 1)), F.lit(",")))
+    return F.when(t.endswith(ELLIPSIS), bare).otherwise(t)
 
 
 def scenario_fragment(text: Column | str, limit: int = 60) -> Column:
-    """The beginning of a text up to a word border, without ``...`` and closing punctuation."""
-    t = F.trim(F.replace(_c(text), F.lit("..."), F.lit("")))
-    cut = F.when(F.length(t) > limit, F.regexp_replace(F.left(t, F.lit(limit)), r"\s\S*$", "")).otherwise(t)
-    return F.regexp_replace(cut, r"^[\s.,;:!?\-–—]+|[\s.,;:!?\-–—]+$", "")
+    """The beginning of a text, less its last word where there is more than one, without ``...`` and outer punctuation."""
+    one = F.trim(F.regexp_replace(F.replace(_c(text), F.lit("..."), F.lit(" ")), r"(?U)\s+", " "))
+    cut = F.regexp_replace(F.left(one, F.lit(limit)), r" [^ ]*$", "")
+    return F.trim(F.btrim(cut, F.lit(" .,;:—-–")))
 
 
 def status_of(text: Column | str, wrong: str, partial: str, correct: str) -> Column:
@@ -162,7 +164,7 @@ def status_of(text: Column | str, wrong: str, partial: str, correct: str) -> Col
 def decode_fallback(raw: Column) -> Column:
     """Bytes in the first of UTF-8, cp866 and cp1251 that reads them, else UTF-8 with marks."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(data: bytes) -> str:
             for name in ("utf-8", "cp866", "cp1251"):

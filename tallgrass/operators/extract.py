@@ -9,12 +9,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tallgrass.functions import text as T
 
 # The marks of question and answer lines, lengths and limits.
 QUESTION_MARK, ANSWER_MARK = "•", "+"
 SCENARIO_LENGTH, CONTEXT_BUDGET = 60, 3000
+HYPHENATED = "([а-яёa-z]{2,}-[а-яёa-z]{2,})"
 
 
 def marker_records(lines: DataFrame, doc_col: str, order_col: str, text_col: str) -> DataFrame:
@@ -53,29 +55,31 @@ def gathered_context(rows: DataFrame, group_col: str, order_col: str, text_col:
 
 
 def disambiguate(records: DataFrame, ambiguous: DataFrame, key_col: str, question_col: str, context_col: str) -> DataFrame:
-    """Ambiguous questions (keys in ``ambiguous``) get a fragment of their context and ``...`` in front, unless they hold it.
+    """Ambiguous questions (keys in ``ambiguous``) get a fragment of their context and ``...`` in front, unless they hold it already.
 
-    ``fixed``: true where that was done, false where there was no context, null where the question was clear.
+    ``fixed``: true where that was done, false where it was not, null where the question was clear.
     """
     marks = ambiguous.select(F.col("key").alias(key_col), F.lit(True).alias("unclear")).distinct()
     fragment = T.scenario_fragment(F.col(context_col))
-    given = F.col(context_col).isNotNull() & (fragment != "")
+    question = F.col(question_col)
+    given = F.col(context_col).isNotNull() & (fragment != "") & ~T.norm(question).contains(T.norm(fragment))
     joined = records.join(marks, key_col, "left")
-    fresh = F.when(F.col(question_col).contains(fragment), F.col(question_col)).otherwise(F.concat(fragment, F.lit("... "), F.col(question_col)))
-    return joined.withColumn(question_col, F.when(F.col("unclear") & given, fresh).otherwise(F.col(question_col))).withColumn("fixed", F.when(F.col("unclear"), given)).drop("unclear")
+    fresh = F.concat(fragment, F.lit("..."), question)
+    return joined.withColumn("fixed", F.when(F.col("unclear"), given)).withColumn(question_col, F.when(F.col("fixed"), fresh).otherwise(question)).drop("unclear")
 
 
 def hyphen_candidates(docs: DataFrame, text_col: str) -> DataFrame:
     """Hyphenated words whose joined form also stands alone: ``joined hyphenated n_plain n_hyphen``.
 
-    Words are runs of letters, lower-cased. ``hyphenated`` is the first form in alphabetic order.
+    Text is lower-cased and read in runs of word characters and hyphens. A run equal to the joined form is a plain
+    word; ``n_hyphen`` counts runs that end with the hyphenated form, which is the first one in alphabetic order.
     """
     text = F.lower(F.coalesce(text_col, F.lit("")))
-    tokens = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}+(?:-\p{L}+)?)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    hyphened = tokens.filter(F.col("w").contains("-")).withColumn("joined", F.replace("w", F.lit("-"), F.lit("")))
-    pairs = hyphened.groupBy("joined").agg(F.min("w").alias("hyphenated"), F.sum("n").alias("n_hyphen"))
-    plain = tokens.filter(~F.col("w").contains("-")).select(F.col("w").alias("joined"), F.col("n").alias("n_plain"))
-    return pairs.join(plain, "joined").select("joined", "hyphenated", "n_plain", "n_hyphen")
+    runs = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    hyphened = runs.filter(F.col("w").contains("-")).select("w", "n", F.explode(F.regexp_extract_all("w", F.lit(HYPHENATED), F.lit(1))).alias("form"))
+    forms = hyphened.groupBy("form").agg(F.sum(F.when(F.col("w").endswith(F.col("form")), F.col("n")).otherwise(0)).alias("n_hyphen"))
+    first = forms.groupBy(F.replace("form", F.lit("-"), F.lit("")).alias("joined")).agg(F.min("form").alias("hyphenated"), F.min_by("n_hyphen", "form").alias("n_hyphen"))
+    return first.join(runs.select(F.col("w").alias("joined"), F.col("n").alias("n_plain")), "joined").select("joined", "hyphenated", "n_plain", "n_hyphen")
 
 
 def join_hyphens(text: Column, joins: dict[str, str]) -> Column:
@@ -101,7 +105,7 @@ def _controls(page: str | None) -> list[dict[str, object]]:
     return out
 
 
-@F.pandas_udf("array<struct<pos:int,kind:string,name:string,value:string,label:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("pos", IntegerType()), *(StructField(c, StringType()) for c in ("kind", "name", "value", "label"))])))
 def _page_controls(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pages.map(_controls)

@@ -213,8 +213,8 @@ def composite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.composite_pairs(_sides(spark, sf_dir)[0], needles)
 
 
-_DICE = f"""{_PAGES}, {_NEEDLES}, pw AS (SELECT doc_id, list_distinct(list_filter(string_split(key, ' '), w -> w <> '')) AS words FROM pages_),
-  nw AS (SELECT item_id, list_distinct(list_filter(string_split(key, ' '), w -> w <> '')) AS words FROM needles WHERE key <> ''),
+_DICE = f"""{_PAGES}, {_NEEDLES}, pw AS (SELECT doc_id, list_distinct(list_filter(string_split(key, ' '), lambda w: w <> '')) AS words FROM pages_),
+  nw AS (SELECT item_id, list_distinct(list_filter(string_split(key, ' '), lambda w: w <> '')) AS words FROM needles WHERE key <> ''),
   pe AS (SELECT doc_id, len(words) AS n, unnest(words) AS w FROM pw), ne AS (SELECT item_id, len(words) AS n, unnest(words) AS w FROM nw),
   shared AS (SELECT doc_id, item_id, 2.0::DOUBLE * count(*) / (first(pe.n) + first(ne.n)) AS dice FROM pe JOIN ne USING (w) GROUP BY doc_id, item_id),
   every AS (SELECT d.doc_id, i.item_id, coalesce(s.dice, 0) AS dice FROM pw d CROSS JOIN nw i LEFT JOIN shared s ON s.doc_id = d.doc_id AND s.item_id = i.item_id),
@@ -256,9 +256,11 @@ def preceding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.md5("context").alias("context_md5"))
 
 
-@query(r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '(\p{L}+(?:-\p{L}+)?)', 1)) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-  h AS (SELECT replace(w, '-', '') AS joined, min(w) AS hyphenated, CAST(sum(n) AS BIGINT) AS n_hyphen FROM c WHERE contains(w, '-') GROUP BY 1)
-  SELECT h.joined, hyphenated, c.n AS n_plain, n_hyphen FROM h JOIN c ON c.w = h.joined""")
+@query(r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+  h AS (SELECT w, n, unnest(regexp_extract_all(w, '[а-яёa-z]{2,}-[а-яёa-z]{2,}')) AS form FROM c WHERE contains(w, '-')),
+  f AS (SELECT form, CAST(sum(CASE WHEN ends_with(w, form) THEN n ELSE 0 END) AS BIGINT) AS n_hyphen FROM h GROUP BY form),
+  o AS (SELECT replace(form, '-', '') AS joined, min(form) AS hyphenated, arg_min(n_hyphen, form) AS n_hyphen FROM f GROUP BY 1)
+  SELECT joined, hyphenated, c.n AS n_plain, n_hyphen FROM o JOIN c ON c.w = o.joined""")
 def hyphen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.hyphen_candidates(read(spark, sf_dir, "documents"), "text")
 

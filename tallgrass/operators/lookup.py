@@ -153,3 +153,35 @@ def closest_choice(options: DataFrame) -> DataFrame:
 def complete(matched: Column, total: Column, approx: Column, conflicts: Column) -> Column:
     """Whether a plan may be used as it is: something matched, all of it, exactly, without conflicts."""
     return (matched > 0) & (matched == total) & ~approx & (F.coalesce(F.size(conflicts), F.lit(0)) == 0)
+
+
+def chosen_options(options: DataFrame) -> DataFrame:
+    """Options (group, needle, option, ord; texts normalised) that a needle chooses: ``group option quality``.
+
+    Equal options first; where a group has none, options that contain the needle; then a single close one.
+    """
+    exact = options.filter(F.col("option") == F.col("needle"))
+    rest = options.join(exact.select("group").distinct(), "group", "left_anti")
+    inside = rest.filter((F.length("needle") >= 3) & F.col("option").contains(F.col("needle")))
+    left = rest.join(inside.select("group").distinct(), "group", "left_anti")
+    named = lambda df, quality: df.select("group", "option", F.lit(quality).alias("quality"))
+    return named(exact, "exact").unionByName(named(inside, "contains")).unionByName(named(closest_choice(left), "approx"))
+
+
+def resolved_cards(wanted: DataFrame, cards: DataFrame) -> DataFrame:
+    """Cards for places: wanted (place, ord, card) by id or else by normalised text in cards (id, text).
+
+    ``place ids``: only places all of whose cards are found.
+    """
+    by_id = cards.select(F.col("id").alias("card"), F.col("id").alias("id_hit"))
+    by_text = cards.groupBy(T.norm("text").alias("card_norm")).agg(F.min("id").alias("text_hit"))
+    found = wanted.join(by_id, "card", "left").withColumn("card_norm", T.norm("card")).join(by_text, "card_norm", "left").withColumn("hit", F.coalesce("id_hit", "text_hit"))
+    places = found.groupBy("place").agg(F.bool_and(F.col("hit").isNotNull()).alias("whole"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "hit"))), lambda c: c["hit"]).alias("ids"))
+    return places.filter("whole").select("place", "ids")
+
+
+def lookup_plan(groups: DataFrame) -> DataFrame:
+    """A row per page from its groups (page_id, needle_id or null, quality, similarity): what matched, how, how surely."""
+    hit = F.col("needle_id").isNotNull()
+    plan = groups.groupBy("page_id").agg(F.count_if(hit).alias("matched"), F.count("*").alias("total"), F.coalesce(F.bool_or(F.col("quality") == "approx"), F.lit(False)).alias("approx"), F.array_sort(F.collect_set("quality")).alias("quality"), F.min("similarity").alias("similarity"))
+    return plan.withColumn("usable", complete(F.col("matched"), F.col("total"), F.col("approx"), F.array()))

@@ -36,6 +36,7 @@ def write_canonical(spark: SparkSession, records: DataFrame, order_col: str, pat
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)  # a checksum file beside it would outlive edits by other programs
     backup = None
     if fs.exists(target):
         backup = f"{path}.bak"
@@ -45,6 +46,7 @@ def write_canonical(spark: SparkSession, records: DataFrame, order_col: str, pat
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+        fs.setWriteChecksum(True)
     return backup
 
 

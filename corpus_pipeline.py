@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallgrass.llm import decontaminate, packing, secrets, simhash, toxicity
 from tallgrass.llm.common import shared_folder, table
 
-SHINGLE_WORDS = 5
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies: the one with the smallest id."""
-    return simhash.drop_near_duplicates(docs, n_words=SHINGLE_WORDS)
+    return simhash.drop_similar_copies(docs, n_words=SHINGLE_WORDS, similarity=SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

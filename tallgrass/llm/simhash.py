@@ -10,13 +10,13 @@ difference, two segments with one at most, three with two at most. So
 2. rows are dealt out by key and sorted, and each task reads its runs of equal
    keys; inside a run, pairs must pass every longer chain's budget, the last of
    which is the full Hamming check;
-3. a run gives no pairs but a star for each of its components, so its output
+3. a run gives not all pairs but a tree for each of its components, so its output
    grows with its members and not with their square;
 4. a run of more than ``MAX_RUN`` members is passed on under finer keys: of eight
    parts of the bits that its key leaves open, five at least must be equal. Such a
    key holds all but 12 bits, which bounds its run.
 
-Stars are joined to components by ``connected_components``. Copies share one
+Trees are joined to components by ``connected_components``. Copies share one
 fingerprint and count once all the way; they come back in the last join.
 
 Null texts have no words and fingerprint zero, which links like any other.
@@ -101,17 +101,17 @@ def _close(one: np.uint64, others: np.ndarray, start: int | None, max_bits: int)
     return passed
 
 
-def run_stars(members: np.ndarray, start: int | None, max_bits: int) -> Iterator[tuple[int, int]]:
-    """(member, centre) for every member that a chain of close pairs joins to the component's first member."""
+def run_trees(members: np.ndarray, start: int | None, max_bits: int) -> Iterator[tuple[int, int]]:
+    """(member, parent) for every member but one of each component: close pairs that join it, no more than members."""
     left = np.unique(members)
     while len(left):
-        centre, left = left[0], left[1:]
-        queue = [centre]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
-            near = _close(queue.pop(), left, start, max_bits)
+            parent = queue.pop()
+            near = _close(parent, left, start, max_bits)
             found, left = left[near], left[~near]
             queue.extend(found)
-            yield from ((x, centre) for x in found)
+            yield from ((x, parent) for x in found)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, np.ndarray, bool]]:
@@ -148,8 +148,8 @@ def finer_keys(fps: np.ndarray, keys: np.ndarray, max_bits: int) -> tuple[np.nda
     return np.stack(out, 1).ravel(), np.repeat(np.arange(len(fps)), len(out))
 
 
-def _star_edges(keyed: DataFrame, chained: bool, max_bits: int) -> DataFrame:
-    """``kind`` 0: a star's edge a-b. ``kind`` 1: a member ``a`` of a run that was too long, under its key ``b``."""
+def _tree_edges(keyed: DataFrame, chained: bool, max_bits: int) -> DataFrame:
+    """``kind`` 0: a close pair a-b. ``kind`` 1: a member ``a`` of a run that was too long, under its key ``b``."""
 
     def batch_of(kind: int, rows: list[tuple[int, int]]) -> pa.RecordBatch:
         ends = np.array(rows, np.uint64).reshape(-1, 2).view(np.int64)
@@ -159,7 +159,7 @@ def _star_edges(keyed: DataFrame, chained: bool, max_bits: int) -> DataFrame:
         edges: list[tuple[int, int]] = []
         for key, members, whole in _runs(batches, MAX_RUN if chained else 1 << 62):
             if whole:
-                edges += run_stars(members, key >> BITS // 2 if chained else None, max_bits)
+                edges += run_trees(members, key >> BITS // 2 & SEGMENTS - 1 if chained else None, max_bits)
             else:
                 yield batch_of(1, [(m, key) for m in members.tolist()])
             if len(edges) > 50_000:
@@ -170,8 +170,8 @@ def _star_edges(keyed: DataFrame, chained: bool, max_bits: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, a long, b long")
 
 
-def linked(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """``node`` and ``root`` for every fingerprint (``fp``, each once) within reach of another one."""
+def close_pairs(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Pairs ``a b`` of fingerprints (``fp``, each once) within ``max_bits``: enough of them to join all that are within reach."""
     if not 0 <= max_bits < SEGMENTS:
         raise ValueError(f"the ring of {SEGMENTS} segments serves up to {SEGMENTS - 1} differing bits")
 
@@ -185,10 +185,15 @@ def linked(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
         return run
 
-    found = checkpointed(_star_edges(fps.select("fp").mapInArrow(keys_of(chain_keys, ("fp",)), "key long, fp long"), True, max_bits))
+    found = checkpointed(_tree_edges(fps.select("fp").mapInArrow(keys_of(chain_keys, ("fp",)), "key long, fp long"), True, max_bits))
     long_runs = found.filter("kind = 1").select("a", "b")
-    finer = _star_edges(long_runs.mapInArrow(keys_of(finer_keys, ("a", "b")), "key long, fp long"), False, max_bits)
-    return connected_components(found.filter("kind = 0").unionByName(finer).select("a", "b"))
+    finer = _tree_edges(long_runs.mapInArrow(keys_of(finer_keys, ("a", "b")), "key long, fp long"), False, max_bits)
+    return found.filter("kind = 0").unionByName(finer).select("a", "b")
+
+
+def linked(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``node`` and ``root`` for every fingerprint (``fp``, each once) within reach of another one."""
+    return connected_components(close_pairs(fps, max_bits))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -209,6 +214,67 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
+def word_sketches(text: bytes, seeds: int) -> list[int]:
+    """Fingerprints of a text's set of words, one for each seed, as signed longs; 0 without words."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in sorted(set(text.lower().split()))), np.uint64)
+    out = []
+    for seed in range(seeds):
+        own = mixed(hashes ^ mixed(np.full(1, seed + 1, np.uint64)))
+        ones = np.zeros(BITS, np.int64)
+        for part in np.array_split(own, len(own) // 65536 + 1):
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(own), bitorder="little").tobytes(), "little", signed=True))
+    return out
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4, max_bits: int = 3) -> DataFrame:
+    """``id_col`` and ``root`` of every row with an id: the smallest id of its class.
+
+    Classes are joined by equal texts and by pairs whose shingles of ``n_words`` words have a Jaccard similarity of
+    ``similarity`` or more. Candidates come from the pigeonring over fingerprints of the texts' word sets, under
+    several seeds, as a few changed words turn many shingles but few of a word set's bits; each candidate pair is
+    verified on its shingles. Texts without words are equal to each other. Ids must be longs.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array([word_sketches(t, seeds) for t in texts], pa.list_(pa.int64()))], names=["i", "h", "fps"])
+
+    own = checkpointed(rows.withColumn("h", F.unhex(F.sha2("t", 256))).select("i", "h", "t").mapInArrow(sketched, "i long, h binary, fps array<long>"))
+    texts = own.groupBy("h").agg(F.min("i").alias("node"), F.min("fps").alias("fps"))
+    nodes = checkpointed(texts.select("node", F.posexplode("fps").alias("seed", "fp")))
+    first = checkpointed(nodes.groupBy("seed", "fp").agg(F.min("node").alias("first")))
+    same = nodes.join(first, ["seed", "fp"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    candidates = same
+    for seed in range(seeds):
+        mine = first.filter(F.col("seed") == seed).select("fp", "first")
+        pairs = close_pairs(mine, max_bits)
+        ends = pairs.join(mine.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(mine.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        candidates = candidates.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    candidates = checkpointed(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, given in text_slices(batches, "t"):
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([sorted(set(np.array(shingle_hashes(t.lower().split(), n_words), np.uint64).view(np.int64).tolist())) for t in given], pa.list_(pa.int64()))], names=["i", "s"])
+
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    shingles = checkpointed(rows.join(wanted, "i", "left_semi").dropDuplicates(["i"]).select("i", "t").mapInArrow(shingled, "i long, s array<long>"))
+    both = candidates.join(shingles.select(F.col("i").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("i").alias("b"), F.col("s").alias("o")), "b")
+    shared = F.size(F.array_intersect("s", "o"))
+    alike = shared >= similarity * (F.size("s") + F.size("o") - shared)
+    roots = connected_components(both.filter(alike).select("a", "b"))
+    named = own.select("i", "h").join(texts.select("h", "node"), "h").join(roots, "node", "left")
+    return named.select(F.col("i").alias(id_col), F.coalesce("root", "node").alias("root"))
+
+
+def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:
+    """The row with the smallest id of each class of ``similar_copies``; of rows with one id, any one. Rows without id stay."""
+    keepers = similar_copies(docs, id_col, text_col, n_words, similarity, seeds).filter(F.col(id_col) == F.col("root")).select(id_col).distinct()
+    kept = docs.join(keepers, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -137,9 +137,53 @@ def test_toxicity_learns(spark, small):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def compared(rows, kept, least=0.8):
+    """Brute force over all pairs: ids that should go and didn't, and all that should. What went must be in a class with one that stayed."""
+    sets = {}
+    for i, r in rows.items():
+        w = (r.text or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if least * max(len(a), len(b)) <= min(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in ids if find(i) != i}
+    assert set(ids) - kept <= want
+    return want & kept, want
+
+
+def test_similar_copies_odd_rows(spark):
+    from tallgrass.llm import simhash
+
+    rows = [(1, None, 1), (2, "", 1), (3, " \n", 1), (4, "One two", 1), (5, "one  TWO", 1), (5, "one  TWO", 1), (6, "one two three", 1), (None, "one two", 1), (None, "one two", 1)]
+    words = [f"w{i}" for i in range(300)]
+    for i in range(20):
+        own = list(words)
+        own[(i * 13) % 300] = f"x{i}"
+        rows.append((100 + i, " ".join(own), 1))
+    rows.append((200, " ".join(words[::-1]), 1))
+    given = spark.createDataFrame(rows, "doc_id long, text string, root int")
+    got = {(r.doc_id, r.root) for r in simhash.similar_copies(given).collect()}
+    assert {i: r for i, r in got if i < 100} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert sum(r == 100 for _, r in got) >= 19 and (200, 200) in got
+    kept = simhash.drop_similar_copies(given)
+    assert kept.columns == given.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 100) == [1, 4, 6]
+    assert kept.filter("doc_id IS NULL").count() == 2 and simhash.similar_copies(given.limit(0)).count() == 0
+
+
 def test_pipeline(spark, small):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from tests.llm.test_scans import plain_components, plain_fingerprint, plain_hits, plain_spans
+    from tests.llm.test_scans import plain_hits, plain_spans
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
@@ -159,8 +203,8 @@ def test_pipeline(spark, small):
             gone = set(before) - set(now)
             assert sum(labels.get(i, 0) for i in gone) >= sum(labels.get(i) == 0 for i in gone)
         if name == "simhash near-dedup":
-            own = sorted((i, plain_fingerprint(r.text, 5)) for i, r in before.items())
-            assert set(now) == set(plain_components(own))
+            missed, want = compared(before, set(now))
+            assert len(missed) <= 0.1 * len(want)
         if name == "decontamination":
             assert set(now) == {i for i, r in before.items() if not plain_hits(r.text, items)[-1]}
         if name == "secret scan":

@@ -175,3 +175,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda total, run: total + run["n"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS words FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_SQL_WORDS} AS words FROM benchmark),
+b_at AS (SELECT item, words, least(10, len(words)) AS k, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i FROM b WHERE len(words) > 0),
+b_windows AS (SELECT DISTINCT item, k, array_to_string(words[i:i + k - 1], ' ') AS w FROM b_at),
+d_at AS (SELECT rid, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM d JOIN (SELECT DISTINCT k FROM b_windows) ON len(words) >= k),
+hits AS (SELECT rid, i, k, item FROM (SELECT rid, i, k, array_to_string(words[i:i + k - 1], ' ') AS w FROM d_at) JOIN b_windows USING (k, w)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
+"""

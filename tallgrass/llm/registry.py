@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.llm.chat import OP4_SQL, op4_chat_formatting
-from tallgrass.llm.decontaminate import op3_decontamination
+from tallgrass.llm.decontaminate import OP3_SQL, op3_decontamination
 from tallgrass.llm.html import op2_html_extraction
 from tallgrass.llm.mixing import op6_context_mixing
 from tallgrass.llm.packing import op5_sequence_packing
@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_tokenizer_fertility,
     )
 }
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op8_size_tiered_sharding": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op8_size_tiered_sharding": OP8_SQL}

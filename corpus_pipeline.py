@@ -21,7 +21,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents at or over their language's threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(~F.col("flagged")).select(docs.columns)
+    return toxicity.score(docs, model, prefix="_judged_").filter(~F.col("_judged_flagged")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ from tallgrass.llm.words import ALNUM, Words
 
 N_WORDS = 10
 MAX_BLOCK_BYTES = 32 << 20
-_FOUND = "n_words long, hit_words array<struct<first:long,n:long>>, hit_items array<string>"
+NAMES = ("n_words", "hit_words", "hit_items")
+_KINDS = ("long", "array<struct<first:long,n:long>>", "array<string>")
 
 
 class WindowSet:
@@ -86,12 +87,12 @@ def _n_blocks(benchmark: DataFrame, text_col: str, max_block_bytes: int) -> int:
     return 1 + int(benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) // max_block_bytes
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n_words: int = N_WORDS, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n_words: int = N_WORDS, max_block_bytes: int = MAX_BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """``docs`` with ``n_words``, ``hit_words`` (disjoint runs of word numbers) and ``hit_items`` (sorted ids).
 
-    Columns of ``docs`` with these names give way.
+    ``prefix`` is put before the three names. Columns of ``docs`` with these names give way.
     """
-    names = ["n_words", "hit_words", "hit_items"]
+    names = [f"{prefix}{n}" for n in NAMES]
     out = docs.drop(*names)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     scanned = False
@@ -99,14 +100,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         if scanned:
             out = checkpointed(out)
         windows = docs.sparkSession.sparkContext.broadcast(WindowSet(block, n_words))
-        out = out.mapInArrow(_scanner(windows, text_col, scanned), f"{ddl}, {_FOUND}")
+        out = out.mapInArrow(_scanner(windows, text_col, names, scanned), f"{ddl}, {', '.join(f'`{n}` {k}' for n, k in zip(names, _KINDS, strict=True))}")
         scanned = True
     return out
 
 
-def _scanner(windows, text_col: str, again: bool):  # noqa: ANN001, ANN202
-    names = ["n_words", "hit_words", "hit_items"]
-
+def _scanner(windows, text_col: str, names: list[str], again: bool):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, text_col):
             words = Words([t.lower() for t in texts], ALNUM)
@@ -115,8 +114,8 @@ def _scanner(windows, text_col: str, again: bool):  # noqa: ANN001, ANN202
             items: list[set[str]] = [set() for _ in texts]
             begins = np.cumsum(counts) - counts
             if again:
-                batch, before = batch.select(batch.schema.names[: -len(names)]), batch
-                for d, (spans, ids) in enumerate(zip(before.column("hit_words").to_pylist(), before.column("hit_items").to_pylist(), strict=True)):
+                batch, before = batch.select([n for n in batch.schema.names if n not in names]), batch
+                for d, (spans, ids) in enumerate(zip(before.column(names[1]).to_pylist(), before.column(names[2]).to_pylist(), strict=True)):
                     items[d] |= set(ids)
                     for s in spans:
                         steps[begins[d] + s["first"]] += 1
@@ -146,9 +145,9 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     where that matters.
     """
     columns = docs.columns
-    found = find_hits(docs, benchmark, text_col, item_col, item_text_col, n_words)
+    found = find_hits(docs, benchmark, text_col, item_col, item_text_col, n_words, prefix="_found_")
     if mode == "documents":
-        return found.filter(F.size("hit_words") == 0).select(columns)
+        return found.filter(F.size("_found_hit_words") == 0).select(columns)
     if mode != "spans":
         raise ValueError(f"mode {mode!r}: documents or spans")
 
@@ -157,7 +156,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         for texts, spans in rows:
             yield texts.combine(spans, lambda t, s: cut_words(t, s) if t and len(s) else t)
 
-    return found.withColumn(text_col, cut(F.col(text_col), F.col("hit_words"))).select(columns)
+    return found.withColumn(text_col, cut(F.col(text_col), F.col("_found_hit_words"))).select(columns)
 
 
 def cut_words(text: str, runs) -> str:  # noqa: ANN001

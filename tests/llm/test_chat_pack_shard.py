@@ -181,6 +181,23 @@ def test_similar_copies_odd_rows(spark):
     assert kept.filter("doc_id IS NULL").count() == 2 and simhash.similar_copies(given.limit(0)).count() == 0
 
 
+def test_stages_on_odd_rows(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    columns = ["score", "flagged", "n_words", "hit_words", "root", "node", "i", "t", "fp", "key", "start", "ids"]
+    rows = [(1, "plain text of some words", "en", "s", 24), (1, "plain text of some words", "en", "s", 24), (2, None, None, None, None), (3, "", "xx", None, 0), (None, "no id here", "en", "s", 10), (4, "long words here " * 20000, "en", "s", 320000), (5, "token = abcdefghijklmnop", "de", "s", 1)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(c).alias(c) for c in columns])
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (given, given.limit(0)):
+            out = stage(spark, docs, small)
+            got = out.collect()
+            if name == "packing":
+                continue
+            assert out.columns == given.columns and all(r[c] == c for r in got for c in columns)
+            assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in given.schema]
+            ids = sorted(str(r.doc_id) for r in got)
+            assert ids == ([] if docs is not given else sorted(["1", "2", "None", "4", "5"]) if name.startswith("simhash") else sorted(["1", "1", "2", "3", "None", "4", "5"]))
+
+
 def test_pipeline(spark, small):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from tests.llm.test_scans import plain_hits, plain_spans

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallgrass.llm.common import table, text_slices
 from tallgrass.llm.words import NOT_SPACE, Words

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import checkpointed, table, text_slices
+from tallgrass.llm.common import checkpointed, release, table, text_slices
 from tallgrass.llm.components import connected_components
 from tallgrass.llm.words import mixed
 
@@ -43,6 +43,8 @@ SEGMENTS = 4
 SEED = 42
 MAX_RUN = 4096
 FINER_PARTS = 8
+#: Shingles that come so often in a chunk of rows are common; and at most so many are.
+COMMON_LEAST, COMMON_MOST = 4, 1 << 17
 
 
 def shingle_hashes(words: list[bytes], n_words: int) -> list[int]:
@@ -227,23 +229,161 @@ def word_sketches(text: bytes, seeds: int) -> list[int]:
     return out
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4, max_bits: int = 3) -> DataFrame:
-    """``id_col`` and ``root`` of every row with an id: the smallest id of its class.
+def _shingle_set(text: bytes, n_words: int) -> np.ndarray:
+    """Different shingles of a text, sorted, as signed longs."""
+    return np.unique(np.array(shingle_hashes(text.lower().split(), n_words), np.uint64)).view(np.int64)
 
-    Classes are joined by equal texts and by pairs whose shingles of ``n_words`` words have a Jaccard similarity of
-    ``similarity`` or more. Candidates come from the pigeonring over fingerprints of the texts' word sets, under
-    several seeds, as a few changed words turn many shingles but few of a word set's bits; each candidate pair is
-    verified on its shingles. Texts without words are equal to each other. Ids must be longs.
+
+def _common_shingles(rows: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles (sorted) and their counts, of bounded size; counts leave out what is rare in a chunk of rows.
+
+    They only order the shingles: any fixed order gives the same pairs, a good one gives few candidates.
     """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+            kept = np.flatnonzero(counts >= COMMON_LEAST)
+            kept = kept[np.argsort(-counts[kept], kind="stable")[:COMMON_MOST]]
+            return pa.RecordBatch.from_arrays([pa.array(values[kept]), pa.array(counts[kept])], names=["s", "n"])
+
+        parts, size = [], 0
+        for _, texts in text_slices(batches, "t"):
+            parts += [_shingle_set(t, n_words) for t in texts]
+            size += sum(map(len, parts[-len(texts) :]))
+            if size > 1 << 21:
+                yield frequent(parts)
+                parts, size = [], 0
+        if parts:
+            yield frequent(parts)
+
+    found = rows.select("t").mapInArrow(counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON_MOST).toPandas()
+    found = found.sort_values("s")
+    return found["s"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles, rare ones first: two sets that are similar enough share one of them. Zero stands for no shingle."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.int64)
+    values, counts = common
+    rank = np.zeros(n, np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+        rank = np.where(values[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+#: ``size`` holds the size in its high and the place in its low 32 bits.
+MEMBER = ("key", "node", "class", "size")
+
+
+def _run_pairs(run: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Node pairs of rows (columns ``MEMBER`` and in cells ``side``, sorted by key and size) with one key that can be similar, of different classes and sides."""
+    key, node, own, both, *sides = run
+    size, at = both >> 32, both & 0xFFFFFFFF
+    out = []
+    first, step = np.arange(len(key)), 0
+    while len(first):
+        step += 1
+        first = first[first + step < len(key)]
+        second = first + step
+        going = (key[first] == key[second]) & (similarity * size[second] <= size[first] + 1e-9)
+        first, second = first[going], second[going]
+        shared = np.minimum(size[first] - at[first], size[second] - at[second])
+        good = own[first] != own[second]
+        for side in sides:
+            good &= (side[first] != side[second]) | (side[first] < 0)
+        good &= shared * (1 + similarity) >= similarity * (size[first] + size[second]) - 1e-6
+        out.append(np.stack([node[first[good]], node[second[good]]], 1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def _prefix_pairs(members: DataFrame, similarity: float, most: int) -> DataFrame:
+    """``kind`` 0: a candidate pair, in the first two columns. ``kind`` 1: a member of a run of more than ``most`` rows."""
+
+    names = members.columns
+
+    def batch_of(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(columns[0])
+        columns = [*columns[: len(MEMBER)], *[np.zeros(n, np.int64)] * (len(MEMBER) - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], names=["kind", *MEMBER])
+
+    def closed(rows: list[np.ndarray], over: int | None) -> Iterator[pa.RecordBatch]:
+        """Output for whole runs; the run of key ``over`` has begun before and is long already."""
+        begins = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        sizes = np.diff(np.r_[begins, len(rows[0])])
+        mixed_run = np.minimum.reduceat(rows[2], begins) < np.maximum.reduceat(rows[2], begins)
+        long = (sizes > most) | (rows[0][begins] == over if over is not None else False)
+        passed = np.repeat(long, sizes)
+        yield batch_of(1, [c[passed] for c in rows])
+        compared = np.repeat(~long & mixed_run, sizes)
+        pairs = _run_pairs([c[compared] for c in rows], similarity)
+        yield batch_of(0, [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, over = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            given = [batch.column(c).to_numpy() for c in names]
+            rows = given if rows is None else [np.concatenate(c) for c in zip(rows, given, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield from closed([c[:cut] for c in rows], over)
+                rows, over = [c[cut:] for c in rows], over if over == rows[0][-1] else None
+            if len(rows[0]) > most:
+                over = int(rows[0][-1])
+                yield batch_of(1, rows)
+                rows = [c[:0] for c in rows]
+        if rows is not None and len(rows[0]):
+            yield from closed(rows, over)
+
+    return members.repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
+
+
+def exact_candidates(rows: DataFrame, texts: DataFrame, n_words: int, similarity: float, most: int = MAX_RUN) -> DataFrame:
+    """Pairs ``a b`` of nodes of different classes; no pair of ``similarity`` or more is left out.
+
+    ``rows`` holds the texts ``t`` and their hashes ``h``, ``texts`` each hash's ``node`` and ``class``. Two sets of
+    shingles with that Jaccard similarity share one of their first shingles in any common order, as many as
+    ``_prefix`` gives. Runs of more than ``most`` texts with one such shingle are dealt into cells, two parts of the
+    run each, so that no task compares more than two parts.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows, n_words))
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, given in text_slices(batches, "t"):
+            sets = [_shingle_set(t, n_words) for t in given]
+            first = [_prefix(s, common.value, similarity) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["h", "size", "first"])
+
+    prefixes = rows.select("h", "t").mapInArrow(prefixed, "h binary, size long, first array<long>").dropDuplicates(["h"])
+    named = prefixes.join(texts.select("h", "node", "class"), "h")
+    members = named.select(F.posexplode("first").alias("at", "key"), "node", "class", "size").select("key", "node", "class", (F.shiftleft("size", 32) + F.col("at")).alias("size"))
+    found = checkpointed(_prefix_pairs(members, similarity, most))
+    long_runs = found.filter("kind = 1").select(*MEMBER)
+    parts = long_runs.groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("long").alias("parts"))
+    dealt = long_runs.join(parts, "key").withColumn("side", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "node", "class", "size", F.when(F.col("side") == F.col("other"), -1 - F.col("side")).otherwise(F.col("side")).alias("side"))
+    finer = _prefix_pairs(cells, similarity, 1 << 62).filter("kind = 0")
+    return found.filter("kind = 0").unionByName(finer).select(F.col("key").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, similarity: float, seeds: int, max_bits: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``i h`` (id and text hash) of every row with an id, and ``h root keeper``: the smallest id of a text's class, and the hash of the text kept of it."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
+    rows = rows.withColumn("h", F.unhex(F.sha2("t", 256)))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "t"):
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array([word_sketches(t, seeds) for t in texts], pa.list_(pa.int64()))], names=["i", "h", "fps"])
 
-    own = checkpointed(rows.withColumn("h", F.unhex(F.sha2("t", 256))).select("i", "h", "t").mapInArrow(sketched, "i long, h binary, fps array<long>"))
-    texts = own.groupBy("h").agg(F.min("i").alias("node"), F.min("fps").alias("fps"))
-    nodes = checkpointed(texts.select("node", F.posexplode("fps").alias("seed", "fp")))
+    own = checkpointed(rows.select("i", "h", "t").mapInArrow(sketched, "i long, h binary, fps array<long>"))
+    texts = checkpointed(own.groupBy("h").agg(F.min("i").alias("least"), F.min("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = texts.select("node", F.posexplode("fps").alias("seed", "fp"))
     first = checkpointed(nodes.groupBy("seed", "fp").agg(F.min("node").alias("first")))
     same = nodes.join(first, ["seed", "fp"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     candidates = same
@@ -253,19 +393,43 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ends = pairs.join(mine.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(mine.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
         candidates = candidates.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     candidates = checkpointed(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    del nodes, first, same, mine, pairs, ends
+    release(docs.sparkSession)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, given in text_slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([sorted(set(np.array(shingle_hashes(t.lower().split(), n_words), np.uint64).view(np.int64).tolist())) for t in given], pa.list_(pa.int64()))], names=["i", "s"])
-
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-    shingles = checkpointed(rows.join(wanted, "i", "left_semi").dropDuplicates(["i"]).select("i", "t").mapInArrow(shingled, "i long, s array<long>"))
-    both = candidates.join(shingles.select(F.col("i").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("i").alias("b"), F.col("s").alias("o")), "b")
-    shared = F.size(F.array_intersect("s", "o"))
-    alike = shared >= similarity * (F.size("s") + F.size("o") - shared)
-    roots = connected_components(both.filter(alike).select("a", "b"))
-    named = own.select("i", "h").join(texts.select("h", "node"), "h").join(roots, "node", "left")
-    return named.select(F.col("i").alias(id_col), F.coalesce("root", "node").alias("root"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([_shingle_set(t, n_words) for t in given], pa.list_(pa.int64()))], names=["node", "s"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("h", "node", "least"), "node")
+        one_each = rows.join(wanted.select("h", "node", F.col("least").alias("i")), ["h", "i"]).dropDuplicates(["h", "i"]).select("node", "t")
+        shingles = checkpointed(one_each.mapInArrow(shingled, "node long, s array<long>"))
+        both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("o")), "b")
+        shared = F.size(F.array_intersect("s", "o"))
+        return checkpointed(both.filter(shared >= similarity * (F.size("s") + F.size("o") - shared)).select("a", "b"))
+
+    links = verified(candidates)
+    classed = texts.select("h", "node").join(connected_components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("class"))
+    release(docs.sparkSession)
+    rest = checkpointed(exact_candidates(rows, classed, n_words, similarity, most))
+    release(docs.sparkSession)
+    roots = connected_components(links.unionByName(verified(rest)))
+    named = texts.select("h", "node", "least").join(roots, "node", "left").select("h", "least", F.coalesce("root", "node").alias("class"))
+    least = named.groupBy("class").agg(F.min(F.struct("least", "h")).alias("k"))
+    return own.select("i", "h"), named.join(least, "class").select("h", F.col("k.least").alias("root"), F.col("k.h").alias("keeper"))
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4, max_bits: int = 3, most: int = MAX_RUN) -> DataFrame:
+    """``id_col`` and ``root`` of every row with an id: the smallest id of its class.
+
+    Classes are joined by equal texts and by pairs whose shingles of ``n_words`` words have a Jaccard similarity of
+    ``similarity`` or more. The pigeonring over fingerprints of the texts' word sets, under several seeds, joins most
+    of them by a tree of verified pairs; then every other pair that is similar enough is found by ``exact_candidates``,
+    which leaves out only pairs of texts in one class already. Every candidate pair is verified on its shingles.
+    Texts without words are equal to each other. Ids must be longs.
+    """
+    own, classes = _copy_classes(docs, id_col, text_col, n_words, similarity, seeds, max_bits, most)
+    return own.join(classes, "h").select(F.col("i").alias(id_col), "root")
 
 
 def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:

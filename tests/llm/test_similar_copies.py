@@ -34,3 +34,24 @@ def test_pair_apart_from_its_hub(spark):
     other = one[:150] + one[151:153] + one[150:151] + one[153:]
     texts = {1: " ".join(hub), 2: " ".join(one), 3: " ".join(other)}
     assert roots(spark, texts) == plain_roots(texts) == {1: 1, 2: 2, 3: 2}
+
+
+def test_every_pair_at_the_similarity(spark):
+    rng = random.Random(5)
+    texts = {}
+    for n, changes in [(50, 1)] * 40 + [(250, 5)] * 40:
+        i = len(texts)
+        own = [f"t{i}w{j}" for j in range(n)]
+        texts[i] = " ".join(own)
+        for at in rng.sample(range(4, n - 4, 9), changes):
+            own[at] = f"x{i}w{at}"
+        texts[i + 1] = " ".join(own)
+    want = plain_roots(texts)
+    assert sum(i != r for i, r in want.items()) == 80
+    assert roots(spark, texts) == want
+
+
+def test_long_runs_of_one_shingle(spark):
+    common = " ".join(f"c{j}" for j in range(6))
+    texts = {i: f"{common} {'' if i % 3 else f'e{i}'}" for i in range(9)} | {10 + i: f"y{i} z {common} z y{i}" for i in range(9)} | {30: "", 31: " \n"}
+    assert roots(spark, texts, most=2) == plain_roots(texts)

@@ -4,8 +4,9 @@
 Three base patterns give spans of their own. The entropy scan then reads every
 candidate string (a long run of key-like characters), keeps counts of the
 characters in a sliding window, and takes the string when some window's Shannon
-entropy passes the threshold of the string's character class. Strings on the
-allow list, and those that a base span already covers, give no entropy span.
+entropy passes the threshold of the string's character class. Assignments and
+access keys are cut out of a candidate and each rest is scored by itself; what lies
+wholly inside a base span, or whose value is on the allow list, gives no entropy span.
 
 Null or empty texts have no spans. Rows are independent of each other, so there
 is no shuffle, and a lost task only repeats its own rows.
@@ -29,27 +30,34 @@ KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """A character class, the window over it, and the bits per character a window needs."""
+    """A character class, the window over it, and the bits per character a whole window needs."""
 
     name: str
     pattern: str
     window: int
     bits: float
 
+    def needed(self, length: int) -> float:
+        """The bits that a string of ``length`` characters needs: less in proportion, if it is shorter than a window."""
+        return self.bits * math.log2(max(2, min(length, self.window))) / math.log2(self.window)
 
-#: The first class whose pattern the whole candidate matches is used. A window of
-#: 20 different characters has 4.32 bits; prose in one case stays under 3.9.
+
+#: The first class whose pattern the whole candidate matches is used. Bits are what random strings of the class reach:
+#: digits have 3.32 bits at most, and 24 random letters of one case, of which some repeat, 3.86 in the median, while long
+#: words of prose come near 3.9.
 RULES = (
-    EntropyRule("digits", r"[0-9]+", 20, 9.0),
-    EntropyRule("hex", r"[0-9A-F]+|[0-9a-f]+", 32, 3.3),
-    EntropyRule("one case", r"[a-z_=/+-]+|[A-Z_=/+-]+", 24, 4.4),
+    EntropyRule("digits", r"[0-9]+", 20, 2.5),
+    EntropyRule("hex", r"[0-9A-F]+|[0-9a-f]+", 32, 3.2),
+    EntropyRule("one case", r"[a-z_=/+-]+|[A-Z_=/+-]+", 24, 3.9),
+    EntropyRule("one case and digits", r"[a-z0-9]+|[A-Z0-9]+", 20, 3.55),
     EntropyRule("mixed", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+", 20, 3.7),
-    EntropyRule("letters", r"[A-Za-z+/_=-]+", 24, 4.2),
+    EntropyRule("letters", r"[A-Za-z+/_=-]+", 24, 4.0),
     EntropyRule("other", r".+", 20, 3.9),
 )
 #: Strings that look random and are public by nature: UUIDs, paths, placeholders.
@@ -86,20 +94,34 @@ class Scanner:
         self.rules = [(re.compile(r.pattern), r) for r in rules]
         self.allow = [re.compile(a) for a in allow]
 
-    def random_looking(self, s: str) -> bool:
+    def _passes(self, s: str) -> bool:
         for pattern, rule in self.rules:
             if pattern.fullmatch(s):
-                return len(s) >= rule.window and entropy_peak(s, rule.window) >= rule.bits and not any(a.fullmatch(s) for a in self.allow)
+                return entropy_peak(s, rule.window) >= rule.needed(len(s))
         return False
 
+    def random_looking(self, s: str) -> bool:
+        value = re.split(r"=(?=[^=])", s)[-1]
+        if any(a.fullmatch(value) for a in self.allow):
+            return False
+        return self._passes(s) or (value != s and len(value) >= LEAST and self._passes(value))
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         found = [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
         found += [(*m.span(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
+        cuts = sorted(found)
         found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
         base = list(found)
         for m in _CANDIDATE.finditer(text):
-            if self.random_looking(m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                found.append((*m.span(), "entropy"))
+            at, rests = m.start(), []
+            for a, b, _ in cuts:
+                if a < m.end() and at < b:
+                    rests.append((at, a))
+                    at = b
+            for start, end in [*rests, (at, m.end())]:
+                # a run of hex digits may be the middle of a longer key: only what lies wholly inside it is covered
+                if end - start >= LEAST and not any(a <= start and end <= b for a, b, _ in base) and self.random_looking(text[start:end]):
+                    found.append((start, end, "entropy"))
         return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

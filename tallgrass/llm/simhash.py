@@ -420,7 +420,7 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
 
 
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4, max_bits: int = 3, most: int = MAX_RUN) -> DataFrame:
-    """``id_col`` and ``root`` of every row with an id: the smallest id of its class.
+    """``id_col`` and ``root`` of every row with an id: the smallest id of its text's class.
 
     Classes are joined by equal texts and by pairs whose shingles of ``n_words`` words have a Jaccard similarity of
     ``similarity`` or more. The pigeonring over fingerprints of the texts' word sets, under several seeds, joins most
@@ -433,9 +433,15 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:
-    """The row with the smallest id of each class of ``similar_copies``; of rows with one id, any one. Rows without id stay."""
-    keepers = similar_copies(docs, id_col, text_col, n_words, similarity, seeds).filter(F.col(id_col) == F.col("root")).select(id_col).distinct()
-    kept = docs.join(keepers, id_col, "left_semi").dropDuplicates([id_col])
+    """The row with the smallest id of each class of ``similar_copies``; of equal rows with one id, any one. Rows without id stay.
+
+    Different texts that share an id are told apart by their hash: one goes only if its own class keeps another text.
+    """
+    _, classes = _copy_classes(docs, id_col, text_col, n_words, similarity, seeds, 3, MAX_RUN)
+    own_hash = f"_hash_of_{text_col}_{id_col}"
+    hashed = docs.withColumn(own_hash, F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+    keepers = classes.filter(F.col("h") == F.col("keeper")).select(F.col("root").alias(id_col), F.col("h").alias(own_hash))
+    kept = hashed.join(keepers, [id_col, own_hash], "left_semi").dropDuplicates([id_col, own_hash]).select(docs.columns)
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -55,3 +55,10 @@ def test_long_runs_of_one_shingle(spark):
     common = " ".join(f"c{j}" for j in range(6))
     texts = {i: f"{common} {'' if i % 3 else f'e{i}'}" for i in range(9)} | {10 + i: f"y{i} z {common} z y{i}" for i in range(9)} | {30: "", 31: " \n"}
     assert roots(spark, texts, most=2) == plain_roots(texts)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    one, other = (" ".join(f"{c}{j}" for j in range(30)) for c in "ab")
+    rows = [(1, one), (1, other), (1, other), (2, one), (3, other)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.drop_similar_copies(given).collect())) == [(1, one), (1, other)]

@@ -94,19 +94,5 @@ class Words:
         """Sums of a whole number for each word, by text."""
         return np.bincount(self.doc, weights, minlength=len(self.texts)).astype(np.int64)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's number among the distinct words, and the first place of each of those; equal bytes, not only equal hashes."""
-        _, first, which = np.unique(self.hashes(), return_index=True, return_inverse=True)
-        sizes, model = self.ends - self.starts, first[which]
-        same = bool((sizes == sizes[model]).all())
-        if same and len(self):
-            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            same = bool((self.raw[np.repeat(self.starts, sizes) + inner] == self.raw[np.repeat(self.starts[model], sizes) + inner]).all())
-        if not same:  # polynomial hashes modulo 2**64 can be made to collide
-            places: dict[bytes, int] = {}
-            which = np.fromiter((places.setdefault(self.word(i), len(places)) for i in range(len(self))), np.int64, len(self))
-            _, first = np.unique(which, return_index=True)
-        return which, first
-
     def word(self, i: int) -> bytes:
         return self.buffer[self.starts[i] : self.ends[i]]

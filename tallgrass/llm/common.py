@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +37,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
+
+    A frame that Python has dropped is let go by the JVM after its next collection only, hence two.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def id_mod(column: str, modulus: int) -> "F.Column":
@@ -47,15 +55,14 @@ def id_mod(column: str, modulus: int) -> "F.Column":
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Row ranges of the batches with about ``max_bytes`` of text each, and their texts in UTF-8 (null: empty).
 
-    A text is never cut: one that is longer makes a slice of its own.
+    A text is never cut: one that is longer makes a slice of its own. Beside Arrow's own batch only a slice is in memory.
     """
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            if i > start and size + len(text) > max_bytes:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(text) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(column).cast(pa.binary())
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < len(texts):
+            done = int(upto[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, done + max_bytes, "right")))
+            yield batch.slice(start, end - start), [t or b"" for t in texts.slice(start, end - start).to_pylist()]
+            start = end

@@ -52,17 +52,19 @@ def id_mod(column: str, modulus: int) -> "F.Column":
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % modulus
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Row ranges of the batches with about ``max_bytes`` of text each, and their texts in UTF-8 (null: empty).
-
-    A text is never cut: one that is longer makes a slice of its own. Beside Arrow's own batch only a slice is in memory.
-    """
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Row ranges of the batches with about ``max_bytes`` in ``column`` each. A longer value makes a slice of its own."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.binary())
-        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         start = 0
-        while start < len(texts):
+        while start < len(upto):
             done = int(upto[start - 1]) if start else 0
             end = max(start + 1, int(np.searchsorted(upto, done + max_bytes, "right")))
-            yield batch.slice(start, end - start), [t or b"" for t in texts.slice(start, end - start).to_pylist()]
+            yield batch.slice(start, end - start)
             start = end
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """``byte_slices`` with their texts in UTF-8 (null: empty). Beside Arrow's own batch only a slice is in memory."""
+    for part in byte_slices(batches, column, max_bytes):
+        yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]

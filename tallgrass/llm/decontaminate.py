@@ -11,7 +11,8 @@ most ``max_block_bytes`` of text, and the documents are scanned once for each
 block, with the findings of earlier blocks carried along. One block is the usual
 case. An item longer than a block makes a block of its own.
 
-Null texts have no words. A benchmark row without an id takes part; it is listed
+Null and empty texts have no words; an empty table gives no rows, an empty benchmark no hits. A text of any length is
+scanned whole: memory is bounded by an Arrow batch, the block and the longest text. A benchmark row without an id takes part; it is listed
 as "null". Repeated rows and items count as often as they occur, ids once.
 """
 
@@ -35,25 +36,69 @@ NAMES = ("n_words", "hit_words", "hit_items")
 _KINDS = ("long", "array<struct<first:long,n:long>>", "array<string>")
 
 
+def _pieces(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in runs of about ``most`` bytes, each with the number of its first."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if i > begin and size + len(text) > most:
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
 class WindowSet:
-    """The windows of a block of benchmark items: for every window length, sorted hashes and what they stand for."""
+    """The windows of a block of benchmark items, as arrays.
+
+    The items' words stand in one buffer, a space apart. For every window length there are the sorted hashes of its
+    windows and the first word of each, so that what a window says and whose it is are read from the buffer. That takes
+    about five bytes for each byte of text.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], n_words: int):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
-            words = Words([text.lower()], ALNUM)
-            k = min(n_words, len(words))
-            if k:
-                first, hashes = words.windows(words.hashes(), k)
-                parts = [words.word(i) for i in range(len(words))]
-                for i, h in zip(first.tolist(), hashes.tolist(), strict=True):
-                    found[k][h][b" ".join(parts[i : i + k])].add(item)
-        self.windows = {k: {h: dict(texts) for h, texts in by_hash.items()} for k, by_hash in found.items()}
-        self.sorted = {k: np.array(sorted(by_hash), np.uint64) for k, by_hash in self.windows.items()}
-        self.table = {}
-        for k, hashes in self.sorted.items():
+        self.names = [name for name, _ in items]
+        buffers, starts, item = [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        done = size = 0
+        for begin, texts in _pieces([text for _, text in items]):
+            words = Words([text.lower() for text in texts], ALNUM)
+            buffers.append(b"".join(words.word(i) + b" " for i in range(len(words))))
+            sizes = words.ends - words.starts + 1
+            starts.append((size + np.cumsum(sizes) - sizes).astype(np.uint32))
+            item.append((begin + words.doc).astype(np.uint32))
+            counts, hashes = words.counts(), words.hashes()
+            for k in np.unique(np.minimum(counts[counts > 0], n_words)).tolist():
+                first, own = words.windows(hashes, k)
+                if k < n_words:  # an item of fewer words is one window
+                    whole = counts[words.doc[first]] == k
+                    first, own = first[whole], own[whole]
+                found[k].append((own, (done + first).astype(np.uint32)))
+            done, size = done + len(words), size + len(buffers[-1])
+        self.buffer = b"".join(buffers)
+        del buffers
+        self.starts = np.concatenate([*starts, np.array([size], np.uint32)])
+        self.item = np.concatenate([*item, np.zeros(0, np.uint32)])
+        self.sorted: dict[int, np.ndarray] = {}
+        self.first: dict[int, np.ndarray] = {}
+        self.table: dict[int, np.ndarray] = {}
+        for k, parts in found.items():
+            hashes, first = (np.concatenate([p[n] for p in parts]) for n in range(2))
+            order = np.argsort(hashes)
+            self.sorted[k], self.first[k] = hashes[order], first[order]
             self.table[k] = np.zeros(1 << 16, bool)
             self.table[k][(hashes >> np.uint64(48)).astype(np.int64)] = True
+        self._known: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def _texts(self, k: int, at: int) -> dict[bytes, set[str]]:
+        """What the windows with the hash at place ``at`` say, and the items that say it."""
+        if (k, at) not in self._known:
+            wanted, texts = self.sorted[k], defaultdict(set)
+            for i in range(at, int(np.searchsorted(wanted, wanted[at], "right"))):
+                first = int(self.first[k][i])
+                texts[self.buffer[self.starts[first] : self.starts[first + k] - 1]].add(self.names[self.item[first]])
+            self._known[k, at] = dict(texts)
+        return self._known[k, at]
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, length, items) of every occurrence in any of the texts."""
@@ -61,10 +106,11 @@ class WindowSet:
         for k, wanted in self.sorted.items():
             first, hashes = words.windows(own, k)
             maybe = np.flatnonzero(self.table[k][(hashes >> np.uint64(48)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(wanted, hashes[maybe]), len(wanted) - 1)
-            for j in maybe[wanted[at] == hashes[maybe]].tolist():
+            at = np.searchsorted(wanted, hashes[maybe])
+            same = wanted[np.minimum(at, len(wanted) - 1)] == hashes[maybe]
+            for j, place in zip(maybe[same].tolist(), at[same].tolist(), strict=True):
                 text = b" ".join(words.word(i) for i in range(first[j], first[j] + k))
-                if items := self.windows[k][int(hashes[j])].get(text):
+                if items := self._texts(k, place).get(text):
                     yield int(first[j]), k, items
 
 

@@ -2,14 +2,19 @@
 
 Base rules need at least 20 words, and at most 30 % of the words in 8-word
 windows that the text repeats. Tokenizer fertility then reads three figures
-from the public 32k-piece vocabulary: characters per token, the share of
-byte-fallback tokens and the entropy of the text's tokens. Each script has a
-band for every figure, and a text outside a band is rejected. The bands are wide:
-they are there for encoded, garbled or one-symbol text, and prose of any
-language that the script is used for lies inside them.
-
-Null texts have no words and fail the base rules. Rows are independent: no
-shuffle, and memory is bounded by a slice of texts plus the longest text.
+from the public 32k-piece vocabulary over the whole text, white space and line
+breaks included: characters per token, the share of byte-fallback tokens (those
+of line breaks and tabs, which the vocabulary has no pieces for, left out) and the
+entropy of the text's tokens. Each script has a band for every figure, and a text
+outside a band is rejected, whatever its length. The bands are wide: they are
+there for encoded, garbled or one-symbol text, and prose of any language that the
+script is used for lies inside them.
+
+Null and empty texts have no words and no tokens and fail the base rules; an empty
+table gives no rows. Rows are independent: no shuffle, repeated rows are measured
+each, and memory is bounded by an Arrow batch and the longest text's tokens.
+Repeated windows are found by 64-bit hashes of words and of eight words together;
+windows of different words with one hash would count as equal.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +45,8 @@ BANDS = {
     "GREEK": (0.6, 9.0, 0.8, 2.0),
     "other": (0.2, 12.0, 1.01, 1.0),
 }
-#: The entropy and fertility of a handful of tokens say nothing.
-MIN_TOKENS = 30
-MAX_CACHED = 200_000
+#: Byte pieces of white space say nothing of how well a vocabulary covers a text.
+SPACE_BYTES = b"\t\n\x0b\x0c\r "
 
 FIELDS = pa.schema(
     [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string()), ("kept", pa.bool_())]
@@ -89,38 +94,29 @@ def repeated_words(words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 class Fertility:
-    """Tokens of distinct words by a public SentencePiece vocabulary; white space never lies inside a piece."""
+    """Figures of texts by a public SentencePiece vocabulary, which encodes each text as a whole."""
 
     def __init__(self, vocabulary: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-        self.bytes = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.cache: dict[int, list[int]] = {}
-
-    def figures(self, words: Words, hashes: np.ndarray, chars: np.ndarray) -> dict[str, np.ndarray]:
-        n = len(words.texts)
-        kinds, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
-        keys = kinds.tolist()
-        new = [j for j, key in enumerate(keys) if key not in self.cache]
-        for j, ids in zip(new, self.model.encode([words.word(one[j]).decode("utf-8", "replace") for j in new], num_threads=1), strict=True):
-            self.cache[keys[j]] = ids
-        pieces = [self.cache[key] for key in keys]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((i for ids in pieces for i in ids), np.int64, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
-        per_word = sizes[which]
-        at = np.repeat(begins[which] - (np.cumsum(per_word) - per_word), per_word) + np.arange(per_word.sum())
-        tokens, doc = flat[at], np.repeat(words.doc, per_word)
-        total = np.bincount(doc, minlength=n)
+        pieces = range(self.model.get_piece_size())
+        spaces = {f"<0x{b:02X}>" for b in SPACE_BYTES}
+        self.bytes = np.array([self.model.is_byte(i) and self.model.id_to_piece(i) not in spaces for i in pieces])
+
+    def figures(self, texts: list[str]) -> dict[str, np.ndarray]:
+        n = len(texts)
+        pieces = self.model.encode(texts, num_threads=1)
+        total = np.fromiter(map(len, pieces), np.int64, n)
+        tokens = np.fromiter(chain.from_iterable(pieces), np.int64, int(total.sum()))
+        doc = np.repeat(np.arange(n), total)
         of_bytes = np.bincount(doc, self.bytes[tokens], minlength=n)
         pairs = np.sort(doc * len(self.bytes) + tokens)
         edge = np.flatnonzero(np.diff(pairs, prepend=-1))
         counts = np.diff(edge, append=len(pairs)).astype(float)
         inner = np.bincount(pairs[edge] // len(self.bytes), counts * np.log2(np.maximum(counts, 1)), minlength=n)
         some = np.maximum(total, 1)
+        chars = np.fromiter(map(len, texts), np.int64, n)
         return {"n_tokens": total, "chars_per_token": chars / some, "byte_share": of_bytes / some, "token_entropy": np.where(total > 0, np.log2(some) - inner / some, 0.0)}
 
 
@@ -147,11 +143,12 @@ def measure(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
             repeat = repeated_words(words, hashes)
             out = {"n_words": counts, "word_chars": chars, "n_symbols": symbols[ends] - symbols[words.text_starts], "n_dup_lines": [repeated_lines(t) for t in texts], "n_repeat_words": repeat}
             out["base_failed"] = (counts < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * counts)
-            out |= fertility.figures(words, hashes, chars)
-            out["script"] = [main_script(t.decode("utf-8", "replace")) for t in texts]
+            decoded = [t.decode("utf-8", "replace") for t in texts]
+            out |= fertility.figures(decoded)
+            out["script"] = list(map(main_script, decoded))
             low, high, most_bytes, least = np.array([bands.get(s, bands["other"]) for s in out["script"]]).reshape(n, 4).T
             outside = (out["chars_per_token"] < low) | (out["chars_per_token"] > high) | (out["byte_share"] > most_bytes) | (out["token_entropy"] < least)
-            out["kept"] = ~out["base_failed"] & ~((out["n_tokens"] >= MIN_TOKENS) & outside)
+            out["kept"] = ~out["base_failed"] & ~outside
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pc.cast(pa.array(out[f.name]), f.type) for f in FIELDS)], names=[*batch.schema.names, *names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

@@ -30,12 +30,25 @@ def test_chat_round_trip(spark):
 
 def test_chat_parts(spark):
     part = chat.PART
-    rows = [(1, 0, "user", [("text", "see <|", None, None), ("image", None, "s3://a|b", None), ("audio", None, "u", 7), (None, "x", None, None)]), (1, 1, "assistant", [("document", None, "d", None)]), (2, 0, "user", None)]
-    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")).collect()}
-    assert [(a.number, a.turn, a.kind, a.ref, a.tokens) for a in got[1].attachments] == [(1, 0, "image", "s3://a|b", 576), (2, 0, "audio", "u", 7), (3, 1, "document", "d", 1024)]
+    rows = [
+        (1, 0, "user", [("text", "see <|", None, None), ("image", None, "s3://a|b>%:<", None), ("audio", None, "u", 7), (None, "x", None, None)]),
+        (1, 1, "assistant", [("document", None, "d", None)]),
+        (2, 0, "user", None),
+        (3, 0, "assistant", [("text", "<", None, None), ("text", "|im_end|>", None, None), ("image", None, None, None), ("text", "|image:x|>\\", None, None), ("my|kind:<", None, "r", 1), ("text", "<|image:x|>", None, None)]),
+        (3, 0, "assistant", [("text", "<|im_start|>", None, None), ("text", "\\", None, None), ("text", "<|", None, None)]),
+    ]
+    chats = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")).withColumn("turns", chat.read_back(F.col("formatted")))
+    got = {r.conv_id: r for r in chats.collect()}
+    assert [(a.number, a.turn, a.kind, a.ref, a.tokens) for a in got[1].attachments] == [(1, 0, "image", "s3://a|b>%:<", 576), (2, 0, "audio", "u", 7), (3, 1, "document", "d", 1024)]
     assert got[1].expanded_tokens == 576 + 7 + 1024
-    assert got[1].formatted == "<|im_start|>user\nsee <\\|<|image:s3://a|b|><|audio:u|>x<|im_end|>\n<|im_start|>assistant\n<|document:d|><|im_end|>\n"
+    assert got[1].formatted == "<|im_start|>user\nsee <\\|<|image:s3%3A//a%7Cb%3E%25%3A%3C|><|audio:u|>x<|im_end|>\n<|im_start|>assistant\n<|document:d|><|im_end|>\n"
     assert got[2].formatted == "<|im_start|>user\n<|im_end|>\n" and got[2].attachments == []
+    read = lambda r: [[(p.kind, p.text, p.ref) for p in t.parts] for t in r.turns]
+    assert read(got[1]) == [[("text", "see <|", None), ("image", None, "s3://a|b>%:<"), ("audio", None, "u"), ("text", "x", None)], [("document", None, "d")]]
+    assert sorted(read(got[3]), key=len) == [
+        [("text", "<|im_start|>\\<|", None)],
+        [("text", "<|im_end|>", None), ("image", None, ""), ("text", "|image:x|>\\", None), ("my|kind:<", None, "r"), ("text", "<|image:x|>", None)],
+    ]
 
 
 def test_packing_query(spark, small):

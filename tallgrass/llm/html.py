@@ -3,7 +3,8 @@
 A page is read into its blocks: leaf texts between block-level tags, each with
 the path of tags (and class or id words) above it. A bidirectional LSTM in NumPy
 reads a page's whole sequence of blocks. A block's vector is made of hashed
-embeddings of its tag path, hashed embeddings of its words, and a few figures
+embeddings of its tag path (the mean over the whole path, and that of its last two
+elements), the mean of hashed embeddings of all its words, and a few figures
 (length, link share, place in the page). Every block gets one label, with the
 context of all others: main text or not. The kept blocks are joined by line
 breaks, in page order.
@@ -14,15 +15,19 @@ different containers, among menus, headers, footers, sidebars, notices, adverts,
 forms and comments. No table is read for training.
 
 Scripts, styles, comments in markup and hidden control content never become
-blocks. Null or empty pages have an empty text. Rows are independent, so there is
-no shuffle; memory is bounded by a slice of pages plus the longest page.
+blocks; without their closing tag only the opening tag is left out. Reading a page
+takes time in proportion to its length, whatever its markup. Null or empty pages
+have an empty text, repeated rows are read each, and an empty table gives no rows.
+Rows are independent, so there is no shuffle; memory is bounded by an Arrow batch
+and the longest page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -32,23 +37,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import table, text_slices
+from tallgrass.llm.words import NOT_SPACE, Words
 
 #: Elements that begin and end a block.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW_TAGS = frozenset("script style noscript template iframe object svg math canvas textarea title".split())
+#: Elements whose content is no text of the page; what is in ``noscript``, ``object``, ``canvas`` or ``math`` is.
+RAW_TAGS = frozenset("script style template iframe svg textarea title".split())
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body html article section div main aside nav header footer form select td th blockquote".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^<]+|<""", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quotes hold a ``>`` only after an equals sign.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[a-z]+")
 
-Block = tuple[str, tuple[str, ...], int]
+#: The text, the place of its element among the page's ``Path`` nodes, characters inside links.
+Block = tuple[str, int, int]
+
+
+class Path:
+    """The elements that a page's blocks lie in: each one's parent (-1: none) and names."""
+
+    def __init__(self) -> None:
+        self.parents: list[int] = []
+        self.names: list[tuple[str, ...]] = []
+
+    def add(self, parent: int, names: tuple[str, ...]) -> int:
+        self.parents.append(parent)
+        self.names.append(names)
+        return len(self.names) - 1
 
 
 @lru_cache(4096)
@@ -60,16 +82,68 @@ def _end_of_raw(tag: str) -> re.Pattern:
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """The tag and the words of its class, id and role."""
     words = [w for _, *values in _ATTRIBUTE.findall(attributes) for w in _NAME_WORD.findall("".join(values).lower())]
-    return (tag, *(f".{w}" for w in words[:6]))
+    return (tag, *(f".{w}" for w in words))
+
+
+class _Markup:
+    """Tags and texts of a page, in time in proportion to its length."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last_end = page.rfind(">")
+        self.quotes = True
+        self.unclosed: set[str] = set()
+
+    def tokens(self) -> Iterator[tuple[str, bool, str]]:
+        """(tag name, whether it closes, attributes) of tags, ("", False, text) of texts."""
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            start = page.find("<", self.at)
+            if start != self.at:
+                end = start if start >= 0 else n
+                text, self.at = page[self.at : end], end
+                yield "", False, text
+                continue
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                self.at = end + 3 if end >= 0 else n
+            elif start <= self.last_end and page[start + 1 : start + 2] in ("!", "?"):
+                self.at = page.find(">", start) + 1
+            elif start <= self.last_end and (m := _NAME.match(page, start)):
+                yield m.group(2).lower(), bool(m.group(1)), self._rest(m.end())
+            else:
+                self.at = start + 1
+                yield "", False, "<"
+
+    def _rest(self, at: int) -> str:
+        """The attributes from ``at`` on. Once a quote runs on to the page's end, a tag ends at its first ``>``."""
+        m = _REST.match(self.page, at) if self.quotes else None
+        if m:
+            self.at = m.end()
+            return m.group(1)
+        self.quotes = False
+        end = self.page.find(">", at)
+        end = end if end >= 0 else len(self.page)
+        self.at = end + 1
+        return self.page[at:end]
+
+    def skip(self, tag: str) -> None:
+        """Goes on after the element's closing tag, if there is one."""
+        if tag not in self.unclosed:
+            closing = _end_of_raw(tag).search(self.page, self.at)
+            if closing:
+                self.at = closing.end()
+            else:
+                self.unclosed.add(tag)
 
 
-def blocks(page: str) -> list[Block]:
-    """(text, names on its path, characters inside links) of every block with text, in page order."""
+def blocks(page: str) -> tuple[list[Block], Path]:
+    """Every block with text, in page order, and the elements that they lie in."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    path = Path()
+    stack: list[tuple[str, int]] = []
     texts: list[str] = []
     linked = links = 0
-    at, n = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -77,84 +151,79 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(texts).split())
             texts.clear()
             if text:
-                out.append((text, tuple(name for _, names in stack for name in names), linked))
+                out.append((text, stack[-1][1] if stack else -1, linked))
         linked = 0
 
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            text = m.group()
-            if text[0] != "<" or text == "<":
-                text = entities.unescape(text) if "&" in text else text
-                texts.append(text)
-                if links:
-                    linked += len(text)
+    markup = _Markup(page)
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+
+    def last(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened[t]), default=-1)
+
+    def close_to(i: int) -> None:
+        for tag, _ in stack[i:]:
+            opened[tag].pop()
+        del stack[i:]
+
+    for tag, closes, rest in markup.tokens():
+        if not tag:
+            text = entities.unescape(rest) if "&" in rest else rest
+            texts.append(text)
+            if links:
+                linked += len(text)
             continue
-        tag = tag.lower()
-        if m.group(1):
+        if closes:
             if tag in BLOCK_TAGS:
                 flush()
             elif tag == "a" and links:
                 links -= 1
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in SCOPES and stack[i][0] in SCOPES:
-                    break
+            i = last([tag])
+            if i >= 0 and (tag in SCOPES or i > last(SCOPES)):
+                close_to(i)
             continue
         if tag in RAW_TAGS:
-            closing = _end_of_raw(tag).search(page, at)
-            at = closing.end() if closing else n
+            if not (tag == "svg" and rest.endswith("/")):
+                markup.skip(tag)
             continue
         if tag == "br":
             texts.append(" ")
         if tag in BLOCK_TAGS:
             flush()
             closed = CLOSES.get(tag, ()) if tag in CLOSES else ("p", "h1", "h2", "h3", "h4", "h5", "h6")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closed:
-                    del stack[i:]
-                    links = 0
-                    break
-                if stack[i][0] in SCOPES and stack[i][0] not in closed:
-                    break
+            i = last(closed)
+            if i >= 0 and i > last(SCOPES.difference(closed)):
+                close_to(i)
+                links = 0
         elif tag == "a":
             links += 1
-        if tag not in VOID_TAGS and tag != "a" and (tag in BLOCK_TAGS or m.group(3)):
-            stack.append((tag, _names(tag, m.group(3))))
+        if tag not in VOID_TAGS and tag != "a" and (tag in BLOCK_TAGS or rest.strip("/ ")):
+            opened[tag].append(len(stack))
+            stack.append((tag, path.add(stack[-1][1] if stack else -1, _names(tag, rest))))
     flush()
-    return out
+    return out, path
 
 
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 1 << 10, 1 << 11, 16, 8, 6, 16
-LAST_NAMES, FIRST_WORDS = 12, 12
+Page = tuple[list[Block], Path]
 
 
 @lru_cache(65536)
-def _path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
-    names = path[-LAST_NAMES:]
-    return tuple({crc32(name.encode()) % PATH_BUCKETS for name in (*names, "/".join(path[-2:]))})
+def _bucket(name: str) -> int:
+    return crc32(name.encode()) % PATH_BUCKETS
 
 
-@lru_cache(65536)
-def _word_bucket(word: str) -> int:
-    return crc32(word.encode()) % WORD_BUCKETS
+def last_names(path: Path, node: int) -> list[int]:
+    """Buckets of the names of an element and its parent, of both tags together, and of the element's own apart."""
+    if node < 0:
+        return []
+    own, parent = path.names[node], path.parents[node]
+    above = path.names[parent] if parent >= 0 else ()
+    return [*map(_bucket, own), *map(_bucket, above), _bucket(f"{above[0] if above else ''}/{own[0]}"), *(_bucket(f"!{name}") for name in own)]
 
 
-def features(page: list[Block]) -> tuple[list[tuple[int, ...]], list[list[int]], list[tuple[float, ...]]]:
-    """Path buckets, word buckets (of the block's first and last words) and figures of each block."""
-    paths, words, figures = [], [], []
+def figures_of(page: list[Block]) -> list[tuple[float, ...]]:
     n = len(page)
-    for i, (text, path, linked) in enumerate(page):
-        own = text[:240].lower().split()[:FIRST_WORDS] + text[-120:].lower().split()[-4:]
-        size = len(text)
-        paths.append(_path_buckets(path))
-        words.append([_word_bucket(w) for w in own])
-        figures.append((min(size, 2000) / 500, np.log1p(size) / 8, min(1.0, linked / size), i / n, (n - i) / n, float(text[-1] in ".!?…。")))
-    return paths, words, figures
+    return [(min(len(text), 2000) / 500, np.log1p(len(text)) / 8, min(1.0, linked / len(text)), i / n, (n - i) / n, float(text[-1] in ".!?…。")) for i, (text, _, linked) in enumerate(page)]
 
 
 class Labeller:
@@ -162,9 +231,9 @@ class Labeller:
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
-        d = PATH_DIM + WORD_DIM + FIGURES
+        d = 2 * PATH_DIM + WORD_DIM + FIGURES
         draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-        self.w = {"P": draw(PATH_BUCKETS, PATH_DIM, scale=0.1), "V": draw(WORD_BUCKETS, WORD_DIM, scale=0.1)}
+        self.w = {"P": draw(PATH_BUCKETS, PATH_DIM, scale=0.1), "L": draw(PATH_BUCKETS, PATH_DIM, scale=0.1), "V": draw(WORD_BUCKETS, WORD_DIM, scale=0.1)}
         for side in "fb":
             self.w[f"W{side}"] = draw(d + HIDDEN, 4 * HIDDEN, scale=0.2)
             self.w[f"B{side}"] = np.zeros(4 * HIDDEN, np.float32)
@@ -172,22 +241,44 @@ class Labeller:
         self.w["O"] = draw(2 * HIDDEN + d, scale=0.1)
         self.w["c"] = np.zeros(1, np.float32)
 
-    @staticmethod
-    def _mean(table: np.ndarray, lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Mean rows of ``table`` for each list; and rows, their lists and shares, for the way back."""
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        rows = np.fromiter((x for own in lists for x in own), np.int64, int(sizes.sum()))
-        which = np.repeat(np.arange(len(lists)), sizes)
-        out = np.zeros((len(lists), table.shape[1]), np.float32)
-        some = np.flatnonzero(sizes)
-        if len(some):
-            out[some] = np.add.reduceat(table[rows], (np.cumsum(sizes) - sizes)[some], axis=0) / sizes[some, None]
-        return out, rows, which, 1 / np.maximum(sizes, 1)
-
-    def inputs(self, paths: list, words: list, figures: list) -> tuple[np.ndarray, tuple, tuple]:
-        p, *back_p = self._mean(self.w["P"], paths)
-        v, *back_v = self._mean(self.w["V"], words)
-        return np.concatenate([p, v, np.asarray(figures, np.float32).reshape(-1, FIGURES)], 1), tuple(back_p), tuple(back_v)
+    def inputs(self, pages: list[Page]) -> tuple[np.ndarray, list[tuple[str, slice, np.ndarray, np.ndarray, np.ndarray]]]:
+        """Vectors of all blocks; and for the way back, by part: table, columns, rows, the blocks that read them, shares."""
+        every = [b for own, _ in pages for b in own]
+        n = len(every)
+        means, back = [], []
+
+        def mean(key: str, rows: np.ndarray, sizes: np.ndarray) -> None:
+            table = self.w[key]
+            out = np.zeros((n, table.shape[1]), np.float32)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                out[some] = np.add.reduceat(table[rows], (np.cumsum(sizes) - sizes)[some], axis=0) / sizes[some, None]
+            at = sum(m.shape[1] for m in means)
+            means.append(out)
+            back.append((key, slice(at, at + table.shape[1]), rows, np.repeat(np.arange(n), sizes), 1 / np.maximum(sizes, 1)))
+
+        lists = [last_names(path, node) for own, path in pages for _, node, _ in own]
+        mean("L", np.fromiter((x for own in lists for x in own), np.int64), np.fromiter(map(len, lists), np.int64, n))
+        words = Words([text.encode("utf-8", "replace").lower() for text, _, _ in every], NOT_SPACE)
+        mean("V", (words.hashes() % np.uint64(WORD_BUCKETS)).astype(np.int64), words.counts())
+        whole = self._paths(pages, n)
+        figures = np.array([f for own, _ in pages for f in figures_of(own)], np.float32).reshape(-1, FIGURES)
+        return np.concatenate([*means, whole, figures], 1), back
+
+    def _paths(self, pages: list[Page], n: int) -> np.ndarray:
+        """Means over the names of whole paths, from sums that go down from element to element."""
+        out = np.zeros((n, PATH_DIM), np.float32)
+        at = 0
+        for own, path in pages:
+            sums = np.zeros((len(path.names) + 1, PATH_DIM), np.float32)  # the last row: no element
+            counts = np.zeros(len(path.names) + 1)
+            for i, (parent, names) in enumerate(zip(path.parents, path.names, strict=True)):
+                sums[i] = sums[parent] + self.w["P"][[_bucket(name) for name in names]].sum(0)
+                counts[i] = counts[parent] + len(names)
+            nodes = [node for _, node, _ in own]
+            out[at : at + len(own)] = sums[nodes] / np.maximum(counts[nodes], 1)[:, None] if own else 0
+            at += len(own)
+        return out
 
     def forward(self, x: np.ndarray, sizes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """Logits of blocks ``x``, of pages with ``sizes`` blocks each, one after the other. Longest pages first inside."""
@@ -218,7 +309,7 @@ class Labeller:
                     tape.append((name, at, i, f, g, o, squashed, *before))
         return np.concatenate([hidden, x], 1) @ self.w["O"] + self.w["c"], [hidden, tape]
 
-    def gradients(self, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, back_p: tuple, back_v: tuple) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, pages: list[Page], reads: list[tuple]) -> dict[str, np.ndarray]:
         logits, (hidden, tape) = self.forward(x, sizes, keep=True)
         error = ((1 / (1 + np.exp(-logits)) - labels) / len(sizes)).astype(np.float32)
         grad = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -244,40 +335,57 @@ class Labeller:
                 dx[at] += dz @ w[:d].T
                 dh[:n] = dz @ w[d:].T
                 dc[:n] = cell * f
-        for key, (rows, which, share), part in (("P", back_p, dx[:, :PATH_DIM]), ("V", back_v, dx[:, PATH_DIM : PATH_DIM + WORD_DIM])):
-            np.add.at(grad[key], rows, (part * share[:, None])[which])
+        for key, columns, rows, which, share in reads:
+            np.add.at(grad[key], rows, (dx[:, columns] * share[:, None])[which])
+        of_path = dx[:, PATH_DIM + WORD_DIM : 2 * PATH_DIM + WORD_DIM]
+        at = 0
+        for own, path in pages:  # from the elements up: what an element's names do to all blocks below it
+            down = np.zeros((len(path.names), PATH_DIM), np.float32)
+            counts = np.zeros(len(path.names) + 1)
+            for i, (parent, names) in enumerate(zip(path.parents, path.names, strict=True)):
+                counts[i] = counts[parent] + len(names)
+            for j, (_, node, _) in enumerate(own):
+                if node >= 0:
+                    down[node] += of_path[at + j] / max(counts[node], 1)
+            for i in range(len(path.names) - 1, -1, -1):
+                if path.parents[i] >= 0:
+                    down[path.parents[i]] += down[i]
+                for name in path.names[i]:
+                    grad["P"][_bucket(name)] += down[i]
+            at += len(own)
         return grad
 
-    def train(self, pages: list[tuple[list[Block], list[int]]], epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 5) -> Labeller:
+    def train(self, pages: list[tuple[Page, list[int]]], epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 5) -> Labeller:
         rng = np.random.default_rng(seed)
-        made = [features(p) for p, _ in pages]
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         t = 0
         for epoch in range(epochs):
             order = rng.permutation(len(pages))
             for some in (order[i : i + batch] for i in range(0, len(order), batch)):
-                paths, words, figures = ([row for j in some for row in made[j][k]] for k in range(3))
-                sizes = np.array([len(pages[j][0]) for j in some])
-                x, back_p, back_v = self.inputs(paths, words, figures)
+                own = [pages[j][0] for j in some]
+                x, back = self.inputs(own)
                 t += 1
-                for k, g in self.gradients(x, sizes, np.array([y for j in some for y in pages[j][1]], np.float32), back_p, back_v).items():
+                labels = np.array([y for j in some for y in pages[j][1]], np.float32)
+                for k, g in self.gradients(x, np.array([len(p[0]) for p in own]), labels, own, back).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.w[k] -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
-    def main_texts(self, pages: list[list[Block]]) -> list[str]:
-        if not any(pages):
-            return [""] * len(pages)
-        paths, words, figures = (list(rows) for rows in zip(*(features(p) for p in pages), strict=True))
-        x, _, _ = self.inputs([r for p in paths for r in p], [r for p in words for r in p], [r for p in figures for r in p])
-        sizes = np.array([len(p) for p in pages])
-        kept = self.forward(x, sizes)[0] > 0
+    def labels(self, pages: list[Page]) -> np.ndarray:
+        """Which blocks are main text, for all pages' blocks one after the other."""
+        if not any(own for own, _ in pages):
+            return np.zeros(0, bool)
+        x, _ = self.inputs(pages)
+        return self.forward(x, np.array([len(own) for own, _ in pages]))[0] > 0
+
+    def main_texts(self, pages: list[Page]) -> list[str]:
+        kept = self.labels(pages)
         out, at = [], 0
-        for page in pages:
-            out.append("\n".join(text for (text, _, _), good in zip(page, kept[at : at + len(page)], strict=True) if good))
-            at += len(page)
+        for own, _ in pages:
+            out.append("\n".join(text for (text, _, _), good in zip(own, kept[at : at + len(own)], strict=True) if good))
+            at += len(own)
         return out
 
 
@@ -384,7 +492,7 @@ def training_pages(n: int = 700, seed: int = 2) -> Iterator[tuple[str, list[int]
 def trained() -> Labeller:
     """The labeller, trained once in a process; seeds are fixed, so it is the same everywhere."""
     made = [(blocks(page), labels) for page, labels in training_pages()]
-    return Labeller().train([(own, labels) for own, labels in made if len(own) == len(labels)])
+    return Labeller().train([(page, labels) for page, labels in made if len(page[0]) == len(labels)])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text", labeller: Labeller | None = None) -> DataFrame:

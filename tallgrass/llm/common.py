@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 from collections.abc import Iterator
@@ -21,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the whole cluster shares.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary one is made only
-    where the setting is missing (single-machine tests).
+    The cluster names it in ``spark.checkpoint.dir``. Where the setting is missing, a temporary one is made for a
+    session on one machine (tests); any other is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallgrass-checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="tallgrass-checkpoint-"))
     return context.getCheckpointDir()
 
 

@@ -419,7 +419,7 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     return own.select("i", "h"), named.join(least, "class").select("h", F.col("k.least").alias("root"), F.col("k.h").alias("keeper"))
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4, max_bits: int = 3, most: int = MAX_RUN) -> DataFrame:
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 2, max_bits: int = 3, most: int = MAX_RUN) -> DataFrame:
     """``id_col`` and ``root`` of every row with an id: the smallest id of its text's class.
 
     Classes are joined by equal texts and by pairs whose shingles of ``n_words`` words have a Jaccard similarity of
@@ -432,7 +432,7 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(classes, "h").select(F.col("i").alias(id_col), "root")
 
 
-def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:
+def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 2) -> DataFrame:
     """The row with the smallest id of each class of ``similar_copies``; of equal rows with one id, any one. Rows without id stay.
 
     Different texts that share an id are told apart by their hash: one goes only if its own class keeps another text.

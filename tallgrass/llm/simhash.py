@@ -26,9 +26,11 @@ Rows with a null id keep their row; they never name a component.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,7 @@ MAX_RUN = 4096
 FINER_PARTS = 8
 #: Shingles that come so often in a chunk of rows are common; and at most so many are.
 COMMON_LEAST, COMMON_MOST = 4, 1 << 17
+BLOOM_BITS = 1 << 26
 
 
 def shingle_hashes(words: list[bytes], n_words: int) -> list[int]:
@@ -372,6 +375,35 @@ def exact_candidates(rows: DataFrame, texts: DataFrame, n_words: int, similarity
     return found.filter("kind = 0").unionByName(finer).select(F.col("key").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose text hash ``h`` may be among those of ``wanted``, by a Bloom filter of fixed size.
+
+    It keeps texts that no pair asks for out of the shuffle. A full filter lets all rows pass; none that is wanted is lost.
+    """
+
+    def places(hashes: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(h[:16] for h in hashes), "<u8").reshape(-1, 2) & np.uint64(BLOOM_BITS - 1)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(BLOOM_BITS, bool)
+        for batch in batches:
+            out[places(batch.column("h").to_pylist()).ravel()] = True
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(out).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    filled = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for row in wanted.select("h").mapInArrow(bits, "bits binary").toLocalIterator():
+        filled |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def may_be(hashes: pd.Series) -> pd.Series:
+        at = places(hashes.tolist())
+        return pd.Series((shared.value[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).all(1))
+
+    return rows.filter(may_be("h"))
+
+
 def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, similarity: float, seeds: int, max_bits: int, most: int) -> tuple[DataFrame, DataFrame]:
     """``i h`` (id and text hash) of every row with an id, and ``h root keeper``: the smallest id of a text's class, and the hash of the text kept of it."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
@@ -401,8 +433,8 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([_shingle_set(t, n_words) for t in given], pa.list_(pa.int64()))], names=["node", "s"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("h", "node", "least"), "node")
-        one_each = rows.join(wanted.select("h", "node", F.col("least").alias("i")), ["h", "i"]).dropDuplicates(["h", "i"]).select("node", "t")
+        wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("h", "node", "least"), "node"))
+        one_each = _likely(rows, wanted).join(wanted.select("h", "node", F.col("least").alias("i")), ["h", "i"]).dropDuplicates(["h", "i"]).select("node", "t")
         shingles = checkpointed(one_each.mapInArrow(shingled, "node long, s array<long>"))
         both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("o")), "b")
         shared = F.size(F.array_intersect("s", "o"))
@@ -419,11 +451,11 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     return own.select("i", "h"), named.join(least, "class").select("h", F.col("k.least").alias("root"), F.col("k.h").alias("keeper"))
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 2, max_bits: int = 3, most: int = MAX_RUN) -> DataFrame:
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 1, max_bits: int = 3, most: int = MAX_RUN) -> DataFrame:
     """``id_col`` and ``root`` of every row with an id: the smallest id of its text's class.
 
     Classes are joined by equal texts and by pairs whose shingles of ``n_words`` words have a Jaccard similarity of
-    ``similarity`` or more. The pigeonring over fingerprints of the texts' word sets, under several seeds, joins most
+    ``similarity`` or more. The pigeonring over fingerprints of the texts' word sets, under one seed or several, joins most
     of them by a tree of verified pairs; then every other pair that is similar enough is found by ``exact_candidates``,
     which leaves out only pairs of texts in one class already. Every candidate pair is verified on its shingles.
     Texts without words are equal to each other. Ids must be longs.
@@ -432,7 +464,7 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(classes, "h").select(F.col("i").alias(id_col), "root")
 
 
-def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 2) -> DataFrame:
+def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8, seeds: int = 1) -> DataFrame:
     """The row with the smallest id of each class of ``similar_copies``; of equal rows with one id, any one. Rows without id stay.
 
     Different texts that share an id are told apart by their hash: one goes only if its own class keeps another text.

@@ -428,17 +428,30 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     del nodes, first, same, mine, pairs, ends
     release(docs.sparkSession)
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, given in text_slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([_shingle_set(t, n_words) for t in given], pa.list_(pa.int64()))], names=["node", "s"])
+    def shingled(whole: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, given in text_slices(batches, "t"):
+                sets = [_shingle_set(t, n_words) for t in given]
+                parts = sets if whole else [s[s & 3 == 0] for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "n", "s"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
+        return run
+
+    def compared(pairs: DataFrame, whole: bool) -> DataFrame:
+        """The pairs that are similar enough, or may be by a fourth of their shingles, if the rest were shared as far as it goes."""
         wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("h", "node", "least"), "node"))
         one_each = _likely(rows, wanted).join(wanted.select("h", "node", F.col("least").alias("i")), ["h", "i"]).dropDuplicates(["h", "i"]).select("node", "t")
-        shingles = checkpointed(one_each.mapInArrow(shingled, "node long, s array<long>"))
-        both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("o")), "b")
+        sets = checkpointed(one_each.mapInArrow(shingled(whole), "node long, n int, s array<long>"))
+        release(docs.sparkSession)
+        both = pairs.join(sets.select(F.col("node").alias("a"), "n", "s"), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("o")), "b")
         shared = F.size(F.array_intersect("s", "o"))
-        return checkpointed(both.filter(shared >= similarity * (F.size("s") + F.size("o") - shared)).select("a", "b"))
+        most = shared + F.least(F.col("n") - F.size("s"), F.col("m") - F.size("o"))
+        return checkpointed(both.filter(most * (1 + similarity) >= similarity * (F.col("n") + F.col("m")) - 1e-9).select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = compared(pairs, False)
+        release(docs.sparkSession)
+        return compared(likely, True)
 
     links = verified(candidates)
     classed = texts.select("h", "node").join(connected_components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("class"))

@@ -28,7 +28,7 @@ def _by_rule(rule):  # noqa: ANN001, ANN202
         for texts in batches:
             yield texts.map(rule, na_action="ignore")
 
-    return run
+    return run.asNondeterministic()  # keeps the optimizer from working a key out again for each filter on it
 
 
 _fold, _norm, _key, _solid = (_by_rule(f) for f in (rules.fold, rules.norm, rules.key, rules.solid))
@@ -56,8 +56,13 @@ def _native_norm(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(_native_fold(text), _SPACES, " ")))
 
 
-def _native_key(text: Column) -> Column:
-    return F.trim(F.regexp_replace(_native_norm(text), r"[^\p{L}\p{N}_]+", " "))
+def key_of_norm(norm_text: Column) -> Column:
+    """The key of a text that ``norm`` has gone through."""
+    return F.trim(F.regexp_replace(norm_text, r"[^\p{L}\p{N}_]+", " "))
+
+
+def solid_of_key(key_text: Column) -> Column:
+    return F.replace(key_text, F.lit(" "), F.lit(""))
 
 
 def fold(text: Column | str) -> Column:
@@ -71,12 +76,12 @@ def norm(text: Column | str) -> Column:
 
 def key(text: Column | str) -> Column:
     """``norm`` without punctuation; words stay apart."""
-    return _either(_c(text), _key, _native_key(_c(text)))
+    return key_of_norm(norm(text))
 
 
 def solid(text: Column | str) -> Column:
     """``key`` without spaces."""
-    return _either(_c(text), _solid, F.replace(_native_key(_c(text)), F.lit(" "), F.lit("")))
+    return solid_of_key(key(text))
 
 
 def solid_usable(solid_text: Column) -> Column:

@@ -20,7 +20,9 @@ from tallgrass.functions.distance import distance, similarity
 
 SEED = 12
 MAX_SEEDS = 200_000
-MIN_SIMILARITY, MIN_MARGIN, SHORTLIST, MAX_TEXT = 0.90, 0.03, 5, 20_000
+MIN_SIMILARITY, MIN_MARGIN, SHORTLIST = 0.90, 0.03, 5
+#: Records of these kinds are looked up by their parts, never approximately.
+EXACT_KINDS = ("crossword", "matching", "composite")
 CHOICE_SIMILARITY, CHOICE_MARGIN = 0.92, 0.10
 
 
@@ -102,25 +104,53 @@ def dice_shortlist(pages: DataFrame, needles: DataFrame, size: int = SHORTLIST)
 def approx_lookup(pages: DataFrame, needles: DataFrame) -> DataFrame:
     """A row per page with a candidate: ``page_id needle_id similarity edits accepted near``.
 
-    Accepted: similarity and edits in bounds, and apart from the second candidate. ``near``: up to three candidates.
+    Accepted: similarity and edits in bounds, apart from the second candidate, and not against the page's choices. ``near``:
+    up to three candidates. Needles may have a ``kind`` (those of ``EXACT_KINDS`` take no part) and their answers' ``values``,
+    pages their ``choices``: arrays of normalised texts. Pages of any length are compared.
     """
-    short = pages.filter((F.col("key") != "") & (F.length("key") <= MAX_TEXT))
-    pairs = dice_shortlist(short, needles).join(short.select(F.col("id").alias("page_id"), F.col("key").alias("p_key")), "page_id").join(needles.select(F.col("id").alias("needle_id"), F.col("key").alias("n_key")), "needle_id")
+    short = pages.filter(F.col("key") != "")
+    own = needles.filter(~F.coalesce(F.col("kind"), F.lit("")).isin(*EXACT_KINDS)) if "kind" in needles.columns else needles
+    none = F.lit(None).cast("array<string>")
+    texts = short.select(F.col("id").alias("page_id"), F.col("key").alias("p_key"), (F.col("choices") if "choices" in pages.columns else none).alias("choices"))
+    answers = own.select(F.col("id").alias("needle_id"), F.col("key").alias("n_key"), (F.col("values") if "values" in own.columns else none).alias("values"))
+    pairs = dice_shortlist(short, own).join(texts, "page_id").join(answers, "needle_id")
     most = T.max_distance(F.length("n_key"))
     judged = pairs.withColumn("most", most).withColumn("edits", distance(F.col("n_key"), F.col("p_key"), 2 * F.col("most") + 4)).filter(F.col("edits") <= 2 * F.col("most") + 4)
     judged = judged.withColumn("similarity", similarity(F.col("edits"), F.col("n_key")))
     w = Window.partitionBy("page_id").orderBy(F.desc("similarity"), "rank")
     ranked = judged.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("similarity").over(w)).withColumn("near", F.collect_list("needle_id").over(w.rowsBetween(0, 2)))
-    fits = (F.col("similarity") >= MIN_SIMILARITY) & (F.col("edits") <= F.col("most")) & (F.col("second").isNull() | (F.col("similarity") - F.col("second") >= MIN_MARGIN))
+    fits = (F.col("similarity") >= MIN_SIMILARITY) & (F.col("edits") <= F.col("most")) & (F.col("second").isNull() | (F.col("similarity") - F.col("second") >= MIN_MARGIN)) & answer_fits(F.col("values"), F.col("choices"))
     return ranked.filter("k = 1").select("page_id", "needle_id", "similarity", "edits", fits.alias("accepted"), "near")
 
 
-def lookup_cascade(pages: DataFrame, needles: DataFrame) -> DataFrame:
-    """``page_id needle_id quality``: exact where a needle occurs, else approximate; pages without either are left out."""
-    exact = contains_lookup(pages, needles).select("page_id", "needle_id", F.lit("exact").alias("quality"))
-    rest = pages.join(exact.select(F.col("page_id").alias("id")), "id", "left_anti")
-    approx = approx_lookup(rest, needles).filter("accepted").select("page_id", "needle_id", F.lit("approx").alias("quality"))
-    return exact.unionByName(approx)
+def lookup_cascade(pages: DataFrame, needles: DataFrame, links: DataFrame | None = None, context: DataFrame | None = None, approximate: bool = True) -> DataFrame:
+    """``page_id needle_id quality weak``: the first stage that finds something for a page; pages without are left out.
+
+    Stages: needles linked to the page by id (``links``: page_id, needle_id; the smallest), exact containment, the
+    approximate match, and exact containment in the text before the page (``context``: id, key, solid), which is weak.
+    """
+    kinds = {"page_id": pages.schema["id"].dataType, "needle_id": needles.schema["id"].dataType}
+    found: list[DataFrame] = []
+    left = pages
+
+    def stage(hits: DataFrame, quality: str) -> None:
+        nonlocal left
+        hits = hits.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+        found.append(hits.select("page_id", "needle_id", F.lit(quality).alias("quality"), F.lit(quality == "context").alias("weak")))
+        left = left.join(hits.select(F.col("page_id").alias("id")), "id", "left_anti")
+
+    if links is not None:
+        known = links.join(needles.select(F.col("id").alias("needle_id")), "needle_id").groupBy("page_id").agg(F.min("needle_id").alias("needle_id"))
+        stage(pages.select(F.col("id").alias("page_id")).join(known, "page_id"), "id")
+    stage(contains_lookup(left, needles), "exact")
+    if approximate:
+        stage(approx_lookup(left, needles).filter("accepted"), "approx")
+    if context is not None:
+        stage(contains_lookup(context.join(left.select("id"), "id", "left_semi"), needles), "context")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def by_id_lookup(pages: DataFrame, records: DataFrame, link_col: str = "problem_id") -> DataFrame:

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.functions import rules
+from tallgrass.functions import records, rules
 from tallgrass.functions import text as T
 from tallgrass.operators import dedupe, extract, lookup, merge, rollup
-from tallgrass.streaming.capture import capture_events
+from tallgrass.streaming.capture import capture_events, changed_only
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,8 +69,8 @@ _PAGES = f"pages_ AS (SELECT doc_id, key, replace(key, ' ', '') AS solid FROM (S
 
 @query(f"SELECT doc_id, md5({_sql_norm('text')}) AS norm_md5, md5({_sql_key('text')}) AS key_md5, length(replace({_sql_key('text')}, ' ', '')) >= 12 AS usable FROM documents")
 def norm_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.md5(T.norm("text")).alias("norm_md5"), F.md5(T.key("text")).alias("key_md5"), T.solid_usable(T.solid("text")).alias("usable"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", T.norm("text").alias("norm")).withColumn("key", T.key_of_norm(F.col("norm")))
+    return docs.select("doc_id", F.md5("norm").alias("norm_md5"), F.md5("key").alias("key_md5"), T.solid_usable(T.solid_of_key(F.col("key"))).alias("usable"))
 
 
 @query(f"WITH {_KEYED} SELECT max(doc_id) AS doc_id, min(doc_id) AS pos, md5(key) AS key_md5 FROM keyed WHERE key <> '' GROUP BY key")
@@ -198,7 +198,7 @@ def contains_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.containment_pairs(*_sides(spark, sf_dir))
 
 
-_PART_ROWS = rf"parts AS (SELECT item_id, part, key, replace(key, ' ', '') AS solid FROM (SELECT item_id, part, {_sql_key('text')} AS key FROM (SELECT item_id, 0 AS part, split_part(text, '.', 1) AS text FROM benchmark UNION ALL SELECT item_id, 1, split_part(text, '.', 2) FROM benchmark)) WHERE key <> '')"
+_PART_ROWS = rf"parts AS (SELECT item_id, part, key, replace(key, ' ', '') AS solid FROM (SELECT item_id, part, {_sql_key('text')} AS key FROM (SELECT item_id, unnest(string_split(text, '.')) AS text, generate_subscripts(string_split(text, '.'), 1) AS part FROM benchmark)) WHERE key <> '')"
 
 
 @query(
@@ -208,7 +208,7 @@ _PART_ROWS = rf"parts AS (SELECT item_id, part, key, replace(key, ' ', '') AS so
     SELECT h.doc_id AS page_id, h.item_id AS needle_id, CAST(sum(score) AS BIGINT) AS score FROM hits h JOIN wanted w USING (item_id) GROUP BY h.doc_id, h.item_id, w.n HAVING count(*) = w.n"""
 )
 def composite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.slice(F.split("text", r"\."), 1, 2)).alias("part", "text"))
+    parts = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("part", "text"))
     needles = lookup.forms(parts.withColumn("id", F.struct("item_id", "part")), "id", "text").filter("key <> ''").select("id.item_id", "id.part", "key", "solid").withColumnRenamed("item_id", "id")
     return lookup.composite_pairs(_sides(spark, sf_dir)[0], needles)
 
@@ -324,3 +324,134 @@ def page_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id AS key, arg_max(event_type, event_id) FILTER (WHERE start) AS answer, max(event_id) FILTER (WHERE start) AS ord, min(event_id) AS pos FROM r GROUP BY user_id""")
 def capture_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_events(spark, sf_dir)
+
+
+@query(f"""WITH {_HITS}, exact AS (SELECT page_id, arg_min(needle_id, (-score, needle_id)) AS needle_id FROM hits GROUP BY page_id),
+  linked AS (SELECT doc_id AS page_id, item_id AS needle_id FROM documents JOIN benchmark ON item_id = doc_id // 10 WHERE doc_id % 10 = 0)
+  SELECT page_id, needle_id, 'id' AS quality, false AS weak FROM linked
+  UNION ALL SELECT page_id, needle_id, 'exact', false FROM exact WHERE page_id NOT IN (SELECT page_id FROM linked)
+  UNION ALL SELECT page_id + 1, needle_id, 'context', true FROM exact WHERE page_id + 1 IN (SELECT doc_id FROM documents)
+    AND page_id + 1 NOT IN (SELECT page_id FROM linked) AND page_id + 1 NOT IN (SELECT page_id FROM exact)""")
+def cascade_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By id, exact, and by the document before as context; the approximate stage is in ``lookup_cascade``."""
+    pages, needles = _sides(spark, sf_dir)
+    links = read(spark, sf_dir, "documents").filter("doc_id % 10 = 0").selectExpr("doc_id AS page_id", "doc_id div 10 AS needle_id")
+    return lookup.lookup_cascade(pages, needles, links, pages.withColumn("id", F.col("id") + 1), approximate=False)
+
+
+@query("SELECT page_id, coalesce(try_cast(regexp_extract(url, '(\\d+)$', 1) AS BIGINT), 0) AS n FROM pages")
+def item_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", T.item_number("url").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 100 BETWEEN 11 AND 14 THEN 'many' WHEN event_id % 10 = 1 THEN 'one' WHEN event_id % 10 BETWEEN 2 AND 4 THEN 'few' ELSE 'many' END AS form FROM events")
+def plural_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", T.plural(F.col("event_id"), "one", "few", "many").alias("form"))
+
+
+@query(f"SELECT item_id, md5(lower(regexp_replace(coalesce(text, ''), '{_SP}+', '', 'g'))) AS word_md5 FROM benchmark")
+def crossword_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select("item_id", F.md5(T.crossword_word("text")).alias("word_md5"))
+
+
+@query("SELECT p_partkey, trim(rtrim(p_name, ',')) AS bare, p_name AS unquoted FROM part")
+def bare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a closing ellipsis and commas, and in quotes, taken back."""
+    parts = read(spark, sf_dir, "part")
+    return parts.select("p_partkey", T.trim_ellipsis(F.concat("p_name", F.lit(",, …"))).alias("bare"), T.unquote(F.concat(F.lit(' "'), "p_name", F.lit('" '))).alias("unquoted"))
+
+
+@query("""SELECT p_partkey, trim(trim(regexp_replace(left(t, 20), ' [^ ]*$', ''), ' .,;:—-–')) AS fragment
+  FROM (SELECT p_partkey, trim(regexp_replace(replace(p_name || '... ' || p_type, '...', ' '), '\\s+', ' ', 'g')) AS t FROM part)""")
+def scenario_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part")
+    return parts.select("p_partkey", T.scenario_fragment(F.concat_ws("... ", "p_name", "p_type"), 20).alias("fragment"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN contains(n, '...') THEN len(p) END AS n_parts, CASE WHEN contains(n, '...') THEN md5(array_to_string(p, '|')) END AS parts_md5
+  FROM (SELECT conv_id, turn, n, list_filter(list_transform(string_split(n, '...'), lambda x: trim(x)), lambda x: x <> '') AS p
+    FROM (SELECT conv_id, turn, {_sql_norm("replace(text, '. ', '... ')")} AS n FROM conversations))""")
+def parts_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.question_parts(F.replace("text", F.lit(". "), F.lit("... "))).alias("p"))
+    return rows.select("conv_id", "turn", F.when(F.col("p").isNotNull(), F.size("p").cast("long")).alias("n_parts"), F.md5(F.array_join("p", "|")).alias("parts_md5"))
+
+
+@query("SELECT item_id, CAST(greatest(4, floor(length(text) * 0.1 + 0.5)) AS INTEGER) AS edits FROM benchmark")
+def edit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select("item_id", T.max_distance(F.length("text")).alias("edits"))
+
+
+@query("""SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER w AS n, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+  WHERE n = 1 OR event_type IS DISTINCT FROM before""")
+def changed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_only(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("event_id", "user_id", "event_type")
+
+
+@query("SELECT d.doc_id AS page_id, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)")
+def linked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("problem_id"))
+    return lookup.by_id_lookup(pages, read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "problem_id")).select("page_id", "quality", "toxic")
+
+
+@query("""SELECT user_id AS page_id, event_type AS "group", event_id AS needle_id FROM
+  (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3 DESC, value DESC NULLS LAST, event_id) AS n FROM events) WHERE n = 1""")
+def group_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").selectExpr("user_id AS page_id", "event_type AS `group`", "event_id AS needle_id", "event_id % 3 AS rank", "value AS score")
+    return lookup.best_of_groups(rows).select("page_id", "group", "needle_id")
+
+
+@query("""WITH w AS (SELECT user_id AS place, event_id AS ord, CAST(event_id // 3 AS VARCHAR) AS card FROM events), c AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders)
+  SELECT place, string_agg(id, ',' ORDER BY ord) AS ids FROM w LEFT JOIN c ON c.id = w.card GROUP BY place HAVING count(*) = count(id)""")
+def card_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "events").selectExpr("user_id AS place", "event_id AS ord", "CAST(event_id div 3 AS STRING) AS card")
+    cards = read(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS id", "concat('order ', o_orderkey) AS text")
+    return lookup.resolved_cards(wanted, cards).select("place", F.array_join("ids", ",").alias("ids"))
+
+
+@query("""SELECT p_partkey % 50 AS grid, p_partkey AS entry, 'across' AS axis, w AS word, CAST(length(w) AS BIGINT) AS n_cells
+  FROM (SELECT p_partkey, regexp_extract(p_name, '[a-z]+') AS w FROM part) WHERE w <> ''""")
+def grid_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.regexp_extract("p_name", "[a-z]+", 0), "")).alias("x", "letter")).filter("letter <> ''")
+    return extract.grid_words(names.selectExpr("p_partkey % 50 AS grid", "p_partkey AS entry", "x", "p_partkey AS y", "letter"))
+
+
+@query("""WITH words AS (SELECT p_partkey AS ord, p_partkey % 50 AS grid, regexp_extract(p_name, '[a-z]+') AS w FROM part),
+  cells AS (SELECT grid, ord, unnest(range(length(w))) AS x, unnest(string_split(w, '')) AS letter FROM words WHERE w <> ''),
+  first AS (SELECT grid, x, arg_min(letter, ord) AS kept FROM cells GROUP BY grid, x)
+  SELECT grid, ord, x, kept, letter FROM cells JOIN first USING (grid, x) WHERE letter <> kept""")
+def grid_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = read(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("grid"), F.col("p_partkey").alias("ord"), F.lit(0).cast("long").alias("x"), F.lit(0).alias("y"), F.lit("across").alias("axis"), F.regexp_extract("p_name", "[a-z]+", 0).alias("word"))
+    return extract.grid_conflicts(placed).select("grid", "ord", "x", "kept", "letter")
+
+
+@query("SELECT conv_id, md5(arg_min(text, turn) || ' ... ' || arg_max(text, turn)) AS signature_md5 FROM conversations GROUP BY conv_id")
+def end_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.signature(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.md5("signature").alias("signature_md5"))
+
+
+@query("SELECT user_id AS i, min(event_type) AS question, md5(string_agg(props, '|' ORDER BY event_id)) AS answers_md5 FROM events GROUP BY user_id")
+def assembled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    crops = events.select(F.col("user_id").alias("i"), F.col("event_id").cast("string").alias("k"), F.col("event_type").alias("question"))
+    told = events.select(F.concat_ws("_", "user_id", "event_id").alias("name"), F.col("props").alias("text"))
+    return extract.assembled(crops, told).select("i", "question", F.md5(F.array_join("answers", "|")).alias("answers_md5"))
+
+
+@query("SELECT CAST(sum(event_id % 3) AS BIGINT) AS added, CAST(sum(event_id % 5) AS BIGINT) AS updated, arg_max(user_id, event_id) AS total FROM events")
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.totals(read(spark, sf_dir, "events").selectExpr("event_id", "event_id % 3 AS added", "event_id % 5 AS updated", "user_id AS total"), "event_id")
+
+
+@query("SELECT event_type, min(value) AS similarity FROM events GROUP BY event_type")
+def weakest_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.weakest(read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT conv_id, bool_and(coalesce(text, '') <> '') AS filled FROM conversations GROUP BY conv_id")
+def filled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(rollup.all_filled(F.col("text")).alias("filled"))
+
+
+@query("SELECT event_id, len(json_keys(props)) || ' fields' AS brief FROM events")
+def answers_in_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", records.answer_brief(F.try_parse_json("props")).alias("brief"))

@@ -55,7 +55,10 @@ def changed_only(rows: DataFrame, key_col: str, order_col: str, state_col: str)
 
 def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of files into a capture set; its state once all of them are read."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallgrass-")
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="tallgrass-")
     folder = f"{shared}/capture-{uuid.uuid4().hex}"
     captured = CaptureSet(spark, folder)
     given = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -236,7 +236,7 @@ def test_catalogue(spark, small, name):
     rows = frame.select(sorted(frame.columns)).collect()
     if name in catalogue.ORACLES:
         con = duckdb.connect()
-        for t in "part events documents pages benchmark labels conversations".split():
+        for t in "part orders events documents pages benchmark labels conversations".split():
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
         rel = con.sql(catalogue.ORACLES[name])
         assert sorted(rel.columns) == sorted(frame.columns)

@@ -45,13 +45,19 @@ def preceding_context(rows: DataFrame, group_col: str, order_col: str, text_col:
 
 
 def gathered_context(rows: DataFrame, group_col: str, order_col: str, text_col: str, boundary: Column, budget: int = CONTEXT_BUDGET) -> DataFrame:
-    """``rows`` with ``context``: the texts before each row since the last boundary row, the latest ``budget`` characters."""
+    """``rows`` with ``context``: the texts before each row since the last boundary row, the latest ``budget`` characters.
+
+    Texts are placed by the characters before them, so a row gathers only what lies within reach of it: at most
+    three budgets of text, however long its group is.
+    """
     w = Window.partitionBy(group_col).orderBy(order_col)
-    span = F.count_if(boundary).over(w)
-    own = rows.withColumn("span", span)
-    earlier = Window.partitionBy(group_col, "span").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    joined = F.array_join(F.collect_list(text_col).over(earlier), "\n")
-    return own.withColumn("context", F.right(joined, F.lit(budget))).drop("span")
+    own = rows.withColumn("_span", F.count_if(boundary).over(w)).withColumn("_tail", F.right(F.col(text_col), F.lit(budget)))
+    before = Window.partitionBy(group_col, "_span").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.length("_tail") + 1, F.lit(0)).cast("long")
+    placed = own.withColumn("_begin", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
+    near = Window.partitionBy(group_col, "_span").orderBy("_begin").rangeBetween(-(2 * budget + 1), -1)
+    joined = F.array_join(F.collect_list("_tail").over(near), "\n")
+    return placed.withColumn("context", F.right(joined, F.lit(budget))).drop("_span", "_tail", "_begin")
 
 
 def disambiguate(records: DataFrame, ambiguous: DataFrame, key_col: str, question_col: str, context_col: str) -> DataFrame:

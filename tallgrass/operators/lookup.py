@@ -215,3 +215,37 @@ def lookup_plan(groups: DataFrame) -> DataFrame:
     hit = F.col("needle_id").isNotNull()
     plan = groups.groupBy("page_id").agg(F.count_if(hit).alias("matched"), F.count("*").alias("total"), F.coalesce(F.bool_or(F.col("quality") == "approx"), F.lit(False)).alias("approx"), F.array_sort(F.collect_set("quality")).alias("quality"), F.min("similarity").alias("similarity"))
     return plan.withColumn("usable", complete(F.col("matched"), F.col("total"), F.col("approx"), F.array()))
+
+
+def plan_mode(kind: Column, answer_size: Column, n_controls: Column, n_groups: Column) -> Column:
+    """How a page takes its answer: by its own kind; a list in order of the controls, if it is as long; else whole or by group.
+
+    ``answer_size`` is the length of the matched answer if that is a list, else null.
+    """
+    in_order = (n_controls > 0) & (answer_size == n_controls)
+    return F.when(kind.isin("crossword", "matching"), kind).when(in_order, "positional").when(F.coalesce(n_groups, F.lit(0)) <= 1, "single").otherwise("groups")
+
+
+def page_plans(pages: DataFrame, groups: DataFrame) -> DataFrame:
+    """``page_id mode matched total approx similarity usable`` of every page.
+
+    ``pages``: page_id, kind, answer_size, n_controls, and the page's own match (needle_id or null, quality, similarity).
+    ``groups`` as in ``lookup_plan``, whose counts stand for pages taken by group, and for the words or places of special
+    kinds. Other pages are one question: matched if they have a match and a control or group to take it.
+    """
+    counted = lookup_plan(groups).select("page_id", *[F.col(c).alias(f"g_{c}") for c in ("matched", "total", "approx", "similarity")])
+    n_groups = F.coalesce("g_total", F.lit(0))
+    planned = pages.join(counted, "page_id", "left").withColumn("mode", plan_mode(F.col("kind"), F.when(F.col("needle_id").isNotNull(), F.col("answer_size")), F.col("n_controls"), n_groups))
+    by_group = F.col("mode").isin("crossword", "matching", "groups")
+    hit = F.col("needle_id").isNotNull() & ((n_groups > 0) | (F.col("n_controls") > 0))
+    approx = hit & F.coalesce(F.col("quality") == "approx", F.lit(False))
+    of = lambda grouped, own: F.when(by_group, grouped).otherwise(own)
+    plan = planned.select(
+        "page_id",
+        "mode",
+        of(F.coalesce("g_matched", F.lit(0)), F.coalesce(hit.cast("long"), F.lit(0))).alias("matched"),
+        of(n_groups, F.lit(1)).alias("total"),
+        of(F.coalesce("g_approx", F.lit(False)), F.coalesce(approx, F.lit(False))).alias("approx"),
+        of(F.col("g_similarity"), F.when(approx, F.col("similarity"))).alias("similarity"),
+    )
+    return plan.withColumn("usable", complete(F.col("matched"), F.col("total"), F.col("approx"), F.array()))

@@ -65,7 +65,12 @@ def append_new(base: DataFrame, incoming: DataFrame, key_col: str) -> DataFrame:
     return base.unionByName(incoming.join(base.select(key_col), key_col, "left_anti").select(base.columns))
 
 
-def refresh(base: DataFrame, incoming: DataFrame, key_col: str) -> DataFrame:
+def replaced_count(base: DataFrame, incoming: DataFrame, key_col: str) -> DataFrame:
+    """One row, ``replaced``: rows of the base that ``refresh`` gives a new content."""
+    return base.join(incoming.select(key_col), key_col, "left_semi").agg(F.count("*").alias("replaced"))
+
+
+def refresh(base:DataFrame, incoming: DataFrame, key_col: str) -> DataFrame:
     """The base with matching rows replaced whole by incoming ones (keys of ``incoming`` are unique), and the new rows."""
     fresh = incoming.select(key_col, F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("fresh"))
     rows = base.select(key_col, F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("old"))

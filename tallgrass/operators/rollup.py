@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+REPORT_ROWS = 40
+
 
 def class_histogram(rows: DataFrame, class_col: str) -> DataFrame:
     """``class`` and ``n``."""
@@ -37,3 +39,8 @@ def weakest(rows: DataFrame, group_col: str, similarity_col: str) -> DataFrame:
 def all_filled(values: Column) -> Column:
     """Whether a group of values has at least one, and none is blank."""
     return F.coalesce(F.bool_and(F.coalesce(values, F.lit("")) != ""), F.lit(False))
+
+
+def leading(rows: DataFrame, count_col: str, tie_col: str, most: int = REPORT_ROWS) -> DataFrame:
+    """The first rows of a report: largest counts first, ties by ``tie_col``."""
+    return rows.orderBy(F.desc(count_col), tie_col).limit(most)

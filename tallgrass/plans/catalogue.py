@@ -452,6 +452,59 @@ def filled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(rollup.all_filled(F.col("text")).alias("filled"))
 
 
+@query("""WITH s AS (SELECT *, count(*) FILTER (WHERE role = 'user' AND length(text) >= 200) OVER (PARTITION BY conv_id ORDER BY turn) AS span FROM conversations)
+  SELECT conv_id, turn, md5(right(coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id, span ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 300)) AS context_md5 FROM s""")
+def gathered_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.gathered_context(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", (F.col("role") == "user") & (F.length("text") >= 200), 300)
+    return found.select("conv_id", "turn", F.md5("context").alias("context_md5"))
+
+
+@query("""WITH g AS (SELECT user_id AS page_id, count(*) AS total, count(*) FILTER (WHERE event_id % 3 <> 0) AS matched, bool_or(event_id % 3 <> 0 AND event_id % 4 = 0) AS approx,
+    min(value) FILTER (WHERE event_id % 3 <> 0 AND event_id % 4 = 0) AS similarity FROM events GROUP BY 1),
+  p AS (SELECT p_partkey AS page_id, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey END AS hit, p_size % 3 AS n, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 7 <> 0 THEN p_size % 4 END AS size,
+    CASE p_partkey % 5 WHEN 0 THEN 'crossword' WHEN 1 THEN 'matching' ELSE 'plain' END AS kind, p_partkey % 3 = 0 AS near, CAST(p_size AS DOUBLE) AS own FROM part),
+  m AS (SELECT p.*, coalesce(total, 0) AS g_total, coalesce(matched, 0) AS g_matched, coalesce(approx, false) AS g_approx, similarity AS g_similarity,
+    CASE WHEN kind <> 'plain' THEN kind WHEN n > 0 AND size = n THEN 'positional' WHEN coalesce(total, 0) <= 1 THEN 'single' ELSE 'groups' END AS mode FROM p LEFT JOIN g USING (page_id)),
+  r AS (SELECT page_id, mode, mode IN ('positional', 'single') AS one, hit IS NOT NULL AND (g_total > 0 OR n > 0) AS got, * EXCLUDE (page_id, mode) FROM m),
+  f AS (SELECT page_id, mode, CASE WHEN one THEN CAST(got AS BIGINT) ELSE g_matched END AS matched, CASE WHEN one THEN 1 ELSE g_total END AS total,
+    CASE WHEN one THEN got AND near ELSE g_approx END AS approx, CASE WHEN NOT one THEN g_similarity WHEN got AND near THEN own END AS similarity FROM r)
+  SELECT *, matched > 0 AND matched = total AND NOT approx AS usable FROM f""")
+def page_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages; the events of the user with a part's number as its groups."""
+    groups = read(spark, sf_dir, "events").selectExpr("user_id AS page_id", "event_id", "value", "event_id % 3 <> 0 AS hit", "event_id % 3 <> 0 AND event_id % 4 = 0 AS near")
+    groups = groups.selectExpr("page_id", "CASE WHEN hit THEN event_id END AS needle_id", "CASE WHEN near THEN 'approx' WHEN hit THEN 'exact' END AS quality", "CASE WHEN near THEN value END AS similarity")
+    pages = read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS page_id",
+        "CASE p_partkey % 5 WHEN 0 THEN 'crossword' WHEN 1 THEN 'matching' ELSE 'plain' END AS kind",
+        "CASE WHEN p_partkey % 2 = 0 THEN p_size % 4 END AS answer_size",
+        "p_size % 3 AS n_controls",
+        "CASE WHEN p_partkey % 7 <> 0 THEN p_partkey END AS needle_id",
+        "CASE WHEN p_partkey % 3 = 0 THEN 'approx' ELSE 'exact' END AS quality",
+        "CAST(p_size AS DOUBLE) AS similarity",
+    )
+    return lookup.page_plans(pages, groups)
+
+
+@query("""SELECT p_partkey, kind, name, first_pos, n, filled FROM part, (VALUES ('label', 'brand', 0, 1, 1), ('radio', 'brand', 1, 2, 1), ('select', 'kind', 3, 1, 0), ('option', '', 4, 2, 1)) AS c(kind, name, first_pos, n, filled)""")
+def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of a form made for each part: ``page_controls`` on pages that have some."""
+    form = F.format_string("<form><label for=\"brand\">%s</label><input type=radio name=brand value=\"%s\"><INPUT type='radio' name='brand'><select name=kind><option value=''>none</option><option>%s</option></select></form>", "p_name", F.col("p_size").cast("string"), "p_type")
+    pages = read(spark, sf_dir, "part").select("p_partkey", form.alias("html"))
+    return extract.control_groups(extract.page_controls(pages, "p_partkey", "html"), "p_partkey")
+
+
+@query("WITH i AS (SELECT DISTINCT user_id FROM events WHERE event_id % 7 <> 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id % 7 = 0) SELECT count(*) AS replaced FROM b WHERE user_id IN (SELECT user_id FROM i WHERE user_id IS NOT NULL)")
+def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("answer"))
+    return merge.replaced_count(_last_by_user(events.filter("ord % 7 = 0")), _last_by_user(events.filter("ord % 7 <> 0")), "key")
+
+
+@query('SELECT p_brand AS "class", count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10')
+def leading_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's first rows: the limit is its purpose."""
+    return rollup.leading(rollup.class_histogram(read(spark, sf_dir, "part"), "p_brand"), "n", "class", 10)
+
+
 @query("SELECT event_id, len(json_keys(props)) || ' fields' AS brief FROM events")
 def answers_in_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", records.answer_brief(F.try_parse_json("props")).alias("brief"))

@@ -157,6 +157,29 @@ def test_extraction(spark):
     assert {r.g: r.s for r in flags} == {1: "mixed", 2: "all", 3: "none"}
 
 
+def test_gathered_context(spark):
+    rng = random.Random(8)
+    rows = [(g, i, rng.choice([None, "", "a" * rng.randint(1, 40), "b c", "dd"]), rng.random() < 0.1) for g in range(4) for i in range(80)]
+    want = {}
+    for g, i, _, _ in rows:
+        before = [r for r in rows if r[0] == g and r[1] <= i]
+        since = max((r[1] for r in before if r[3]), default=-1)
+        want[g, i] = "\n".join(r[2] for r in before if r[1] >= since and r[1] < i and r[2] is not None)[-12:]
+    given = spark.createDataFrame(rows, "g int, i int, t string, edge boolean")
+    got = extract.gathered_context(given, "g", "i", "t", F.col("edge"), 12)
+    assert got.columns == ["g", "i", "t", "edge", "context"] and {(r.g, r.i): r.context for r in got.collect()} == want
+    assert extract.gathered_context(given.limit(0), "g", "i", "t", F.col("edge")).count() == 0
+
+
+def test_page_plans(spark):
+    pages = [(1, "crossword", None, 0, None), (2, "matching", 2, 2, 9), (3, "plain", 2, 2, 9), (4, "plain", 3, 2, 9), (5, "plain", None, 1, 9), (6, "plain", None, 0, 9), (7, "plain", 2, 2, None), (8, "plain", None, 2, None)]
+    given = spark.createDataFrame([(*p, "exact", 1.0) for p in pages], "page_id int, kind string, answer_size int, n_controls int, needle_id int, quality string, similarity double")
+    groups = spark.createDataFrame([(p, n, "exact", None) for p, n in [(1, 5), (1, None), (4, 5), (4, 6), (3, 5), (3, 6), (7, 5), (7, None)]], "page_id int, needle_id int, quality string, similarity double")
+    got = {r.page_id: (r["mode"], r.matched, r.total, r.usable) for r in lookup.page_plans(given, groups).collect()}
+    assert got == {1: ("crossword", 1, 2, False), 2: ("matching", 0, 0, False), 3: ("positional", 1, 1, True), 4: ("groups", 2, 2, True), 5: ("single", 1, 1, True), 6: ("single", 0, 1, False), 7: ("groups", 1, 2, False), 8: ("single", 0, 1, False)}
+    assert lookup.page_plans(given.limit(0), groups).count() == 0
+
+
 def test_files(spark, tmp_path):
     path = str(tmp_path / "base.json")
     data = [{"question": "Q«1»", "answer": "a"}, {"question": "Q2", "answer": ["x", "y"], "type": "matching"}, {"question": "Q3", "answer": {"1": "w"}, "problem_id": "p"}]

@@ -485,7 +485,7 @@ def page_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.page_plans(pages, groups)
 
 
-@query("""SELECT p_partkey, kind, name, first_pos, n, filled FROM part, (VALUES ('label', 'brand', 0, 1, 1), ('radio', 'brand', 1, 2, 1), ('select', 'kind', 3, 1, 0), ('option', '', 4, 2, 1)) AS c(kind, name, first_pos, n, filled)""")
+@query("""SELECT p_partkey, kind, name, first_pos, CAST(n AS BIGINT) AS n, CAST(filled AS BIGINT) AS filled FROM part, (VALUES ('label', 'brand', 0, 1, 1), ('radio', 'brand', 1, 2, 1), ('select', 'kind', 3, 1, 0), ('option', '', 4, 2, 1)) AS c(kind, name, first_pos, n, filled)""")
 def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls of a form made for each part: ``page_controls`` on pages that have some."""
     form = F.format_string("<form><label for=\"brand\">%s</label><input type=radio name=brand value=\"%s\"><INPUT type='radio' name='brand'><select name=kind><option value=''>none</option><option>%s</option></select></form>", "p_name", F.col("p_size").cast("string"), "p_type")

@@ -14,8 +14,10 @@ from tallgrass.llm.packing import op5_sequence_packing
 from tallgrass.llm.quality import op10_tokenizer_fertility
 from tallgrass.llm.secrets import op9_secret_scan
 from tallgrass.llm.sharding import OP8_SQL, op8_size_tiered_sharding
+from tallgrass.llm.search import OP13_SQL, op13_shared_sum_search
 from tallgrass.llm.simhash import op1_simhash_near_dedup
 from tallgrass.llm.toxicity import op7_toxicity
+from tallgrass.llm.trie import OP11_SQL, op11_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_size_tiered_sharding,
         op9_secret_scan,
         op10_tokenizer_fertility,
+        op11_prefix_trie,
+        op13_shared_sum_search,
     )
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op8_size_tiered_sharding": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op8_size_tiered_sharding": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_shared_sum_search": OP13_SQL}

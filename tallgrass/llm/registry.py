@@ -14,6 +14,7 @@ from tallgrass.llm.packing import op5_sequence_packing
 from tallgrass.llm.quality import op10_tokenizer_fertility
 from tallgrass.llm.secrets import op9_secret_scan
 from tallgrass.llm.sharding import OP8_SQL, op8_size_tiered_sharding
+from tallgrass.llm.repeats import op12_run_length_dedup
 from tallgrass.llm.search import OP13_SQL, op13_shared_sum_search
 from tallgrass.llm.simhash import op1_simhash_near_dedup
 from tallgrass.llm.toxicity import op7_toxicity
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secret_scan,
         op10_tokenizer_fertility,
         op11_prefix_trie,
+        op12_run_length_dedup,
         op13_shared_sum_search,
     )
 }

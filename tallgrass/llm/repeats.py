@@ -7,7 +7,7 @@ else. Strings that are equal must meet in one task without a row for each place:
    have equal keys. Neighbouring windows mostly share their key; a run of them is a
    region, and each window of a text lies in one region.
 2. Equal texts, then equal regions are counted before anything else and go on as
-   one, with their number. Regions whose key comes once are alone and go no further.
+   one, with their number. Regions whose key's gram comes once are alone and go no further.
 3. The other regions are dealt out by key. A task joins regions of whole keys to a
    block and builds its Burrows-Wheeler transform, compressed to runs, with the
    suffixes at both ends of each run sampled and their common lengths with the
@@ -30,7 +30,6 @@ stay, and an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -67,8 +66,11 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def regions(text: bytes, size: int, gram: int) -> Iterator[tuple[int, int, int]]:
-    """(first window, number of windows, key) of each region of a text; a window is called by its first byte."""
+def regions(text: bytes, size: int, gram: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(first window, number of windows, key, whether the key's gram lies in it more than once) of each region of a text.
+
+    A window is called by its first byte.
+    """
     windows = len(text) - size + 1
     for begin in range(0, max(windows, 0), PART):
         part = text[begin : min(begin + PART, windows) + size - 1]
@@ -78,8 +80,9 @@ def regions(text: bytes, size: int, gram: int) -> Iterator[tuple[int, int, int]]
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         edges = np.r_[0, cuts, len(keys)]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            twice = b - a > size - gram + 1 or np.count_nonzero(grams[a : b + size - gram] == keys[a]) > 1
             for i in range(a, b, REGION):
-                yield begin + i, min(REGION, b - i), int(keys[a]) - (1 << 63)
+                yield begin + i, min(REGION, b - i), int(keys[a]) - (1 << 63), twice
 
 
 _ANY = np.ones(256, bool)
@@ -94,7 +97,8 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray):
         order = _suffix_order(text)
-        before = text[order - 1]
+        before = text[order - 1].astype(np.int16)
+        before[order == 0] = -1  # nothing; a run of its own
         starts = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         ends = np.r_[starts[1:], len(text)] - 1
         self.size = len(text)
@@ -205,15 +209,15 @@ def _repeated(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, given in text_slices(batches, "t"):
-            rows = [(i, a, n, k, xxhash.xxh3_128_digest(t[a : a + n + size - 1])) for i, t in enumerate(given) for a, n, k in regions(t, size, gram)]
-            which, first, windows, key, own = zip(*rows, strict=True) if rows else [()] * 5
+            rows = [(i, a, n, k, twice, xxhash.xxh3_128_digest(t[a : a + n + size - 1])) for i, t in enumerate(given) for a, n, k, twice in regions(t, size, gram)]
+            which, first, windows, key, twice, own = zip(*rows, strict=True) if rows else [()] * 6
             of = batch.select(["h", "n"]).take(pa.array(which, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(key, pa.int64()), pa.array(own, pa.binary())], names=["h", "n", "first", "windows", "key", "r"])
+            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(key, pa.int64()), pa.array(twice, pa.bool_()), pa.array(own, pa.binary())], names=["h", "n", "first", "windows", "key", "twice", "r"])
 
-    places = checkpointed(texts.filter(F.octet_length("t") >= size).select("h", "n", "t").mapInArrow(cut, "h binary, n long, first int, windows int, key long, r binary"))
-    kinds = places.groupBy("key", "r").agg(F.sum("n").alias("n"), F.min(F.struct("h", "first", "windows")).alias("at"))
+    places = checkpointed(texts.filter(F.octet_length("t") >= size).select("h", "n", "t").mapInArrow(cut, "h binary, n long, first int, windows int, key long, twice boolean, r binary"))
+    kinds = places.groupBy("key", "r").agg(F.sum("n").alias("n"), F.min(F.struct("h", "first", "windows", "twice")).alias("at"))
     kinds = checkpointed(kinds.select("key", "r", "n", "at.*"))
-    keys = kinds.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("windows").cast("long") + (size - 1)).alias("bytes")).filter("all > 1")
+    keys = kinds.groupBy("key").agg(F.sum("n").alias("all"), F.bool_or("twice").alias("inside"), F.sum(F.col("windows").cast("long") + (size - 1)).alias("bytes")).filter("all > 1 OR inside")
     wanted = kinds.join(keys, "key").withColumn("again", (F.col("bytes") > KEY_BYTES) & F.lit(level + 1 < len(GRAMS)))
     listed = wanted.groupBy("h").agg(F.collect_list(F.struct("key", "r", "n", "first", "windows", "again")).alias("w"))  # regions of one text
     found = texts.select("h", "t").join(listed, "h").select("t", F.explode("w").alias("w"))
@@ -256,31 +260,58 @@ def _repeated(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
     return of_text.select("h", F.array_sort("runs").alias("runs"))
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """Texts ``h t n`` (hash, bytes, how often), each once, and ``h spans`` of those with repeats: spans of bytes (start, end) to remove, in order, apart."""
+def _spans_of(runs: list[dict], size: int) -> list[tuple[int, int]]:
+    """Bytes covered by the windows of some runs, as spans in order and apart."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((r["a"], r["b"] + size - 1) for r in runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def cleaned_texts(docs: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """``h spans kept`` of every different text with repeats: its SHA-256, the spans of bytes to remove, and what is left."""
     if size < 1:
         raise ValueError("a repeated string has one byte at least")
+    spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).withColumn("h", F.unhex(F.sha2("t", 256)))
-    folder = f"{shared_folder(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
     own.groupBy("h").agg(F.first("t").alias("t"), F.count("*").alias("n")).write.parquet(folder)
-    texts = docs.sparkSession.read.parquet(folder)
-    release(docs.sparkSession)
-    empty = F.expr("cast(array() as array<struct<start:long,end:long>>)")
-    last = lambda acc: F.element_at(acc, -1)
-    put = lambda s: F.array(F.struct(s["a"].cast("long").alias("start"), (s["b"] + (size - 1)).cast("long").alias("end")))
-    grown = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], (s["b"] + (size - 1)).cast("long")).alias("end"))))
-    joined = F.aggregate("runs", empty, lambda acc, s: F.when((F.size(acc) > 0) & (s["a"] <= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))), grown(acc, s)).otherwise(F.concat(acc, put(s))))
-    return texts, _repeated(texts, size).select("h", joined.alias("spans"))
+    texts = spark.read.parquet(folder)
+    release(spark)
+    runs = _repeated(texts, size)
+    release(spark)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, given in text_slices(batches, "t"):
+            spans = [_spans_of(r, size) for r in batch.column("runs").to_pylist()]
+            kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in own)], [*(s for s, _ in own), len(t)], strict=True)) for t, own in zip(given, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["h", "spans", "kept"])
+
+    return texts.select("h", "t").join(runs, "h").mapInArrow(cut, "h binary, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """``docs`` with ``repeat_spans`` (array of start, end in bytes) and ``kept_bytes`` (what is left of the text); columns of these names are replaced.
+    """``docs`` with ``repeat_spans`` (array of start, end in bytes) and ``kept_bytes`` (what is left of the text).
 
-    What is left is bytes: a span may end inside a character.
+    Columns of these names are replaced. What is left is bytes, as a span may end inside a character.
     """
-    texts, spans = repeated_spans(docs, text_col, size)
-    return docs
+    whole = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    own = f"_hash_of_{text_col}"
+    cleaned = cleaned_texts(docs, text_col, size).select(F.col("h").alias(own), F.col("spans").alias(f"{own}_spans"), F.col("kept").alias(f"{own}_kept"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    found = docs.withColumn(own, F.unhex(F.sha2(whole, 256))).join(cleaned, own, "left")
+    found = found.withColumns({"repeat_spans": F.coalesce(f"{own}_spans", none), "kept_bytes": F.coalesce(f"{own}_kept", whole)})
+    return found.drop(own, f"{own}_spans", f"{own}_kept")
 
 
 def op12_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = F.coalesce("text", F.lit("")).cast("binary")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    cleaned = cleaned_texts(docs).select("h", removed.alias("removed"), F.size("spans").cast("long").alias("spans"), F.sha2("kept", 256).alias("kept_hash"))
+    own = docs.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.unhex(F.sha2(whole, 256)).alias("h")).join(cleaned, "h", "left")
+    none = F.lit(0).cast("long")
+    return own.select("doc_id", "n_bytes", F.coalesce("removed", none).alias("n_removed"), F.coalesce("spans", none).alias("n_spans"), F.coalesce("kept_hash", F.lower(F.hex("h"))).alias("kept_sha256"))

@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once and read back from Parquet in the shared folder: columns of it, compressed, where a checkpoint holds whole rows."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
 

@@ -30,7 +30,6 @@ stay, and an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import checkpointed, release, shared_folder, table, text_slices
+from tallgrass.llm.common import release, table, text_slices, written
 from tallgrass.llm.words import Words
 
 SIZE = 400
@@ -203,7 +202,7 @@ def _spans(runs: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def _repeated(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
-    """``h runs`` of different texts (h binary, t binary, n: how often), those with a repeated window: runs of first bytes (a, b)."""
+    """``i runs`` of different texts (i, t binary, n: how often), those with a repeated window: runs of first bytes (a, b)."""
     spark = texts.sparkSession
     gram = max(1, min(size, round(GRAMS[level] * size)))
 
@@ -211,18 +210,22 @@ def _repeated(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
         for batch, given in text_slices(batches, "t"):
             rows = [(i, a, n, k, twice, xxhash.xxh3_128_digest(t[a : a + n + size - 1])) for i, t in enumerate(given) for a, n, k, twice in regions(t, size, gram)]
             which, first, windows, key, twice, own = zip(*rows, strict=True) if rows else [()] * 6
-            of = batch.select(["h", "n"]).take(pa.array(which, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(key, pa.int64()), pa.array(twice, pa.bool_()), pa.array(own, pa.binary())], names=["h", "n", "first", "windows", "key", "twice", "r"])
-
-    places = checkpointed(texts.filter(F.octet_length("t") >= size).select("h", "n", "t").mapInArrow(cut, "h binary, n long, first int, windows int, key long, twice boolean, r binary"))
-    kinds = places.groupBy("key", "r").agg(F.sum("n").alias("n"), F.min(F.struct("h", "first", "windows", "twice")).alias("at"))
-    kinds = checkpointed(kinds.select("key", "r", "n", "at.*"))
-    keys = kinds.groupBy("key").agg(F.sum("n").alias("all"), F.bool_or("twice").alias("inside"), F.sum(F.col("windows").cast("long") + (size - 1)).alias("bytes")).filter("all > 1 OR inside")
-    wanted = kinds.join(keys, "key").withColumn("again", (F.col("bytes") > KEY_BYTES) & F.lit(level + 1 < len(GRAMS)))
-    listed = wanted.groupBy("h").agg(F.collect_list(F.struct("key", "r", "n", "first", "windows", "again")).alias("w"))  # regions of one text
-    found = texts.select("h", "t").join(listed, "h").select("t", F.explode("w").alias("w"))
+            of = batch.select(["i", "n"]).take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(key, pa.int64()), pa.array(twice, pa.bool_()), pa.array(own, pa.binary())], names=["i", "n", "first", "windows", "key", "twice", "r"])
+
+    kind = texts.schema["i"].dataType.simpleString()
+    every = written(texts.filter(F.octet_length("t") >= size).select("i", "n", "t").mapInArrow(cut, f"i {kind}, n long, first int, windows int, key long, twice boolean, r binary"), "regions")
+    keys = every.groupBy("key").agg(F.sum("n").alias("all"), F.bool_or("twice").alias("inside")).filter("all > 1 OR inside").select("key")
+    places = written(every.join(keys, "key"), "places")
+    release(spark)
+    kinds = places.groupBy("key", "r").agg(F.sum("n").alias("n"), F.min(F.struct("i", "first", "windows")).alias("at"))
+    kinds = written(kinds.select("key", "r", "n", "at.*"), "kinds")
+    large = kinds.groupBy("key").agg(F.sum(F.col("windows").cast("long") + (size - 1)).alias("bytes")).filter(F.col("bytes") > KEY_BYTES).select("key", F.lit(level + 1 < len(GRAMS)).alias("again"))
+    wanted = kinds.join(large, "key", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    listed = wanted.groupBy("i").agg(F.collect_list(F.struct("key", "r", "n", "first", "windows", "again")).alias("w"))  # regions of one text
+    found = texts.select("i", "t").join(listed, "i").select("t", F.explode("w").alias("w"))
     cuts = found.select("w.key", "w.r", "w.n", "w.again", F.substring("t", F.col("w.first") + 1, F.col("w.windows") + (size - 1)).alias("t"))
-    cuts = checkpointed(cuts)
+    cuts = written(cuts, "cuts")
     release(spark)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +256,11 @@ def _repeated(texts: DataFrame, size: int, level: int = 0) -> DataFrame:
     blocks = cuts.filter("NOT again").select("key", "r", "n", "t").repartition("key").sortWithinPartitions("key")
     marks = blocks.mapInArrow(indexed, f"r binary, runs {SPANS}")
     if cuts.filter("again").limit(1).count():
-        marks = marks.unionByName(_repeated(cuts.filter("again").select(F.col("r").alias("h"), "t", "n"), size, level + 1).withColumnRenamed("h", "r"))
-    marks = checkpointed(marks)
+        marks = marks.unionByName(_repeated(cuts.filter("again").select(F.col("r").alias("i"), "t", "n"), size, level + 1).withColumnRenamed("i", "r"))
+    marks = written(marks, "marks")
     moved = F.transform("runs", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
-    of_text = places.select("h", "first", "r").join(marks, "r").groupBy("h").agg(F.flatten(F.collect_list(moved)).alias("runs"))  # runs of one text
-    return of_text.select("h", F.array_sort("runs").alias("runs"))
+    of_text = places.select("i", "first", "r").join(marks, "r").groupBy("i").agg(F.flatten(F.collect_list(moved)).alias("runs"))  # runs of one text
+    return of_text
 
 
 def _spans_of(runs: list[dict], size: int) -> list[tuple[int, int]]:
@@ -277,9 +280,8 @@ def cleaned_texts(docs: DataFrame, text_col: str = "text", size: int = SIZE) ->
         raise ValueError("a repeated string has one byte at least")
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).withColumn("h", F.unhex(F.sha2("t", 256)))
-    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
-    own.groupBy("h").agg(F.first("t").alias("t"), F.count("*").alias("n")).write.parquet(folder)
-    texts = spark.read.parquet(folder)
+    once = own.groupBy("h").agg(F.first("t").alias("t"), F.count("*").alias("n"))
+    texts = written(once.select(F.monotonically_increasing_id().alias("i"), "h", "t", "n"), "texts")
     release(spark)
     runs = _repeated(texts, size)
     release(spark)
@@ -290,7 +292,7 @@ def cleaned_texts(docs: DataFrame, text_col: str = "text", size: int = SIZE) ->
             kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in own)], [*(s for s, _ in own), len(t)], strict=True)) for t, own in zip(given, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["h", "spans", "kept"])
 
-    return texts.select("h", "t").join(runs, "h").mapInArrow(cut, "h binary, spans array<struct<start:long,end:long>>, kept binary")
+    return texts.select("i", "h", "t").join(runs, "i").mapInArrow(cut, "h binary, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", size: int = SIZE) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
 from tallgrass.functions.distance import distance, similarity
+from tallgrass.operators.shortlist import dice_shortlist
 
 SEED = 12
 MAX_SEEDS = 200_000
@@ -84,23 +85,6 @@ def composite_pairs(pages: DataFrame, parts: DataFrame) -> DataFrame:
     return got.join(wanted, "needle_id").filter("got = wanted").select("page_id", "needle_id", "score")
 
 
-def dice_shortlist(pages: DataFrame, needles: DataFrame, size: int = SHORTLIST) -> DataFrame:
-    """``page_id needle_id dice``: the ``size`` needles of most word overlap for each page (ties: smaller id).
-
-    Overlaps come from an equi-join on words. Pages with fewer overlapping needles than ``size`` are filled up with
-    the needles of smallest id, at overlap 0, so needles without a common word still get judged.
-    """
-    words = lambda df, name: df.select(F.col("id").alias(name), F.array_distinct(T.words_of(F.col("key"))).alias("words"))
-    p, n = words(pages, "page_id"), words(needles.filter(F.col("key") != ""), "needle_id")
-    shared = p.select("page_id", F.size("words").alias("p_n"), F.explode("words").alias("w")).join(n.select("needle_id", F.size("words").alias("n_n"), F.explode("words").alias("w")), "w")
-    scored = shared.groupBy("page_id", "needle_id").agg((2.0 * F.count("*") / (F.first("p_n") + F.first("n_n"))).alias("dice"))
-    first = [r.needle_id for r in n.orderBy("needle_id").limit(size).select("needle_id").collect()]  # at most ``size`` ids
-    filler = p.select("page_id", F.explode(F.array(*[F.lit(x) for x in first]).cast(f"array<{n.schema['needle_id'].dataType.simpleString()}>")).alias("needle_id"), F.lit(0.0).alias("dice"))
-    every = scored.unionByName(filler.join(scored, ["page_id", "needle_id"], "left_anti"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("dice"), "needle_id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= size).select("page_id", "needle_id", "dice", F.col("rank").cast("long").alias("rank"))
-
-
 def approx_lookup(pages: DataFrame, needles: DataFrame) -> DataFrame:
     """A row per page with a candidate: ``page_id needle_id similarity edits accepted near``.
 
@@ -113,7 +97,7 @@ def approx_lookup(pages: DataFrame, needles: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     texts = short.select(F.col("id").alias("page_id"), F.col("key").alias("p_key"), (F.col("choices") if "choices" in pages.columns else none).alias("choices"))
     answers = own.select(F.col("id").alias("needle_id"), F.col("key").alias("n_key"), (F.col("values") if "values" in own.columns else none).alias("values"))
-    pairs = dice_shortlist(short, own).join(texts, "page_id").join(answers, "needle_id")
+    pairs = dice_shortlist(short, own, SHORTLIST).join(answers, "needle_id").join(texts, "page_id")
     most = T.max_distance(F.length("n_key"))
     judged = pairs.withColumn("most", most).withColumn("edits", distance(F.col("n_key"), F.col("p_key"), 2 * F.col("most") + 4)).filter(F.col("edits") <= 2 * F.col("most") + 4)
     judged = judged.withColumn("similarity", similarity(F.col("edits"), F.col("n_key")))

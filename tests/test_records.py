@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import records, rules
 from tallgrass.functions.distance import substring_distance
-from tallgrass.operators import dedupe, extract, lookup, merge, rollup
+from tallgrass.operators import dedupe, extract, lookup, merge, rollup, shortlist
 from tallgrass.plans import catalogue
 from tallgrass.sources import files, images, sinks
 from tallgrass.streaming import capture
@@ -122,6 +122,33 @@ def test_lookup(spark, monkeypatch):
     assert {i for i, q in cascade.items() if q == "exact"} == set(best)
 
 
+def test_shortlist(spark, monkeypatch):
+    rng = random.Random(8)
+    common, rare = ["the", "of", "and", "to"], [f"w{i}" for i in range(300)]
+    text = lambda most: " ".join([*rng.sample(common, rng.randint(0, 4)), *rng.choices(rare, k=rng.randint(0, most))])
+    pages, needles = [(i, text(60)) for i in range(120)], [(i, text(12)) for i in range(90)]
+    p, n = (spark.createDataFrame(x, "id long, key string") for x in (pages, needles))
+
+    def best(page):
+        own = set(page.split())
+        return sorted((-2.0 * len(own & set(k.split())) / (len(own) + len(set(k.split()))), i) for i, k in needles if k)[:5]
+
+    want = {(i, j, -d, r) for i, page in pages for r, (d, j) in enumerate(best(page), 1)}
+    for block in (shortlist.BLOCK_WORDS, 150):
+        monkeypatch.setattr(shortlist, "BLOCK_WORDS", block)
+        got = shortlist.dice_shortlist(p, n)
+        assert {(r.page_id, r.needle_id, r.dice, r["rank"]) for r in got.collect()} == want
+    assert shortlist.dice_shortlist(p, n.limit(0)).count() == 0 and shortlist.dice_shortlist(p.limit(0), n).count() == 0
+    assert shortlist.dice_shortlist(p, n.filter("id < 3")).count() == len(pages) * n.filter("id < 3 AND key <> ''").count()
+
+    words = {w: i for i, w in enumerate(common + rare)}
+    long = [" ".join(common + rng.choices(rare, k=8)) for _ in range(2000)]
+    coded = [np.unique([words[w] for w in k.split()]) for k in long]
+    index = shortlist.RareFirst(np.concatenate(coded), np.cumsum([len(c) for c in coded]))
+    places, _ = index.best(coded[7], 1)
+    assert places[0] == 7 and index.read < 2000  # four lists of 2000 needles each stay unread
+
+
 def test_choices(spark):
     rows = [(1, "the red fox", "the red fix", 0), (1, "the red fox", "a dog", 1), (2, "one", "two", 0), (3, "same text", "same text", 0), (3, "same text", "same text", 1)]
     given = spark.createDataFrame(rows, "`group` int, needle string, option string, ord int")

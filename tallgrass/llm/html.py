@@ -15,7 +15,10 @@ different containers, among menus, headers, footers, sidebars, notices, adverts,
 forms and comments. No table is read for training.
 
 Scripts, styles, comments in markup and hidden control content never become
-blocks; without their closing tag only the opening tag is left out. Reading a page
+blocks. One rule holds for comments, scripts and styles, that of browsers: without
+an end they take the rest of the page. Comments end at ``-->`` or ``--!>``, and
+``<!-->`` and ``<!--->`` are whole comments. Of other elements that are never closed
+only the opening tag is left out. Reading a page
 takes time in proportion to its length, whatever its markup. Null or empty pages
 have an empty text, repeated rows are read each, and an empty table gives no rows.
 Rows are independent, so there is no shuffle; memory is bounded by an Arrow batch
@@ -46,6 +49,7 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page; what is in ``noscript``, ``object``, ``canvas`` or ``math`` is.
 RAW_TAGS = frozenset("script style template iframe svg textarea title".split())
+CODE_TAGS = frozenset(("script", "style"))
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body html article section div main aside nav header footer form select td th blockquote".split())
@@ -73,6 +77,9 @@ class Path:
         return len(self.names) - 1
 
 
+_END_OF_COMMENT = re.compile("--!?>")
+
+
 @lru_cache(4096)
 def _end_of_raw(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE)
@@ -91,7 +98,7 @@ class _Markup:
     def __init__(self, page: str):
         self.page, self.at = page, 0
         self.last_end = page.rfind(">")
-        self.quotes = True
+        self.quotes = self.comments = True
         self.unclosed: set[str] = set()
 
     def tokens(self) -> Iterator[tuple[str, bool, str]]:
@@ -105,8 +112,9 @@ class _Markup:
                 yield "", False, text
                 continue
             if page.startswith("<!--", start):
-                end = page.find("-->", start + 4)
-                self.at = end + 3 if end >= 0 else n
+                m = _END_OF_COMMENT.search(page, start + 4) if self.comments else None
+                self.comments = m is not None
+                self.at = start + (5 if page[start + 4] == ">" else 6) if page.startswith((">", "->"), start + 4) else m.end() if m else n
             elif start <= self.last_end and page[start + 1 : start + 2] in ("!", "?"):
                 self.at = page.find(">", start) + 1
             elif start <= self.last_end and (m := _NAME.match(page, start)):
@@ -128,11 +136,13 @@ class _Markup:
         return self.page[at:end]
 
     def skip(self, tag: str) -> None:
-        """Goes on after the element's closing tag, if there is one."""
+        """Goes on after the element's closing tag. Without one, code takes the rest of the page, and of others only the opening tag is left out."""
         if tag not in self.unclosed:
             closing = _end_of_raw(tag).search(self.page, self.at)
             if closing:
                 self.at = closing.end()
+            elif tag in CODE_TAGS:
+                self.at = len(self.page)
             else:
                 self.unclosed.add(tag)
 

@@ -23,11 +23,15 @@ from tallgrass.llm import html  # noqa: E402
         ("<ul><li>1<li>2<ul><li>3</ul><li>4</ul>5 < 6", ["1", "2", "3", "4", "5 < 6"]),
         ('<a title="x>y">t</a><a href=\'">\'>u</a>', ["tu"]),
         ("<!-- open <p>x", []),
+        ("<p>one</p><!--><p>two</p><!---><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><!-- a --!><p>two</p><!-- b --x> --><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><script>var x = 1;<p>two</p>", ["one"]),
+        ("<p>one</p><style>p{}<p>two</p>", ["one"]),
         ('<p>a<svg width="1"/>b<svg><text>no</text></svg>c<math>x</math>', ["abcx"]),
         ("<p>a<svg>b<p>c<iframe>d", ["ab", "cd"]),
         ("<p>a<noscript>b</noscript><object><p>c</object>", ["ab", "c"]),
         ("<p>a<b '>c</b>d <i title='x>y'>e</i><i title=\"f>g", ["acd eg"]),
-        ("<p>x</div></p>y<script>never closed", ["x", "ynever closed"]),
+        ("<p>x</div></p>y<script>never closed", ["x", "y"]),
         ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
     ],
 )

@@ -271,13 +271,48 @@ def test_images(spark):
 def test_capture_stream(spark, tmp_path):
     rng = random.Random(2)
     rows = [(rng.choice("abc"), i, rng.choice("xy")) for i in range(60)]
-    for k in range(3):
-        spark.createDataFrame(rows[20 * k : 20 * k + 20], "key string, ord long, answer string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    merged = lambda n: {k: (o, a, p) for k, o, a, _, _, p, _, _ in model_merge([], [(*r, None) for r in rows[:n]])}
+    arrive = lambda k: spark.createDataFrame(rows[20 * k : 20 * k + 20], "key string, ord long, answer string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    held = lambda s: {r.key: (r.ord, r.answer, r.pos) for r in s.read().collect()}
+
+    def take(captured):
+        stream = spark.readStream.schema("key string, ord long, answer string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        captured.start(stream).awaitTermination()
+
+    first = capture.CaptureSet(spark, str(tmp_path / "state"), "string")
+    base = spark.createDataFrame([("a", -1, "z"), ("q", -2, "z")], "key string, ord long, answer string")
+    live = capture.LiveBase(base, first)
+    assert first.version() == -1 and held(first) == {} and first.changes().count() == 0
+    assert {r.key: r.answer for r in live.records().collect()} == {"a": "z", "q": "z"}
+    arrive(0)
+    arrive(1)
+    take(first)
+    assert first.version() == 1 and held(first) == merged(40)
+    assert {r.key: r.answer for r in live.records().collect()} == {"q": "z"} | {k: a for k, (_, a, _) in merged(40).items()} and live.version == 2
+    live.records()
+    assert live.version == 2  # nothing came since
+
+    again = capture.CaptureSet(spark, str(tmp_path / "state"), "string")  # another process after a restart
+    assert held(again) == merged(40)
+    arrive(2)
+    take(again)
+    assert again.version() == 2 and held(again) == merged(60) == held(first)
+    late = {r.key: r.answer for r in again.changes(1).collect()}
+    assert late == {k: merged(60)[k][1] for k in late} and set(late) == {k for k in merged(60) if merged(60)[k] != merged(40).get(k)}
+    assert sum(r.added for r in again.report().collect()) == len(merged(60))
+    assert live.records() is live.records() and live.version == 3
+
+
+def test_capture_stream_removals(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "x", False), ("b", 2, "x", False), (None, 3, None, False)], "key string, ord long, answer string, gone boolean").coalesce(1).write.parquet(str(tmp_path / "in/0"))
     captured = capture.CaptureSet(spark, str(tmp_path / "state"), "string")
-    stream = spark.readStream.schema("key string, ord long, answer string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream.writeStream.foreachBatch(captured.writer).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
-    want = {k: (o, a, p) for k, o, a, _, _, p, _, _ in model_merge([], [(*r, None) for r in rows])}
-    assert captured.last == 2 and {r.key: (r.ord, r.answer, r.pos) for r in captured.read().collect()} == want
+    stream = spark.readStream.schema("key string, ord long, answer string, gone boolean").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    captured.start(stream).awaitTermination()
+    assert {r.key for r in captured.read().collect()} == {"a", "b", None}
+    spark.createDataFrame([("a", 4, None, True), ("b", 5, None, True), ("b", 6, "y", None)], "key string, ord long, answer string, gone boolean").coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    captured.start(stream).awaitTermination()
+    assert {(r.key, r.answer, r.pos) for r in captured.read().collect()} == {("b", "y", 6), (None, None, 3)}
+    assert {r.change for r in captured.changes(0).collect()} == {"gone", "updated"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.operators.scan import After, Count, Number, scan
+
 
 def _all_of(df: DataFrame, alias: str = "rec") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(alias)
@@ -23,18 +25,19 @@ def dedupe_last(records: DataFrame, key_col: str, order_col: str) -> DataFrame:
     return best.select("rec.*", "pos")
 
 
-def replaced_pairs(records: DataFrame, key_col: str, order_col: str) -> DataFrame:
-    """Each record that a later one of its key replaces, as (``key``, ``dropped``, ``kept``): the orders of both."""
-    w = Window.partitionBy(key_col).orderBy(order_col)
-    keyed = records.filter((F.col(key_col) != "") & F.col(key_col).isNotNull())
-    return keyed.select(F.col(key_col).alias("key"), F.col(order_col).alias("dropped"), F.lead(order_col).over(w).alias("kept")).filter("kept IS NOT NULL")
+def replaced_pairs(records: DataFrame, key_col: str, order_col: str, spread: bool = False) -> DataFrame:
+    """Each record that a later one of its key replaces, as (``key``, ``dropped``, ``kept``): the orders of both.
+
+    ``spread``, here and below: a key's records are read by several tasks (``operators.scan``).
+    """
+    keyed = records.filter((F.col(key_col) != "") & F.col(key_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(order_col).alias("dropped"))
+    return scan(keyed, ["key"], "dropped", spread, kept=After("dropped")).filter("kept IS NOT NULL")
 
 
-def clashes(records: DataFrame, key_col: str, order_col: str, form_col: str) -> DataFrame:
+def clashes(records: DataFrame, key_col: str, order_col: str, form_col: str, spread: bool = False) -> DataFrame:
     """The replaced pairs whose answers differ."""
-    w = Window.partitionBy(key_col).orderBy(order_col)
-    keyed = records.filter((F.col(key_col) != "") & F.col(key_col).isNotNull())
-    pairs = keyed.select(F.col(key_col).alias("key"), F.col(order_col).alias("dropped"), F.lead(order_col).over(w).alias("kept"), F.col(form_col).alias("old"), F.lead(form_col).over(w).alias("new"))
+    keyed = records.filter((F.col(key_col) != "") & F.col(key_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(order_col).alias("dropped"), F.col(form_col).alias("old"))
+    pairs = scan(keyed, ["key"], "dropped", spread, kept=After("dropped"), new=After("old")).select("key", "dropped", "kept", "old", "new")
     return pairs.filter("kept IS NOT NULL AND NOT (old <=> new)")
 
 
@@ -50,7 +53,10 @@ def dedupe_in_place(records: DataFrame, key_col: str, order_col: str, carried: S
 
 
 def duplicate_groups(records: DataFrame, key_col: str, order_col: str) -> DataFrame:
-    """``key``, ``places`` (orders, ascending) and ``n`` of the keys that occur more than once."""
+    """``key``, ``places`` (orders, ascending) and ``n`` of the keys that occur more than once: an array a key.
+
+    Where a key may have very many records, ``ordinals`` has the same as rows.
+    """
     groups = records.groupBy(F.col(key_col).alias("key")).agg(F.array_sort(F.collect_list(order_col)).alias("places"))
     return groups.withColumn("n", F.size("places").cast("long")).filter("n > 1")
 
@@ -61,10 +67,9 @@ def surplus(records: DataFrame, key_col: str) -> DataFrame:
     return counts.agg(F.count_if(F.col("n") > 1).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("removed"), F.count("*").alias("stay"))
 
 
-def ordinals(records: DataFrame, key_col: str, order_col: str) -> DataFrame:
+def ordinals(records: DataFrame, key_col: str, order_col: str, spread: bool = False) -> DataFrame:
     """``records`` with ``k`` of ``n`` within the key, and ``keep``: whether it is the last."""
-    w = Window.partitionBy(key_col)
-    return records.withColumn("k", F.row_number().over(w.orderBy(order_col)).cast("long")).withColumn("n", F.count("*").over(w)).withColumn("keep", F.col("k") == F.col("n"))
+    return scan(records, [key_col], order_col, spread, k=Number(), n=Count()).withColumn("keep", F.col("k") == F.col("n"))
 
 
 def double_keys(records: DataFrame, key_col: str) -> DataFrame:

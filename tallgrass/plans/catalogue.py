@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import records, rules
 from tallgrass.functions import text as T
-from tallgrass.operators import dedupe, extract, lookup, merge, rollup
+from tallgrass.operators import dedupe, extract, lookup, merge, rollup, scan
 from tallgrass.streaming.capture import capture_events, changed_only
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,20 @@ def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.key_audit(keyed(spark, sf_dir), "key")
 
 
+@query(
+    """WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k') END AS link FROM events)
+    SELECT event_id, row_number() OVER w AS nth, count(*) OVER () AS n, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after,
+      last_value(link IGNORE NULLS) OVER w AS link_so_far, row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w AS starts
+    FROM e WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def one_key_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one key, scanned by all tasks."""
+    link = F.when(F.col("event_id") % 4 == 0, F.get_json_object("props", "$.k"))
+    events = read(spark, sf_dir, "events").select(F.lit(1).alias("key"), "event_id", "event_type", link.alias("link"))
+    steps = {"nth": scan.Number(), "n": scan.Count(), "before": scan.Before("event_type"), "after": scan.After("event_type"), "link_so_far": scan.Latest("link"), "starts": scan.Starts("event_type")}
+    return scan.spread_scan(events, ["key"], "event_id", **steps).drop("key", "event_type", "link")
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events of a user are answers in order; the first third of all is the base, and a page in ``props`` is the link."""
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("answer"), F.when(F.col("event_id") % 4 == 0, F.get_json_object("props", "$.k")).alias("link"))

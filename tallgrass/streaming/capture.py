@@ -12,17 +12,17 @@ only when a batch has brought a change.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tallgrass.operators import merge
+from tallgrass.operators.scan import Starts, scan
+from tallgrass.sources.shared import shared_folder
 
 RECORD = "ord long, answer string, pos long"
 CHANGE = "key {key}, ord long, answer string, pos long, change string, updates long"
@@ -134,18 +134,9 @@ class LiveBase:
         return self._records
 
 
-def changed_only(rows: DataFrame, key_col: str, order_col: str, state_col: str) -> DataFrame:
-    """Rows whose state differs from the one before of the same key."""
-    w = Window.partitionBy(key_col).orderBy(order_col)
-    return rows.withColumn("_new", (F.row_number().over(w) == 1) | ~F.col(state_col).eqNullSafe(F.lag(state_col).over(w))).filter("_new").drop("_new")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder where a session on one machine has none."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return shared or tempfile.mkdtemp(prefix="tallgrass-")
+def changed_only(rows: DataFrame, key_col: str, order_col: str, state_col: str, spread: bool = False) -> DataFrame:
+    """Rows whose state differs from the one before of the same key. ``spread``: a key is read by several tasks."""
+    return scan(rows, [key_col], order_col, spread, _new=Starts(state_col)).filter("_new").drop("_new")
 
 
 def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import records, rules
 from tallgrass.functions.distance import substring_distance
-from tallgrass.operators import dedupe, extract, lookup, merge, rollup, shortlist
+from tallgrass.operators import dedupe, extract, lookup, merge, rollup, scan, shortlist
 from tallgrass.plans import catalogue
 from tallgrass.sources import files, images, sinks
 from tallgrass.streaming import capture
@@ -268,6 +268,25 @@ def test_images(spark):
     assert all(r.cls == r.want for r in got)
 
 
+def test_spread_scan(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None, ""]), i, rng.choice(["x", "y", None]), rng.choice([None, None, None, i])) for i in rng.sample(range(10_000), 600)]
+    given = spark.createDataFrame(rows, "key string, ord long, state string, link long").repartition(5)
+    steps = {"nth": scan.Number(), "n": scan.Count(), "before": scan.Before("state"), "after": scan.After("link"), "so_far": scan.Latest("link"), "starts": scan.Starts("state")}
+    want = sorted(map(repr, scan.scanned(given, ["key"], "ord", **steps).collect()))
+    for partitions in (1, 7, 40):
+        assert sorted(map(repr, scan.spread_scan(given, ["key"], "ord", partitions=partitions, **steps).collect())) == want
+    one = given.withColumn("key", F.lit("all"))
+    parts = {r.p for r in one.repartitionByRange(8, "key", "ord").select(F.spark_partition_id().alias("p")).collect()}
+    assert len(parts) == 8  # one key, all tasks
+    assert scan.spread_scan(given.limit(0), ["key"], "ord", **steps).count() == 0
+    for f, columns in ((dedupe.ordinals, ()), (dedupe.clashes, ("state",)), (dedupe.replaced_pairs, ())):
+        plain, spread = (sorted(map(repr, f(given, "key", "ord", *columns, spread=s).collect())) for s in (False, True))
+        assert plain == spread
+    plain, spread = (sorted(map(repr, capture.changed_only(given, "key", "ord", "state", spread=s).collect())) for s in (False, True))
+    assert plain == spread
+
+
 def test_capture_stream(spark, tmp_path):
     rng = random.Random(2)
     rows = [(rng.choice("abc"), i, rng.choice("xy")) for i in range(60)]

@@ -347,13 +347,85 @@ def _prefix_pairs(members: DataFrame, similarity: float, most: int) -> DataFrame
     return members.repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
 
 
-def exact_candidates(rows: DataFrame, texts: DataFrame, n_words: int, similarity: float, most: int = MAX_RUN) -> DataFrame:
-    """Pairs ``a b`` of nodes of different classes; no pair of ``similarity`` or more is left out.
+def _hub_pairs(members: DataFrame, similarity: float, descending: bool) -> DataFrame:
+    """Of every run of one key: pairs of its members with a hub, and the members themselves.
+
+    Rows come by size. A run's first row is its hub until sizes are too far from it; then the next row is. So a run gives
+    a pair a member at most, however long it is. ``kind`` 0: a pair that can be similar, of different classes, in the first
+    two columns. ``kind`` 1: a member of a run of more than one class (or of one too long to know).
+    """
+    names = members.columns
+
+    def batch_of(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(columns[0])
+        columns = [*columns, *[np.zeros(n, np.int64)] * (len(MEMBER) - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], names=["kind", *MEMBER])
+
+    def pairs_of(run: list[np.ndarray], hub: tuple | None) -> tuple[list[np.ndarray], tuple]:
+        _, node, own, both = run
+        size, at = both >> 32, both & 0xFFFFFFFF
+        begin, out = 0, []
+        while begin < len(node):
+            if hub is not None:
+                bound = hub[2] * similarity if descending else hub[2] / similarity
+                far = size[begin:] < bound - 1e-9 if descending else size[begin:] > bound + 1e-9
+                end = begin + (int(np.argmax(far)) if far.any() else len(far))
+                part = slice(begin, end)
+                shared = np.minimum(hub[2] - hub[3], size[part] - at[part])
+                good = (own[part] != hub[1]) & (shared * (1 + similarity) >= similarity * (hub[2] + size[part]) - 1e-6)
+                out.append(np.stack([np.full(int(good.sum()), hub[0]), node[part][good]], 1))
+                begin = end
+            if begin < len(node):
+                hub = int(node[begin]), int(own[begin]), int(size[begin]), int(at[begin])
+                begin += 1
+        return out, hub
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, over, hub = None, None, None
+
+        def closed(given: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            begins = np.flatnonzero(np.r_[True, given[0][1:] != given[0][:-1]])
+            ends = np.r_[begins[1:], len(given[0])]
+            mixed_run = np.minimum.reduceat(given[2], begins) < np.maximum.reduceat(given[2], begins)
+            mixed_run |= given[0][begins] == over if over is not None else False
+            pairs: list[np.ndarray] = []
+            for i in np.flatnonzero(mixed_run).tolist():
+                own = [c[begins[i] : ends[i]] for c in given]
+                pairs += pairs_of(own, hub if own[0][0] == over else None)[0]
+            if pairs:
+                found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+                yield batch_of(0, [np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])])
+            passed = np.repeat(mixed_run, ends - begins)
+            yield batch_of(1, [c[passed] for c in given])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            given = [batch.column(c).to_numpy() for c in names]
+            rows = given if rows is None else [np.concatenate(c) for c in zip(rows, given, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield from closed([c[:cut] for c in rows])
+                rows, over = [c[cut:] for c in rows], over if over == rows[0][-1] else None
+            if len(rows[0]) > MAX_RUN:
+                pairs, hub = pairs_of(rows, hub if over == rows[0][-1] else None)
+                over = int(rows[0][-1])
+                found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+                yield batch_of(0, [np.ascontiguousarray(np.sort(found, axis=1)[:, i]) for i in (0, 1)])
+                yield batch_of(1, rows)
+                rows = [c[:0] for c in rows]
+        if rows is not None and len(rows[0]):
+            yield from closed(rows)
+
+    by_size = F.desc("size") if descending else F.asc("size")
+    return members.repartition("key").sortWithinPartitions("key", by_size, "node").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
+
 
-    ``rows`` holds the texts ``t`` and their hashes ``h``, ``texts`` each hash's ``node`` and ``class``. Two sets of
-    shingles with that Jaccard similarity share one of their first shingles in any common order, as many as
-    ``_prefix`` gives. Runs of more than ``most`` texts with one such shingle are dealt into cells, two parts of the
-    run each, so that no task compares more than two parts.
+def prefix_members(rows: DataFrame, texts: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """Rows ``MEMBER``: every text's node and class under each of its first shingles, of which two similar texts share one.
+
+    ``rows`` holds the texts ``t`` and their hashes ``h``, ``texts`` each hash's ``node`` and ``class``. Two sets of shingles
+    with that Jaccard similarity share one of their first shingles in any common order, as many as ``_prefix`` gives.
     """
     common = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows, n_words))
 
@@ -365,7 +437,15 @@ def exact_candidates(rows: DataFrame, texts: DataFrame, n_words: int, similarity
 
     prefixes = rows.select("h", "t").mapInArrow(prefixed, "h binary, size long, first array<long>").dropDuplicates(["h"])
     named = prefixes.join(texts.select("h", "node", "class"), "h")
-    members = named.select(F.posexplode("first").alias("at", "key"), "node", "class", "size").select("key", "node", "class", (F.shiftleft("size", 32) + F.col("at")).alias("size"))
+    return named.select(F.posexplode("first").alias("at", "key"), "node", "class", "size").select("key", "node", "class", (F.shiftleft("size", 32) + F.col("at")).alias("size"))
+
+
+def exact_candidates(members: DataFrame, similarity: float, most: int = MAX_RUN) -> DataFrame:
+    """Pairs ``a b`` of nodes of different classes; no pair of ``similarity`` or more is left out.
+
+    Runs of more than ``most`` members with one first shingle are dealt into cells, two parts of the run each, so that no
+    task compares more than two parts.
+    """
     found = checkpointed(_prefix_pairs(members, similarity, most))
     long_runs = found.filter("kind = 1").select(*MEMBER)
     parts = long_runs.groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("long").alias("parts"))
@@ -456,7 +536,17 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     links = verified(candidates)
     classed = texts.select("h", "node").join(connected_components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("class"))
     release(docs.sparkSession)
-    rest = checkpointed(exact_candidates(rows, classed, n_words, similarity, most))
+    members = prefix_members(rows, classed, n_words, similarity)
+    for descending in (False, True):  # large groups grow together on their hubs, before any two members are compared
+        found = checkpointed(_hub_pairs(members, similarity, descending))
+        release(docs.sparkSession)
+        pairs = checkpointed(found.filter("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct())
+        if pairs.limit(1).count():
+            links = checkpointed(links.unionByName(compared(pairs, True)))
+        roots = connected_components(links)
+        members = found.filter("kind = 1").select("key", "node", "size").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"), "size")
+        release(docs.sparkSession)
+    rest = checkpointed(exact_candidates(members, similarity, most))
     release(docs.sparkSession)
     roots = connected_components(links.unionByName(verified(rest)))
     named = texts.select("h", "node", "least").join(roots, "node", "left").select("h", "least", F.coalesce("root", "node").alias("class"))

@@ -57,6 +57,29 @@ def test_long_runs_of_one_shingle(spark):
     assert roots(spark, texts, most=2) == plain_roots(texts)
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Candidates stay in proportion to a group's members, and none of them stays apart."""
+    rng = random.Random(9)
+    base = [f"b{j}" for j in range(120)]
+    texts = {}
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(120), 2):
+            own[at] = f"x{i}y{at}"
+        texts[i] = " ".join(own)
+    compared = []
+    exact = simhash.exact_candidates
+
+    def counted(*args):
+        compared.append(exact(*args))
+        return compared[-1]
+
+    monkeypatch.setattr(simhash, "exact_candidates", counted)
+    monkeypatch.setattr(simhash, "MAX_RUN", 16)  # runs in parts
+    assert roots(spark, texts, most=16) == plain_roots(texts)
+    assert compared[0].count() < 300
+
+
 def test_different_texts_of_one_id_stay(spark):
     one, other = (" ".join(f"{c}{j}" for j in range(30)) for c in "ab")
     rows = [(1, one), (1, other), (1, other), (2, one), (3, other)]

@@ -1,25 +1,20 @@
 """Looking records up inside texts: containment first, then an approximate match.
 
-Containment is a theta join. A needle that occurs in a text's key also occurs, without spaces, in the text's solid
-form. So needles are joined by a seed, the first ``SEED`` characters of their solid form (or all, if it is shorter),
-against the distinct character windows of the texts in the seeds' lengths, and verified. Up to ``MAX_SEEDS``
-different seeds are broadcast, and a text's windows outside them are never made into rows; with more seeds all
-windows are, and both sides are shuffled by seed.
+Containment is a theta join that ``operators.containment`` turns into lookups of seeds; up to ``MAX_SEEDS`` needles are
+verified where the texts are, more are joined by seed. The approximate match is of ``operators.shortlist`` and
+``functions.distance``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
 from tallgrass.functions.distance import distance, similarity
+from tallgrass.operators import containment
 from tallgrass.operators.shortlist import dice_shortlist
 
-SEED = 12
 MAX_SEEDS = 200_000
 MIN_SIMILARITY, MIN_MARGIN, SHORTLIST = 0.90, 0.03, 5
 #: Records of these kinds are looked up by their parts, never approximately.
@@ -32,42 +27,9 @@ def forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), T.key(text_col).alias("key")).withColumn("solid", F.replace("key", F.lit(" "), F.lit("")))
 
 
-def _windows(texts: DataFrame, sizes: list[int], seeds: frozenset[str] | None) -> DataFrame:
-    """``page_id seed``: the distinct windows of every text (page_id, p_solid) in the given lengths, of ``seeds`` if given."""
-    shared = texts.sparkSession.sparkContext.broadcast(seeds)
-
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        wanted = shared.value
-
-        def one(text: str) -> list[str]:
-            own = {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)}
-            return sorted(own if wanted is None else own & wanted)
-
-        for batch in batches:
-            yield batch.map(one)
-
-    return texts.select("page_id", F.explode(cut("p_solid")).alias("seed"))
-
-
-def hit_length(page_key: Column, page_solid: Column, key: Column, solid: Column) -> Column:
-    """Characters of the needle found: by key, else by its solid form if that is long enough, else 0."""
-    return F.when((key != "") & page_key.contains(key), F.length(key)).when(T.solid_usable(solid) & page_solid.contains(solid), F.length(solid)).otherwise(0)
-
-
 def containment_pairs(pages: DataFrame, needles: DataFrame) -> DataFrame:
     """``page_id needle_id score`` of every needle (id, key, solid) that occurs in a page (id, key, solid)."""
-    own = needles.filter(F.col("key") != "").select(F.col("id").alias("needle_id"), F.col("key").alias("n_key"), F.col("solid").alias("n_solid"))
-    seeded = own.withColumn("size", F.least(F.length("n_solid"), F.lit(SEED)))
-    seeded = seeded.withColumn("seed", F.left("n_solid", F.col("size")))
-    sizes = [r["size"] for r in seeded.select("size").distinct().collect()]  # at most SEED rows
-    texts = pages.select(F.col("id").alias("page_id"), F.col("key").alias("p_key"), F.col("solid").alias("p_solid"))
-    some = seeded.select("seed").distinct().limit(MAX_SEEDS + 1).collect()
-    seeds = frozenset(r.seed for r in some) if len(some) <= MAX_SEEDS else None
-    windows = _windows(texts.select("page_id", "p_solid"), sizes, seeds)
-    found = windows.join(seeded.select("needle_id", "seed"), "seed").select("page_id", "needle_id")
-    score = hit_length(F.col("p_key"), F.col("p_solid"), F.col("n_key"), F.col("n_solid"))
-    return found.join(texts, "page_id").join(own, "needle_id").select("page_id", "needle_id", score.cast("long").alias("score")).filter("score > 0")
+    return containment.containment_pairs(pages, needles, MAX_SEEDS)
 
 
 def contains_lookup(pages: DataFrame, needles: DataFrame) -> DataFrame:

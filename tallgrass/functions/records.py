@@ -86,6 +86,21 @@ def answer_brief(answer: Column) -> Column:
     return F.when(kind == "array", F.array_join(parts, " + ")).when(kind == "object", F.concat(fields.cast("string"), F.lit(" fields"))).otherwise(brief(F.try_variant_get(answer, "$", "string"), 50))
 
 
-def strip_service(records: DataFrame) -> DataFrame:
-    """Without the columns whose names begin with ``_``."""
-    return records.select([c for c in records.columns if not c.startswith("_")])
+def answer_text(answer: Column) -> Column:
+    """An answer in full: parts of a list by `` + ``, fields of an object as ``name: value`` by ``; ``, or the text."""
+    parts = lambda v: F.array_join(F.transform(F.try_variant_get(v, "$", "array<string>"), lambda a: F.coalesce(a, F.lit(""))), " + ")
+    value = lambda v: F.coalesce(F.when(answer_kind(v) == "array", parts(v)), F.try_variant_get(v, "$", "string"), F.lit(""))
+    fields = F.transform(F.map_entries(F.try_variant_get(answer, "$", "map<string,variant>")), lambda e: F.concat(e["key"], F.lit(": "), value(e["value"])))
+    return F.when(answer_kind(answer) == "object", F.array_join(fields, "; ")).otherwise(value(answer))
+
+
+def value_or_list(values: Column) -> Column:
+    """An array of texts as JSON: one is a string, several are a list; null for none."""
+    whole = F.to_json(values)
+    return F.when(F.size(values) == 1, F.substring(whole, 2, F.length(whole) - 2)).when(F.size(values) > 1, whole)
+
+
+def strip_service(records: DataFrame, extra_col: str | None = None) -> DataFrame:
+    """Without the columns whose names begin with ``_``, and without such keys of the map ``extra_col``."""
+    out = records.select([c for c in records.columns if not c.startswith("_")])
+    return out.withColumn(extra_col, F.map_filter(extra_col, lambda k, _: ~k.startswith("_"))) if extra_col else out

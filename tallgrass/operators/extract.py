@@ -74,18 +74,24 @@ def disambiguate(records: DataFrame, ambiguous: DataFrame, key_col: str, questio
     return joined.withColumn("fixed", F.when(F.col("unclear"), given)).withColumn(question_col, F.when(F.col("fixed"), fresh).otherwise(question)).drop("unclear")
 
 
-def hyphen_candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """Hyphenated words whose joined form also stands alone: ``joined hyphenated n_plain n_hyphen``.
+def hyphen_candidates(docs: DataFrame, text_col: str, order_col: str | None = None) -> DataFrame:
+    """Hyphenated words whose joined form also stands alone: ``joined hyphenated n_plain n_hyphen``, most frequent first.
 
     Text is lower-cased and read in runs of word characters and hyphens. A run equal to the joined form is a plain
-    word; ``n_hyphen`` counts runs that end with the hyphenated form, which is the first one in alphabetic order.
+    word; ``n_hyphen`` counts runs that end with the hyphenated form, which is the first one by ``order_col`` and place in
+    the text (without an order: the first in alphabetic order).
     """
     text = F.lower(F.coalesce(text_col, F.lit("")))
-    runs = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    hyphened = runs.filter(F.col("w").contains("-")).select("w", "n", F.explode(F.regexp_extract_all("w", F.lit(HYPHENATED), F.lit(1))).alias("form"))
-    forms = hyphened.groupBy("form").agg(F.sum(F.when(F.col("w").endswith(F.col("form")), F.col("n")).otherwise(0)).alias("n_hyphen"))
-    first = forms.groupBy(F.replace("form", F.lit("-"), F.lit("")).alias("joined")).agg(F.min("form").alias("hyphenated"), F.min_by("n_hyphen", "form").alias("n_hyphen"))
-    return first.join(runs.select(F.col("w").alias("joined"), F.col("n").alias("n_plain")), "joined").select("joined", "hyphenated", "n_plain", "n_hyphen")
+    order = F.col(order_col) if order_col else F.lit(0)
+    cut = docs.select(order.alias("o"), F.posexplode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))).alias("at", "w"))
+    place = F.struct("o", "at") if order_col else F.lit(0)
+    runs = cut.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    hyphened = runs.filter(F.col("w").contains("-")).select("w", "n", "place", F.posexplode(F.regexp_extract_all("w", F.lit(HYPHENATED), F.lit(1))).alias("nth", "form"))
+    first_of = F.struct("place", "nth") if order_col else F.col("form")
+    forms = hyphened.groupBy("form").agg(F.sum(F.when(F.col("w").endswith(F.col("form")), F.col("n")).otherwise(0)).alias("n_hyphen"), F.min(first_of).alias("first"))
+    first = forms.groupBy(F.replace("form", F.lit("-"), F.lit("")).alias("joined")).agg(F.min_by("form", "first").alias("hyphenated"), F.min_by("n_hyphen", "first").alias("n_hyphen"))
+    found = first.join(runs.select(F.col("w").alias("joined"), F.col("n").alias("n_plain")), "joined")
+    return found.select("joined", "hyphenated", "n_plain", "n_hyphen").orderBy(F.desc("n_plain"), "joined")
 
 
 def join_hyphens(text: Column, joins: dict[str, str]) -> Column:

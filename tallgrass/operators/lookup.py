@@ -59,9 +59,13 @@ def approx_lookup(pages: DataFrame, needles: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     texts = short.select(F.col("id").alias("page_id"), F.col("key").alias("p_key"), (F.col("choices") if "choices" in pages.columns else none).alias("choices"))
     answers = own.select(F.col("id").alias("needle_id"), F.col("key").alias("n_key"), (F.col("values") if "values" in own.columns else none).alias("values"))
-    pairs = dice_shortlist(short, own, SHORTLIST).join(answers, "needle_id").join(texts, "page_id")
-    most = T.max_distance(F.length("n_key"))
-    judged = pairs.withColumn("most", most).withColumn("edits", distance(F.col("n_key"), F.col("p_key"), 2 * F.col("most") + 4)).filter(F.col("edits") <= 2 * F.col("most") + 4)
+    return _judged(dice_shortlist(short, own, SHORTLIST).join(answers, "needle_id").join(texts, "page_id"))
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """The best of each page's candidates (page_id, needle_id, rank, p_key, n_key, choices, values), and whether it is accepted."""
+    judged = pairs.withColumn("most", T.max_distance(F.length("n_key")))
+    judged = judged.withColumn("edits", distance(F.col("n_key"), F.col("p_key"), 2 * F.col("most") + 4)).filter(F.col("edits") <= 2 * F.col("most") + 4)
     judged = judged.withColumn("similarity", similarity(F.col("edits"), F.col("n_key")))
     w = Window.partitionBy("page_id").orderBy(F.desc("similarity"), "rank")
     ranked = judged.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("similarity").over(w)).withColumn("near", F.collect_list("needle_id").over(w.rowsBetween(0, 2)))
@@ -69,25 +73,51 @@ def approx_lookup(pages: DataFrame, needles: DataFrame) -> DataFrame:
     return ranked.filter("k = 1").select("page_id", "needle_id", "similarity", "edits", fits.alias("accepted"), "near")
 
 
-def lookup_cascade(pages: DataFrame, needles: DataFrame, links: DataFrame | None = None, context: DataFrame | None = None, approximate: bool = True) -> DataFrame:
+def own_lookup(pages: DataFrame, needles: DataFrame, own: DataFrame, approximate: bool = True) -> DataFrame:
+    """``page_id needle_id quality``: pages looked up among their own needles (``own``: page_id, needle_id) only.
+
+    The longest that a page contains, then the smallest id; for pages without one the approximate match, with a shortlist
+    of own needles. A page has few own needles, so pairs are those of ``own``.
+    """
+    none = F.lit(None).cast("array<string>")
+    texts = pages.select(F.col("id").alias("page_id"), F.col("key").alias("p_key"), F.col("solid").alias("p_solid"), (F.col("choices") if "choices" in pages.columns else none).alias("choices"))
+    kinds = F.coalesce(F.col("kind"), F.lit("")) if "kind" in needles.columns else F.lit("")
+    asked = needles.filter("key <> ''").select(F.col("id").alias("needle_id"), F.col("key").alias("n_key"), F.col("solid").alias("n_solid"), kinds.alias("kind"), (F.col("values") if "values" in needles.columns else none).alias("values"))
+    pairs = own.select("page_id", "needle_id").distinct().join(asked, "needle_id").join(texts, "page_id")
+    score = containment.hit_length(F.col("p_key"), F.col("p_solid"), F.col("n_key"), F.col("n_solid"))
+    hits = pairs.withColumn("score", score).filter("score > 0").groupBy("page_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("needle_id"))).alias("best"))
+    exact = hits.select("page_id", F.col("best.needle_id").alias("needle_id"), F.lit("exact").alias("quality"))
+    if not approximate:
+        return exact
+    rest = pairs.filter((F.col("p_key") != "") & ~F.col("kind").isin(*EXACT_KINDS)).join(exact.select("page_id"), "page_id", "left_anti")
+    dice = T.dice(T.words_of(F.col("n_key")), T.words_of(F.col("p_key")))
+    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc(dice), "needle_id"))).filter(F.col("rank") <= SHORTLIST)
+    return exact.unionByName(_judged(ranked).filter("accepted").select("page_id", "needle_id", F.lit("approx").alias("quality")))
+
+
+def lookup_cascade(pages: DataFrame, needles: DataFrame, links: DataFrame | None = None, context: DataFrame | None = None, approximate: bool = True, own: DataFrame | None = None) -> DataFrame:
     """``page_id needle_id quality weak``: the first stage that finds something for a page; pages without are left out.
 
-    Stages: needles linked to the page by id (``links``: page_id, needle_id; the smallest), exact containment, the
-    approximate match, and exact containment in the text before the page (``context``: id, key, solid), which is weak.
+    Stages: needles linked to the page by id (``links``: page_id, needle_id; the smallest), the page's own needles
+    (``own``: page_id, needle_id) by ``own_lookup``, then all: exact containment, the approximate match, and exact
+    containment in the text before the page (``context``: id, key, solid), which is weak.
     """
     kinds = {"page_id": pages.schema["id"].dataType, "needle_id": needles.schema["id"].dataType}
     found: list[DataFrame] = []
     left = pages
 
-    def stage(hits: DataFrame, quality: str) -> None:
+    def stage(hits: DataFrame, quality: str | None = None) -> None:
         nonlocal left
-        hits = hits.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
-        found.append(hits.select("page_id", "needle_id", F.lit(quality).alias("quality"), F.lit(quality == "context").alias("weak")))
+        named = F.col("quality") if quality is None else F.lit(quality).alias("quality")
+        hits = hits.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], named)
+        found.append(hits.select("page_id", "needle_id", "quality", F.lit(quality == "context").alias("weak")))
         left = left.join(hits.select(F.col("page_id").alias("id")), "id", "left_anti")
 
     if links is not None:
         known = links.join(needles.select(F.col("id").alias("needle_id")), "needle_id").groupBy("page_id").agg(F.min("needle_id").alias("needle_id"))
         stage(pages.select(F.col("id").alias("page_id")).join(known, "page_id"), "id")
+    if own is not None:
+        stage(own_lookup(left, needles, own, approximate))
     stage(contains_lookup(left, needles), "exact")
     if approximate:
         stage(approx_lookup(left, needles).filter("accepted"), "approx")

@@ -60,6 +60,16 @@ def merge_report(merged: DataFrame) -> DataFrame:
     return merged.agg(F.count_if("is_new").alias("added"), total("n_updates").alias("updated"), total("n_same").alias("same"), F.count("*").alias("total"))
 
 
+def merge_totals(merged: DataFrame, base: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The report of a whole merge: as ``merge_report``, with ``empty`` (rows of the change set that were ``dropped`` as blank), ``before`` and ``after``.
+
+    ``before`` counts all rows of the base, hidden ones too; only added keys make it longer.
+    """
+    counts = merge_report(merged).drop("total")
+    whole = base.agg(F.count("*").alias("before")).crossJoin(dropped.agg(F.count("*").alias("empty")))  # a row each
+    return counts.crossJoin(whole).select("added", "updated", "same", "empty", "before", (F.col("before") + F.col("added")).alias("after"))
+
+
 def append_new(base: DataFrame, incoming: DataFrame, key_col: str) -> DataFrame:
     """The base, and the incoming rows whose key it lacks."""
     return base.unionByName(incoming.join(base.select(key_col), key_col, "left_anti").select(base.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,21 @@ REPORT_ROWS = 40
 
 
 def class_histogram(rows: DataFrame, class_col: str) -> DataFrame:
-    """``class`` and ``n``."""
-    return rows.groupBy(F.col(class_col).alias("class")).agg(F.count("*").alias("n"))
+    """``class`` and ``n``, most frequent first."""
+    return rows.groupBy(F.col(class_col).alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class")
+
 
+def verdict_rollup(rows: DataFrame, verdict_col: str, label_col: str, order_col: str, shown: int = 3, verdicts: Sequence[str] = ()) -> DataFrame:
+    """Per verdict: how many, the labels of its first rows, and how many more there are.
 
-def verdict_rollup(rows: DataFrame, verdict_col: str, label_col: str, order_col: str, shown: int = 3) -> DataFrame:
-    """Per verdict: how many, the labels of its first rows, and how many more there are."""
+    Verdicts come in the order of ``verdicts``; others follow by name.
+    """
     counts = rows.groupBy(F.col(verdict_col).alias("verdict")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("verdict").orderBy("o")
     first = rows.select(F.col(verdict_col).alias("verdict"), F.col(order_col).alias("o"), F.col(label_col).cast("string").alias("label")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= shown)
     labels = first.groupBy("verdict").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))), lambda r: r["label"]), ", ").alias("labels"))
-    return counts.join(labels, "verdict").select("verdict", "n", "labels", F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, verdicts)).cast("array<string>"), F.col("verdict").cast("string")), F.lit(0)), F.lit(len(verdicts) + 1))
+    return counts.join(labels, "verdict").orderBy(place, "verdict").select("verdict", "n", "labels", F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
 
 
 def overall_state(flags: Column) -> Column:

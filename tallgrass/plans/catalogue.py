@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import records, rules
 from tallgrass.functions import text as T
-from tallgrass.operators import dedupe, extract, lookup, merge, rollup, scan
+from tallgrass.operators import dedupe, extract, harvest, lookup, merge, rollup, scan
 from tallgrass.streaming.capture import capture_events, changed_only
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +173,34 @@ def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_report(merge.ordered_merge(*_changes(spark, sf_dir), "key", "ord", "answer", ["link"]))
 
 
+@query(
+    """WITH e AS (SELECT user_id AS key, event_id AS ord, CASE WHEN event_id % 10 = 1 THEN '' ELSE event_type END AS answer FROM events),
+  b AS (SELECT * FROM e WHERE ord % 3 = 0), c AS (SELECT * FROM e WHERE ord % 3 <> 0 AND answer <> ''),
+  t AS (SELECT *, 0 AS src FROM b QUALIFY ord = max(ord) OVER (PARTITION BY key) UNION ALL SELECT *, 1 FROM c),
+  m AS (SELECT *, row_number() OVER w AS nth, row_number() OVER w = 1 OR answer IS DISTINCT FROM lag(answer) OVER w AS start FROM t WINDOW w AS (PARTITION BY key ORDER BY src, ord)),
+  k AS (SELECT min(src) = 1 AS is_new, count(*) FILTER (WHERE nth > 1 AND start) AS u, count(*) FILTER (WHERE nth > 1 AND NOT start) AS s FROM m GROUP BY key)
+  SELECT count(*) FILTER (WHERE is_new) AS added, CAST(sum(u) AS BIGINT) AS updated, CAST(sum(s) AS BIGINT) AS same,
+    (SELECT count(*) FROM e WHERE ord % 3 <> 0 AND answer = '') AS empty, (SELECT count(*) FROM b) AS before, (SELECT count(*) FROM b) + count(*) FILTER (WHERE is_new) AS after FROM k"""
+)
+def merge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of a merge whose change set has blank records."""
+    answer = F.when(F.col("event_id") % 10 == 1, "").otherwise(F.col("event_type"))
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), answer.alias("answer"))
+    base, changes = events.filter("ord % 3 = 0"), events.filter("ord % 3 <> 0")
+    merged = merge.ordered_merge(base, changes.filter("answer <> ''"), "key", "ord", "answer")
+    return merge.merge_totals(merged, base, changes.filter("answer = ''"))
+
+
+@query("""WITH c AS (SELECT event_id // 3 AS i, event_id % 3 AS k, event_type AS t FROM events WHERE event_id % 4 <> 1)
+  SELECT i, CASE WHEN count(*) = 1 THEN to_json(min(t)) ELSE to_json(list(t ORDER BY k)) END AS answer FROM c GROUP BY i""")
+def assembled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part is a value, several are a list; the transcription of part 0 goes by the picture's number alone."""
+    parts = read(spark, sf_dir, "events").filter("event_id % 4 <> 1").selectExpr("event_id div 3 AS i", "CAST(event_id % 3 AS STRING) AS k", "event_type AS text")
+    told = parts.select(F.when(F.col("k") == "0", F.col("i").cast("string")).otherwise(F.concat_ws("_", "i", "k")).alias("name"), "text")
+    found = extract.assembled(parts.select("i", "k", F.lit("q").alias("question")), told)
+    return found.select("i", records.value_or_list(F.col("answers")).alias("answer"))
+
+
 @query("SELECT event_id AS ord FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events WHERE event_id % 3 = 0) WHERE event_id < last")
 def merge_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.superseded(_changes(spark, sf_dir)[0], "key", "ord").select("ord")
@@ -212,6 +240,22 @@ def contains_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.containment_pairs(*_sides(spark, sf_dir))
 
 
+_OWN = f"""{_HITS}, own AS (SELECT doc_id AS page_id, item_id AS needle_id FROM documents JOIN benchmark ON item_id % 20 = doc_id % 20 OR item_id = doc_id),
+  of_own AS (SELECT page_id, arg_min(needle_id, (-score, needle_id)) AS needle_id FROM hits JOIN own USING (page_id, needle_id) GROUP BY page_id),
+  of_all AS (SELECT page_id, arg_min(needle_id, (-score, needle_id)) AS needle_id FROM hits WHERE page_id NOT IN (SELECT page_id FROM of_own) GROUP BY page_id)"""
+
+
+@query(f"WITH {_OWN} SELECT page_id, needle_id, true AS own FROM of_own UNION ALL SELECT page_id, needle_id, false FROM of_all")
+def own_scope_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's own needles before all others, exact matches only; ``own``: whether one of its own was taken."""
+    pages, needles = _sides(spark, sf_dir)
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"))
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
+    own = ids.join(items, F.col("needle_id") % 20 == F.col("page_id") % 20).unionByName(ids.join(items, F.col("needle_id") == F.col("page_id"))).distinct()
+    found = lookup.lookup_cascade(pages, needles, own=own, approximate=False)
+    return found.join(own.withColumn("own", F.lit(True)), ["page_id", "needle_id"], "left").select("page_id", "needle_id", F.coalesce("own", F.lit(False)).alias("own"))
+
+
 _PART_ROWS = rf"parts AS (SELECT item_id, part, key, replace(key, ' ', '') AS solid FROM (SELECT item_id, part, {_sql_key('text')} AS key FROM (SELECT item_id, unnest(string_split(text, '.')) AS text, generate_subscripts(string_split(text, '.'), 1) AS part FROM benchmark)) WHERE key <> '')"
 
 
@@ -270,13 +314,16 @@ def preceding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.md5("context").alias("context_md5"))
 
 
-@query(r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_-]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-  h AS (SELECT w, n, unnest(regexp_extract_all(w, '[а-яёa-z]{2,}-[а-яёa-z]{2,}')) AS form FROM c WHERE contains(w, '-')),
-  f AS (SELECT form, CAST(sum(CASE WHEN ends_with(w, form) THEN n ELSE 0 END) AS BIGINT) AS n_hyphen FROM h GROUP BY form),
-  o AS (SELECT replace(form, '-', '') AS joined, min(form) AS hyphenated, arg_min(n_hyphen, form) AS n_hyphen FROM f GROUP BY 1)
-  SELECT joined, hyphenated, c.n AS n_plain, n_hyphen FROM o JOIN c ON c.w = o.joined""")
+@query(r"""WITH t AS MATERIALIZED (SELECT doc_id, unnest(r) AS w, generate_subscripts(r, 1) AS spot FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'tion', 'ti-on') ELSE text END, '')), '[\p{L}\p{N}_-]+') AS r FROM documents)),
+  c AS MATERIALIZED (SELECT w, count(*) AS n, min((doc_id, spot)) AS place FROM t GROUP BY w),
+  f AS MATERIALIZED (SELECT w, n, place, unnest(forms) AS form, generate_subscripts(forms, 1) AS nth FROM (SELECT w, n, place, regexp_extract_all(w, '[а-яёa-z]{2,}-[а-яёa-z]{2,}') AS forms FROM c WHERE contains(w, '-'))),
+  o AS (SELECT replace(form, '-', '') AS joined, arg_min(form, (place, nth)) AS hyphenated FROM f GROUP BY 1),
+  h AS (SELECT form, CAST(sum(CASE WHEN ends_with(w, form) THEN n ELSE 0 END) AS BIGINT) AS n_hyphen FROM f GROUP BY form)
+  SELECT joined, hyphenated, c.n AS n_plain, n_hyphen FROM o JOIN c ON c.w = o.joined JOIN h ON h.form = o.hyphenated""")
 def hyphen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.hyphen_candidates(read(spark, sf_dir, "documents"), "text")
+    """Every second text has hyphens where a line might have been broken."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("tion"), F.lit("ti-on"))).otherwise(F.col("text")).alias("text"))
+    return extract.hyphen_candidates(docs, "text", "doc_id")
 
 
 @query(f"SELECT p_partkey, p_name FROM part WHERE contains({_sql_norm('p_name')}, {_sql_norm(chr(39) + 'RED' + chr(39))})")
@@ -507,6 +554,19 @@ def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.control_groups(extract.page_controls(pages, "p_partkey", "html"), "p_partkey")
 
 
+@query("""SELECT p_partkey, 'p' || p_partkey AS problem_id, q.* FROM part, LATERAL (VALUES
+    ('About ' || p_name, to_json(p_brand)), ('Kind of ' || p_name, to_json(p_type)), ('Kind of ' || p_name || ' none ' || p_type || ' Sizes', to_json(CAST(p_size AS VARCHAR)))) AS q(question, answer)""")
+def harvested_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records harvested from a filled-in form made for each part: ticked, chosen from a list, typed in."""
+    form = F.format_string(
+        """<div data-problem-id="p%s"><h2>Part</h2><div class="problem"><p>About  %s</p><label><input type=radio name=brand>other</label><label><input type="radio" name=brand checked> <b>%s</b></label>
+        <label for="k">Kind of %s</label><select id="k"><option>none<option selected>%s</select><p>Sizes</p><input type=text value=" %s"><input type=text value=""></div></div>""",
+        *[F.col(c).cast("string") for c in ("p_partkey", "p_name", "p_brand", "p_name", "p_type", "p_size")],
+    )
+    found = harvest.harvest_records(read(spark, sf_dir, "part").select("p_partkey", form.alias("html")), "p_partkey", "html")
+    return found.select(F.col("page").alias("p_partkey"), "problem_id", "question", "answer")
+
+
 @query("WITH i AS (SELECT DISTINCT user_id FROM events WHERE event_id % 7 <> 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id % 7 = 0) SELECT count(*) AS replaced FROM b WHERE user_id IN (SELECT user_id FROM i WHERE user_id IS NOT NULL)")
 def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("answer"))

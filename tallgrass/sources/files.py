@@ -48,10 +48,11 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcriptions(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON object from name to text: ``name text``."""
+    """Entries of a JSON object from name to text, or to a list of questions with answers: ``name text pairs``, of which one is null."""
     entries = F.from_json("value", "map<string,variant>")
     rows = spark.read.text(path, wholetext=True).select(F.explode(entries).alias("name", "v"))
-    return rows.select("name", F.try_variant_get("v", "$", "string").alias("text"))
+    pairs = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<struct<question:string,answer:string>>"))
+    return rows.select("name", F.when(pairs.isNull(), F.try_variant_get("v", "$", "string")).alias("text"), pairs.alias("pairs"))
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.functions.records import strip_service
 
-MAX_FILE_RECORDS = 1_000_000
+_OPEN, _BETWEEN, _CLOSE = "[\r\n", ",\r\n", "\r\n]"
 
 
 def render(records: list[object]) -> str:
@@ -23,31 +26,67 @@ def canonical_rows(records: DataFrame, order_col: str) -> DataFrame:
     return records.select(F.col(order_col).alias("ord"), F.to_json(F.struct(*fields)).alias("json"))
 
 
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as it stands in the file, between two commas."""
+    for batch in batches:
+        whole = [render([json.loads(r)]) for r in batch.column("json").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([w[len(_OPEN) : -len(_CLOSE)] for w in whole], pa.string())], names=["value"])
+
+
 def write_canonical(spark: SparkSession, records: DataFrame, order_col: str, path: str) -> str | None:
-    """Writes one canonical file; a file that is there is first copied to ``path.bak``. Returns the copy's path.
+    """Writes one canonical file and reads it back before the old one goes, which stays as ``path.bak``. Returns the copy's path.
 
-    A canonical file is one JSON array, so it is made in one place, from at most ``MAX_FILE_RECORDS`` records;
-    larger sets are exported with ``export``, a file for each partition.
+    Tasks render sorted parts beside the target; these are then joined byte by byte, so no record passes through Python on
+    the driver and memory is that of a buffer. The file is read again, and its length and checksum must be those of what was
+    written; else an error is raised and the old file is where it was.
     """
-    rows = canonical_rows(records, order_col).orderBy("ord").limit(MAX_FILE_RECORDS + 1).collect()
-    if len(rows) > MAX_FILE_RECORDS:
-        raise ValueError(f"over {MAX_FILE_RECORDS} records: use export()")
-    text = render([json.loads(r.json) for r in rows])
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    target, fresh, folder = (hadoop.Path(f"{path}{end}") for end in ("", f".new-{uuid.uuid4().hex}", f".parts-{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(conf)
+    backup = f"{path}.bak"
     fs.setWriteChecksum(False)  # a checksum file beside it would outlive edits by other programs
-    backup = None
-    if fs.exists(target):
-        backup = f"{path}.bak"
-        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, jvm.org.apache.hadoop.fs.Path(backup), False, True, spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.create(target, True)
     try:
-        stream.write(bytearray(text.encode()))
+        rows = canonical_rows(records, order_col).orderBy("ord").select("json")
+        rows.mapInArrow(_rendered, "value string").write.option("lineSep", _BETWEEN).text(folder.toString())
+        parts = sorted((f.getPath().toString(), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen())
+        check, length = jvm.java.util.zip.CRC32(), 0
+        out = jvm.java.util.zip.CheckedOutputStream(fs.create(fresh, True), check)
+        try:
+            pieces = [(None, _OPEN if parts else "[]"), *parts, *([(None, _CLOSE)] if parts else [])]
+            for i, (part, size) in enumerate(pieces):
+                if part is None:
+                    out.write(bytearray(size.encode()))
+                    length += len(size)
+                else:
+                    size -= len(_BETWEEN) * (i == len(parts))  # nothing after the last record
+                    given = fs.open(hadoop.Path(part))
+                    try:
+                        whole = jvm.org.apache.commons.io.input.BoundedInputStream(given, size)
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(whole, out, 1 << 16, False)
+                    finally:
+                        given.close()
+                    length += size
+        finally:
+            out.close()
+        again = jvm.java.util.zip.CheckedInputStream(fs.open(fresh), jvm.java.util.zip.CRC32())
+        try:
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(again, jvm.java.io.OutputStream.nullOutputStream(), 1 << 16, False)
+        finally:
+            again.close()
+        if fs.getFileStatus(fresh).getLen() != length or again.getChecksum().getValue() != check.getValue():
+            raise OSError(f"{path} was not written as it was meant to be; the old file is as it was")
+        had = fs.exists(target)
+        if had:
+            fs.delete(hadoop.Path(backup), False)
+            fs.rename(target, hadoop.Path(backup))
+        if not fs.rename(fresh, target):
+            raise OSError(f"{path} could not be put in its place; the old file is {backup}")
+        return backup if had else None
     finally:
-        stream.close()
+        fs.delete(folder, True)
+        fs.delete(fresh, False)
         fs.setWriteChecksum(True)
-    return backup
 
 
 def verify(written: DataFrame, expected: DataFrame) -> bool:
@@ -65,3 +104,8 @@ def export(records: DataFrame, path: str) -> None:
 def without(records: DataFrame, order_col: str, places: list[int]) -> DataFrame:
     """Records but those at the given places."""
     return records.filter(~F.col(order_col).isin(places)) if places else records
+
+
+def cleared(records: DataFrame) -> DataFrame:
+    """No records, with the same columns."""
+    return records.limit(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tallgrass.functions import text as T
+from tallgrass.functions.records import value_or_list
 
 # The marks of question and answer lines, lengths and limits.
 QUESTION_MARK, ANSWER_MARK = "•", "+"
@@ -179,3 +180,22 @@ def assembled(crops: DataFrame, transcribed: DataFrame) -> DataFrame:
     text = F.coalesce("text", "i_text")
     part = F.when(text.isNotNull() & (text != ""), F.struct(F.coalesce(F.col("k").try_cast("int"), F.lit(-1)).alias("k"), text.alias("t")))
     return joined.groupBy("i").agg(F.min("question").alias("question"), F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]).alias("answers"))
+
+
+def built_records(crops: DataFrame, told: DataFrame, skipped: Sequence[int] = ()) -> DataFrame:
+    """Records of transcribed pictures: ``place question answer``, in order of ``place``, the answer as JSON.
+
+    ``crops``: i, k, question. ``told``: name, text, pairs (see ``read_transcriptions``). The crops of a picture are one record,
+    whose answer is a text or, of several, a list by ``k``; a whole picture (``full``) gives a record for each of its pairs, and
+    pairs without a question take the picture's. Pictures in ``skipped`` and crops without a text are left out; an ellipsis at
+    a question's end is cut.
+    """
+    own = crops.filter(~F.col("i").isin(list(skipped))) if skipped else crops
+    given = own.join(told.select("name", "pairs"), F.concat_ws("_", "i", "k") == F.col("name")).filter("k = 'full'")
+    asked = F.coalesce(F.nullif(T.clean_text(F.col("p.question")), F.lit("")), F.col("question"))
+    pairs = given.select("i", "question", F.posexplode("pairs").alias("j", "p")).select(F.struct(F.lit(0).alias("phase"), F.col("i").cast("long").alias("i"), "j").alias("place"), asked.alias("question"), F.to_json(F.array(T.clean_text(F.col("p.answer")))).alias("listed"))
+    pairs = pairs.select("place", "question", F.substring("listed", 2, F.length("listed") - 2).alias("answer"))
+    clean = told.select("name", T.clean_text("text").alias("text"))
+    whole = assembled(own.filter("k <> 'full'"), clean).filter(F.size("answers") > 0)
+    images = whole.select(F.struct(F.lit(1).alias("phase"), F.col("i").cast("long").alias("i"), F.lit(0).alias("j")).alias("place"), "question", value_or_list(F.col("answers")).alias("answer"))
+    return pairs.unionByName(images).withColumn("question", T.trim_ellipsis("question"))

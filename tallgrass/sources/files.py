@@ -47,6 +47,11 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("ord").cast("long").alias("ord"), name.alias("name"))
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of a JSON array of any layout, with the fields of ``schema``; a broken file is an error."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
 def read_transcriptions(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSON object from name to text, or to a list of questions with answers: ``name text pairs``, of which one is null."""
     entries = F.from_json("value", "map<string,variant>")

@@ -1,6 +1,7 @@
 """PNG files of every kind against a plain decoder, and pictures of a document to crops and manifests."""
 
 import io
+import json
 import struct
 import zipfile
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tallgrass.__main__ import main
 from tallgrass.sources import files, images, png
 
 
@@ -109,3 +111,21 @@ def test_document_to_manifests(spark, tmp_path):
         assert np.array_equal(own, shown["d.png"]) if c.k == "full" else (own == 255).all() and own.shape[1] == 86
     assert sorted((p.i, p.cls, p.size) for p in images.pending_manifest(answers).collect()) == [(0, "GREEN_VERIFIED", [100, 120]), (1, "MULTI_ANSWER", [100, 200]), (3, "GREEN_TICK_ONLY", [100, 100])]
     assert {(t.name, t.whole) for t in images.transcription_names(images.crop_manifest(answers)).collect()} == {("0_0", False), ("1_0", False), ("1_1", False), ("3_full", True)}
+
+    work = tmp_path / "work"
+    work.mkdir()
+    assert main(["extract", path, str(work)], spark) == 0
+    assert [(c["i"], c["k"], c["crop"]) for c in json.loads((work / "crops.json").read_text())] == [(0, "0", "a000_0.png"), (1, "0", "a001_0.png"), (1, "1", "a001_1.png"), (3, "full", "full003.png")]
+    assert [p["i"] for p in json.loads((work / "pending.json").read_text())] == [0, 1, 3] and spark.read.parquet(str(work / "crops.parquet")).count() == 4
+    told = {"0": " one  answer", "1_1": "b", "1_0": "a", "3_full": [{"question": "Which?", "answer": "x"}, {"question": "", "answer": "y"}]}
+    (work / "transcribe.json").write_text(json.dumps(told))
+    out = tmp_path / "out.json"
+    assert main(["build", str(work), str(out)], spark) == 0
+    made = [{"question": "Which?", "answer": "x"}, {"question": "Ticks", "answer": "y"}, {"question": "First question", "answer": "one answer"}, {"question": "Second", "answer": ["a", "b"]}]
+    assert json.loads(out.read_text()) == made
+    base = tmp_path / "base.json"
+    base.write_text(json.dumps([{"question": "second", "answer": "old", "problem_id": "p"}, {"question": "Other", "answer": "kept"}]))
+    assert main(["build", str(work), str(out), "--merge", str(base), "--skip-i", "3"], spark) == 0
+    assert json.loads(out.read_text()) == [{"question": "second", "answer": "old", "problem_id": "p"}, {"question": "Other", "answer": "kept"}, made[2]]
+    assert main(["build", str(work), str(out), "--merge", str(base), "--refresh"], spark) == 0
+    assert json.loads(out.read_text()) == [made[3], {"question": "Other", "answer": "kept"}, *made[:3]]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import checkpointed, release, table, text_slices
+from tallgrass.llm.common import checkpointed, release, table, text_slices, written
 from tallgrass.llm.components import connected_components
 from tallgrass.llm.words import mixed
 
@@ -44,6 +44,8 @@ BITS = 64
 SEGMENTS = 4
 SEED = 42
 MAX_RUN = 4096
+#: So many rows before it each row of a run is paired with, at most, before all pairs are.
+PLACES = 64
 FINER_PARTS = 8
 #: Shingles that come so often in a chunk of rows are common; and at most so many are.
 COMMON_LEAST, COMMON_MOST = 4, 1 << 17
@@ -283,7 +285,10 @@ MEMBER = ("key", "node", "class", "size")
 
 
 def _run_pairs(run: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Node pairs of rows (columns ``MEMBER`` and in cells ``side``, sorted by key and size) with one key that can be similar, of different classes and sides."""
+    """Node pairs of rows (columns ``MEMBER`` and in cells ``side``, sorted by key, size and node) with one key that can be similar, of different classes and sides.
+
+    Whole runs leave out the pairs of rows up to ``PLACES`` apart, which ``_near_pairs`` has given; cells don't, as rows are nearer there.
+    """
     key, node, own, both, *sides = run
     size, at = both >> 32, both & 0xFFFFFFFF
     out = []
@@ -294,6 +299,8 @@ def _run_pairs(run: list[np.ndarray], similarity: float) -> np.ndarray:
         second = first + step
         going = (key[first] == key[second]) & (similarity * size[second] <= size[first] + 1e-9)
         first, second = first[going], second[going]
+        if not sides and step <= PLACES:
+            continue
         shared = np.minimum(size[first] - at[first], size[second] - at[second])
         good = own[first] != own[second]
         for side in sides:
@@ -344,15 +351,15 @@ def _prefix_pairs(members: DataFrame, similarity: float, most: int) -> DataFrame
         if rows is not None and len(rows[0]):
             yield from closed(rows, over)
 
-    return members.repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
+    return members.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
 
 
-def _hub_pairs(members: DataFrame, similarity: float, descending: bool) -> DataFrame:
-    """Of every run of one key: pairs of its members with a hub, and the members themselves.
+def _near_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Of every run of one key: at most ``PLACES`` pairs a member, and the members themselves.
 
-    Rows come by size. A run's first row is its hub until sizes are too far from it; then the next row is. So a run gives
-    a pair a member at most, however long it is. ``kind`` 0: a pair that can be similar, of different classes, in the first
-    two columns. ``kind`` 1: a member of a run of more than one class (or of one too long to know).
+    Rows come by size, and each is paired with those just before it, so pairs stay in proportion to rows; where a tenth of a
+    large group's pairs are similar, these are enough to tie most of it together. ``kind`` 0: a pair that can be similar, of
+    different classes, in the first two columns. ``kind`` 1: a member of a run of more than one class (or of one too long to know).
     """
     names = members.columns
 
@@ -361,41 +368,31 @@ def _hub_pairs(members: DataFrame, similarity: float, descending: bool) -> DataF
         columns = [*columns, *[np.zeros(n, np.int64)] * (len(MEMBER) - len(columns))]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], names=["kind", *MEMBER])
 
-    def pairs_of(run: list[np.ndarray], hub: tuple | None) -> tuple[list[np.ndarray], tuple]:
-        _, node, own, both = run
+    def pairs_of(given: list[np.ndarray], tail: list[np.ndarray] | None) -> pa.RecordBatch:
+        """Pairs of the given rows; ``tail``: the last rows before them."""
+        key, node, own, both = given if tail is None else [np.concatenate(c) for c in zip(tail, given, strict=True)]
         size, at = both >> 32, both & 0xFFFFFFFF
-        begin, out = 0, []
-        while begin < len(node):
-            if hub is not None:
-                bound = hub[2] * similarity if descending else hub[2] / similarity
-                far = size[begin:] < bound - 1e-9 if descending else size[begin:] > bound + 1e-9
-                end = begin + (int(np.argmax(far)) if far.any() else len(far))
-                part = slice(begin, end)
-                shared = np.minimum(hub[2] - hub[3], size[part] - at[part])
-                good = (own[part] != hub[1]) & (shared * (1 + similarity) >= similarity * (hub[2] + size[part]) - 1e-6)
-                out.append(np.stack([np.full(int(good.sum()), hub[0]), node[part][good]], 1))
-                begin = end
-            if begin < len(node):
-                hub = int(node[begin]), int(own[begin]), int(size[begin]), int(at[begin])
-                begin += 1
-        return out, hub
+        second, found = np.arange(len(key) - len(given[0]), len(key)), []
+        for place in range(1, PLACES + 1):
+            second = second[second >= place]
+            second = second[(key[second - place] == key[second]) & (similarity * size[second] <= size[second - place] + 1e-9)]
+            first = second - place
+            shared = np.minimum(size[first] - at[first], size[second] - at[second])
+            good = (own[first] != own[second]) & (shared * (1 + similarity) >= similarity * (size[first] + size[second]) - 1e-6)
+            found.append(np.stack([node[first[good]], node[second[good]]], 1))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return batch_of(0, [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, over, hub = None, None, None
+        rows, over, tail = None, None, None
 
         def closed(given: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             begins = np.flatnonzero(np.r_[True, given[0][1:] != given[0][:-1]])
-            ends = np.r_[begins[1:], len(given[0])]
             mixed_run = np.minimum.reduceat(given[2], begins) < np.maximum.reduceat(given[2], begins)
-            mixed_run |= given[0][begins] == over if over is not None else False
-            pairs: list[np.ndarray] = []
-            for i in np.flatnonzero(mixed_run).tolist():
-                own = [c[begins[i] : ends[i]] for c in given]
-                pairs += pairs_of(own, hub if own[0][0] == over else None)[0]
-            if pairs:
-                found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-                yield batch_of(0, [np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])])
-            passed = np.repeat(mixed_run, ends - begins)
+            if over is not None:
+                mixed_run |= given[0][begins] == over
+            passed = np.repeat(mixed_run, np.diff(np.r_[begins, len(given[0])]))
+            yield pairs_of(given, tail if over is not None else None)
             yield batch_of(1, [c[passed] for c in given])
 
         for batch in batches:
@@ -408,17 +405,14 @@ def _hub_pairs(members: DataFrame, similarity: float, descending: bool) -> DataF
                 yield from closed([c[:cut] for c in rows])
                 rows, over = [c[cut:] for c in rows], over if over == rows[0][-1] else None
             if len(rows[0]) > MAX_RUN:
-                pairs, hub = pairs_of(rows, hub if over == rows[0][-1] else None)
-                over = int(rows[0][-1])
-                found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-                yield batch_of(0, [np.ascontiguousarray(np.sort(found, axis=1)[:, i]) for i in (0, 1)])
+                yield pairs_of(rows, tail if over is not None else None)
                 yield batch_of(1, rows)
+                over, tail = int(rows[0][-1]), [c[-PLACES:] for c in rows]
                 rows = [c[:0] for c in rows]
         if rows is not None and len(rows[0]):
             yield from closed(rows)
 
-    by_size = F.desc("size") if descending else F.asc("size")
-    return members.repartition("key").sortWithinPartitions("key", by_size, "node").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
+    return members.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
 
 
 def prefix_members(rows: DataFrame, texts: DataFrame, n_words: int, similarity: float) -> DataFrame:
@@ -465,11 +459,12 @@ def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         return np.frombuffer(b"".join(h[:16] for h in hashes), "<u8").reshape(-1, 2) & np.uint64(BLOOM_BITS - 1)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(BLOOM_BITS, bool)
+        out = np.zeros(BLOOM_BITS // 8, np.uint8)
         for batch in batches:
-            out[places(batch.column("h").to_pylist()).ravel()] = True
+            at = places(batch.column("h").to_pylist()).ravel()
+            np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(out).tobytes(), 1)], pa.binary())], names=["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["bits"])
 
     filled = np.zeros(BLOOM_BITS // 8, np.uint8)
     for row in wanted.select("h").mapInArrow(bits, "bits binary").toLocalIterator():
@@ -537,15 +532,13 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     classed = texts.select("h", "node").join(connected_components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("class"))
     release(docs.sparkSession)
     members = prefix_members(rows, classed, n_words, similarity)
-    for descending in (False, True):  # large groups grow together on their hubs, before any two members are compared
-        found = checkpointed(_hub_pairs(members, similarity, descending))
-        release(docs.sparkSession)
-        pairs = checkpointed(found.filter("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct())
-        if pairs.limit(1).count():
-            links = checkpointed(links.unionByName(compared(pairs, True)))
-        roots = connected_components(links)
-        members = found.filter("kind = 1").select("key", "node", "size").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"), "size")
-        release(docs.sparkSession)
+    found = written(_near_pairs(members, similarity), "near")  # large groups are tied together before any two members are compared
+    release(docs.sparkSession)
+    pairs = checkpointed(found.filter("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct())
+    links = checkpointed(links.unionByName(compared(pairs, True)))
+    roots = connected_components(links)
+    members = found.filter("kind = 1").select("key", "node", "size").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"), "size")
+    release(docs.sparkSession)
     rest = checkpointed(exact_candidates(members, similarity, most))
     release(docs.sparkSession)
     roots = connected_components(links.unionByName(verified(rest)))

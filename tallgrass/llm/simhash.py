@@ -528,6 +528,21 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
         release(docs.sparkSession)
         return compared(likely, True)
 
+    def forest_first(pairs: DataFrame) -> DataFrame:
+        """The similar pairs among the given ones, but for those whose ends others join already.
+
+        A pair carries its shingles through a shuffle, so in large groups one likely pair a node is compared first, and then
+        the pairs that are still between two components.
+        """
+        likely = compared(pairs, False)
+        release(docs.sparkSession)
+        forest = compared(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), True)
+        roots = connected_components(forest)
+        release(docs.sparkSession)
+        ends = likely.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+        apart = checkpointed(ends.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
+        return forest.unionByName(compared(apart, True))
+
     links = verified(candidates)
     classed = texts.select("h", "node").join(connected_components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("class"))
     release(docs.sparkSession)
@@ -535,7 +550,7 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     found = written(_near_pairs(members, similarity), "near")  # large groups are tied together before any two members are compared
     release(docs.sparkSession)
     pairs = checkpointed(found.filter("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct())
-    links = checkpointed(links.unionByName(compared(pairs, True)))
+    links = checkpointed(links.unionByName(forest_first(pairs)))
     roots = connected_components(links)
     members = found.filter("kind = 1").select("key", "node", "size").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"), "size")
     release(docs.sparkSession)

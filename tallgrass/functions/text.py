@@ -1,7 +1,7 @@
 """Text functions as columns: comparison keys, shortening, classification.
 
-Keys are native expressions for all text that NFKC and formula commands leave alone; only texts with other
-characters or a backslash pass through an Arrow UDF, and for the rest the UDF sees nulls.
+Keys pass an Arrow UDF, so a text's key is worked out once however often a plan names it. As a native expression it was
+repeated for each filter, branch and join on it, and one pass of its regular expressions cost more than the UDF.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql.types import StringType
 
 from tallgrass.functions import rules
 
-#: Characters that the native path takes: ASCII without the backslash, letters and marks that are their own NFKC form.
-_PLAIN = r"\x00-\x5B\x5D-\x7FÀ-ÖØ-öø-ÿА-яЁё–—‘’“”„«»"
-_RARE = f"[^{_PLAIN}]"
 _SPACES = rf"(?U)[\s\x1C-\x1F{rules.BLANK_GLYPHS}]+"
 ELLIPSIS = "…"
 
@@ -38,24 +35,6 @@ def _c(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def _either(text: Column, slow, native: Column) -> Column:  # noqa: ANN001
-    return F.coalesce(slow(F.when(text.rlike(_RARE), text)), native)
-
-
-def _native_fold(text: Column) -> Column:
-    dash = "[\\-–—]"
-    out = F.regexp_replace(text, rf"(?<=\p{{L}}){dash}(?=\p{{L}})", "")
-    out = F.translate(out, rules.DASHES + rules.DOUBLE_QUOTES + rules.SINGLE_QUOTES, "-" * len(rules.DASHES) + '"' * len(rules.DOUBLE_QUOTES) + "'" * len(rules.SINGLE_QUOTES))
-    dollars = rf"\$\$([^$\n]{{1,{rules.DOLLAR_LONG}}})\$\$|\$([^$\n]{{1,{rules.DOLLAR_SHORT}}})\$"
-    out = F.when(out.contains("$"), F.regexp_replace(out, dollars, " $1$2 ")).otherwise(out)
-    out = F.translate(out, "{}", "")
-    return F.regexp_replace(out, r"(?U)(?<=[\p{L}\p{N}])[\s\x1C-\x1F]*[_^][\s\x1C-\x1F]*(?=[\p{L}\p{N}])", "")
-
-
-def _native_norm(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(_native_fold(text), _SPACES, " ")))
-
-
 def key_of_norm(norm_text: Column) -> Column:
     """The key of a text that ``norm`` has gone through."""
     return F.trim(F.regexp_replace(norm_text, r"[^\p{L}\p{N}_]+", " "))
@@ -66,17 +45,17 @@ def solid_of_key(key_text: Column) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    return _either(_c(text), _fold, _native_fold(_c(text)))
+    return _fold(_c(text))
 
 
 def norm(text: Column | str) -> Column:
     """One kind of quotes, dashes and spaces, formulas in plain signs, lower case."""
-    return _either(_c(text), _norm, _native_norm(_c(text)))
+    return _norm(_c(text))
 
 
 def key(text: Column | str) -> Column:
     """``norm`` without punctuation; words stay apart."""
-    return key_of_norm(norm(text))
+    return _key(_c(text))
 
 
 def solid(text: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions import rules
 from tallgrass.functions import text as T
 from tallgrass.functions.distance import distance, substring_distance
+from tallgrass.operators import dedupe
 
 EQUAL = [
     ("the «best» way", 'the "best" way'), ("well – known fact", "well - known fact"), ("wait…", "wait..."), (r"\frac{a}{b} of it", "(a)/(b) of it"),
@@ -99,3 +100,12 @@ def test_distance(spark):
         assert (substring_distance(needle, text, budget) <= budget) == (plain_distance(needle, text) <= budget)
     rows = spark.createDataFrame([("cat sat", "the cat sat down", 4), ("", "x", 1), (None, "x", 1)], "a string, b string, k int")
     assert [r.d for r in rows.select(distance(F.col("a"), F.col("b"), F.col("k")).alias("d")).collect()] == [0, 0, None]
+
+
+def test_a_key_is_worked_out_once(spark):
+    """However often a plan names a key: in filters, branches and groups."""
+    docs = spark.createDataFrame([(1, "A-b, c"), (2, "ab C"), (3, "`x` Σ’Σ")], "id long, text string").withColumn("key", T.key("text"))
+    found = dedupe.dedupe_last(docs.filter(F.length("key") > 1), "key", "id").select("id", "pos", F.upper("key").alias("k"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("regexp_replace") == 0 and plan.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, found.collect())) == [(2, 1, "AB C"), (3, 3, "X Σ Σ")]

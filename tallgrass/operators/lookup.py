@@ -54,7 +54,9 @@ def approx_lookup(pages: DataFrame, needles: DataFrame) -> DataFrame:
     up to three candidates. Needles may have a ``kind`` (those of ``EXACT_KINDS`` take no part) and their answers' ``values``,
     pages their ``choices``: arrays of normalised texts. Pages of any length are compared.
     """
-    short = pages.filter(F.col("key") != "")
+    # Few bytes a page but much work, so tasks are not left to the size of the shuffle; the window below needs no other.
+    n_tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = pages.filter(F.col("key") != "").select("id", "key", *[c for c in pages.columns if c == "choices"]).repartition(n_tasks, "id")
     own = needles.filter(~F.coalesce(F.col("kind"), F.lit("")).isin(*EXACT_KINDS)) if "kind" in needles.columns else needles
     none = F.lit(None).cast("array<string>")
     texts = short.select(F.col("id").alias("page_id"), F.col("key").alias("p_key"), (F.col("choices") if "choices" in pages.columns else none).alias("choices"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallgrass.functions import distance as distance_module
 from tallgrass.functions import rules
 from tallgrass.functions import text as T
 from tallgrass.functions.distance import distance, substring_distance
@@ -109,3 +110,18 @@ def test_a_key_is_worked_out_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("RLIKE") + plan.count("regexp_replace") == 0 and plan.count("ArrowEvalPython") == 1
     assert sorted(map(tuple, found.collect())) == [(2, 1, "AB C"), (3, 3, "X Σ Σ")]
+
+
+def test_far_pairs_are_told_without_the_table():
+    text = distance_module._Letters("one two three four five six seven eight nine ten " * 30)
+    codes = lambda s: distance_module.np.frombuffer(s.encode("utf-32-le"), "uint32")
+    assert distance_module.surely_beyond(codes("kwzq jxvb " * 12), text, 28)
+    for needle, budget in (("two three four", 0), ("wo thre fourr", 2), ("e two t", 0)):
+        assert not distance_module.surely_beyond(codes(needle), text, budget)
+    rnd = random.Random(3)
+    for _ in range(300):
+        page = "".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 60)))
+        needle = "".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 20)))
+        for budget in range(6):
+            if distance_module.surely_beyond(codes(needle), distance_module._Letters(page), budget):
+                assert plain_distance(needle, page) > budget, (needle, page, budget)

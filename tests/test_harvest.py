@@ -106,3 +106,11 @@ def test_rendered_answers(spark, tmp_path):
     told = {r.name: (r.text, r.pairs and [tuple(p) for p in r.pairs]) for r in files.read_transcriptions(spark, str(path)).collect()}
     assert told == {"1_0": ("text", None), "2_full": (None, [("q", "a"), ("r", "b")])}
     assert rules.key("A-b") == "ab"
+
+
+def test_the_plan_stays_small(spark):
+    """Shared parts are stored once: planned again in every branch they were 181 joins, and the driver ran out of memory."""
+    pages = spark.createDataFrame([(1, "<div class=problem><p>Q</p><input type=text value=a></div>")], "id long, html string")
+    found = harvest.harvest_records(pages, "id", "html")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 20
+    assert [(r.question, r.answer) for r in found.collect()] == [("Q", '"a"')]

@@ -50,6 +50,9 @@ FINER_PARTS = 8
 #: Shingles that come so often in a chunk of rows are common; and at most so many are.
 COMMON_LEAST, COMMON_MOST = 4, 1 << 17
 BLOOM_BITS = 1 << 26
+#: A set's sketch, in bits (a power of two) and in columns of 64.
+SKETCH_BITS = 512
+SKETCH = tuple(f"sketch{i}" for i in range(SKETCH_BITS // 64))
 
 
 def shingle_hashes(words: list[bytes], n_words: int) -> list[int]:
@@ -280,16 +283,31 @@ def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
     return shingles[np.lexsort((shingles, rank))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits of a set, as signed longs: each shingle turns one. So two sets differ in as many shingles as their bits, or more."""
+    turned = np.bincount(shingles.view(np.uint64) >> np.uint64(65 - SKETCH_BITS.bit_length()), minlength=SKETCH_BITS) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+
+
 #: ``size`` holds the size in its high and the place in its low 32 bits.
 MEMBER = ("key", "node", "class", "size")
 
 
+def _may_be_similar(first: np.ndarray, second: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of rows (by place) may be similar, as far as their sketches tell; none that is similar is refused."""
+    differ = np.zeros(len(first), np.int64)
+    for column in sketches:
+        differ += np.bitwise_count((column[first] ^ column[second]).view(np.uint64))
+    both = size[first] + size[second]
+    return (both - differ) * (1 + similarity) >= 2 * similarity * both - 1e-6
+
+
 def _run_pairs(run: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Node pairs of rows (columns ``MEMBER`` and in cells ``side``, sorted by key, size and node) with one key that can be similar, of different classes and sides.
+    """Node pairs of rows (columns ``MEMBER``, ``SKETCH`` and in cells ``side``, sorted by key, size and node) with one key that can be similar, of different classes and sides.
 
     Whole runs leave out the pairs of rows up to ``PLACES`` apart, which ``_near_pairs`` has given; cells don't, as rows are nearer there.
     """
-    key, node, own, both, *sides = run
+    (key, node, own, both), sketches, sides = run[: len(MEMBER)], run[len(MEMBER) :][: len(SKETCH)], run[len(MEMBER) + len(SKETCH) :]
     size, at = both >> 32, both & 0xFFFFFFFF
     out = []
     first, step = np.arange(len(key)), 0
@@ -306,7 +324,9 @@ def _run_pairs(run: list[np.ndarray], similarity: float) -> np.ndarray:
         for side in sides:
             good &= (side[first] != side[second]) | (side[first] < 0)
         good &= shared * (1 + similarity) >= similarity * (size[first] + size[second]) - 1e-6
-        out.append(np.stack([node[first[good]], node[second[good]]], 1))
+        one, other = first[good], second[good]
+        good = _may_be_similar(one, other, size, sketches, similarity)
+        out.append(np.stack([node[one[good]], node[other[good]]], 1))
     pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
     return np.unique(np.sort(pairs, axis=1), axis=0)
 
@@ -315,11 +335,12 @@ def _prefix_pairs(members: DataFrame, similarity: float, most: int) -> DataFrame
     """``kind`` 0: a candidate pair, in the first two columns. ``kind`` 1: a member of a run of more than ``most`` rows."""
 
     names = members.columns
+    kept = (*MEMBER, *SKETCH)
 
     def batch_of(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
         n = len(columns[0])
-        columns = [*columns[: len(MEMBER)], *[np.zeros(n, np.int64)] * (len(MEMBER) - len(columns))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], names=["kind", *MEMBER])
+        columns = [*columns[: len(kept)], *[np.zeros(n, np.int64)] * (len(kept) - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], names=["kind", *kept])
 
     def closed(rows: list[np.ndarray], over: int | None) -> Iterator[pa.RecordBatch]:
         """Output for whole runs; the run of key ``over`` has begun before and is long already."""
@@ -351,72 +372,79 @@ def _prefix_pairs(members: DataFrame, similarity: float, most: int) -> DataFrame
         if rows is not None and len(rows[0]):
             yield from closed(rows, over)
 
-    return members.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
-
-
-def _near_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Of every run of one key: at most ``PLACES`` pairs a member, and the members themselves.
-
-    Rows come by size, and each is paired with those just before it, so pairs stay in proportion to rows; where a tenth of a
-    large group's pairs are similar, these are enough to tie most of it together. ``kind`` 0: a pair that can be similar, of
-    different classes, in the first two columns. ``kind`` 1: a member of a run of more than one class (or of one too long to know).
-    """
-    names = members.columns
+    return members.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in kept))
 
-    def batch_of(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-        n = len(columns[0])
-        columns = [*columns, *[np.zeros(n, np.int64)] * (len(MEMBER) - len(columns))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], names=["kind", *MEMBER])
 
-    def pairs_of(given: list[np.ndarray], tail: list[np.ndarray] | None) -> pa.RecordBatch:
-        """Pairs of the given rows; ``tail``: the last rows before them."""
-        key, node, own, both = given if tail is None else [np.concatenate(c) for c in zip(tail, given, strict=True)]
-        size, at = both >> 32, both & 0xFFFFFFFF
-        second, found = np.arange(len(key) - len(given[0]), len(key)), []
-        for place in range(1, PLACES + 1):
-            second = second[second >= place]
-            second = second[(key[second - place] == key[second]) & (similarity * size[second] <= size[second - place] + 1e-9)]
-            first = second - place
-            shared = np.minimum(size[first] - at[first], size[second] - at[second])
-            good = (own[first] != own[second]) & (shared * (1 + similarity) >= similarity * (size[first] + size[second]) - 1e-6)
-            found.append(np.stack([node[first[good]], node[second[good]]], 1))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return batch_of(0, [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
+def _mixed_runs(members: DataFrame) -> DataFrame:
+    """The members of every run of more than one class, or of one too long to know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, over, tail = None, None, None
+        rows, over = None, None
 
-        def closed(given: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def passed(given: list[np.ndarray]) -> pa.RecordBatch:
             begins = np.flatnonzero(np.r_[True, given[0][1:] != given[0][:-1]])
             mixed_run = np.minimum.reduceat(given[2], begins) < np.maximum.reduceat(given[2], begins)
             if over is not None:
                 mixed_run |= given[0][begins] == over
-            passed = np.repeat(mixed_run, np.diff(np.r_[begins, len(given[0])]))
-            yield pairs_of(given, tail if over is not None else None)
-            yield batch_of(1, [c[passed] for c in given])
+            kept = np.repeat(mixed_run, np.diff(np.r_[begins, len(given[0])]))
+            return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in given], names=MEMBER)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            given = [batch.column(c).to_numpy() for c in names]
+            given = [batch.column(c).to_numpy() for c in MEMBER]
             rows = given if rows is None else [np.concatenate(c) for c in zip(rows, given, strict=True)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
-                yield from closed([c[:cut] for c in rows])
+                yield passed([c[:cut] for c in rows])
                 rows, over = [c[cut:] for c in rows], over if over == rows[0][-1] else None
             if len(rows[0]) > MAX_RUN:
-                yield pairs_of(rows, tail if over is not None else None)
-                yield batch_of(1, rows)
-                over, tail = int(rows[0][-1]), [c[-PLACES:] for c in rows]
+                over = int(rows[0][-1])
+                yield passed(rows)
                 rows = [c[:0] for c in rows]
         if rows is not None and len(rows[0]):
-            yield from closed(rows)
+            yield passed(rows)
 
-    return members.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "kind int, " + ", ".join(f"`{c}` long" for c in MEMBER))
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"`{c}` long" for c in MEMBER))
 
 
-def prefix_members(rows: DataFrame, texts: DataFrame, n_words: int, similarity: float) -> DataFrame:
-    """Rows ``MEMBER``: every text's node and class under each of its first shingles, of which two similar texts share one.
+def _near_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a b`` that can be similar, of different classes: at most ``PLACES`` pairs a member, of every run of one key.
+
+    Rows (``MEMBER`` and ``SKETCH``) come by size, and each is paired with those just before it, so pairs stay in proportion to
+    rows; where a tenth of a large group's pairs are similar, these are enough to tie most of it together.
+    """
+    names = (*MEMBER, *SKETCH)
+
+    def pairs_of(rows: list[np.ndarray], done: int) -> pa.RecordBatch:
+        """Pairs of the rows from ``done`` on with those before them."""
+        (key, node, own, both), sketches = rows[: len(MEMBER)], rows[len(MEMBER) :]
+        size, at = both >> 32, both & 0xFFFFFFFF
+        second, found = np.arange(done, len(key)), []
+        for place in range(1, PLACES + 1):
+            second = second[second >= place]
+            second = second[(key[second - place] == key[second]) & (similarity * size[second] <= size[second - place] + 1e-9)]
+            first = second - place
+            shared = np.minimum(size[first] - at[first], size[second] - at[second])
+            good = (own[first] != own[second]) & (shared * (1 + similarity) >= similarity * (size[first] + size[second]) - 1e-6)
+            one, other = first[good], second[good]
+            good = _may_be_similar(one, other, size, sketches, similarity)
+            found.append(np.stack([node[one[good]], node[other[good]]], 1))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.zeros(0, np.int64)] * len(names)
+        for batch in batches:
+            rows = [np.concatenate([before, batch.column(c).to_numpy()]) for before, c in zip(tail, names, strict=True)]
+            yield pairs_of(rows, len(tail[0]))
+            tail = [c[-PLACES:] for c in rows]
+
+    return members.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def prefix_sets(rows: DataFrame, texts: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """Every text's ``node``, ``class``, ``size``, ``first`` shingles, of which two similar texts share one, and ``SKETCH``.
 
     ``rows`` holds the texts ``t`` and their hashes ``h``, ``texts`` each hash's ``node`` and ``class``. Two sets of shingles
     with that Jaccard similarity share one of their first shingles in any common order, as many as ``_prefix`` gives.
@@ -427,24 +455,29 @@ def prefix_members(rows: DataFrame, texts: DataFrame, n_words: int, similarity:
         for batch, given in text_slices(batches, "t"):
             sets = [_shingle_set(t, n_words) for t in given]
             first = [_prefix(s, common.value, similarity) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["h", "size", "first"])
+            sketches = np.stack([sketch(s) for s in sets], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), *map(pa.array, sketches)], names=["h", "size", "first", *SKETCH])
 
-    prefixes = rows.select("h", "t").mapInArrow(prefixed, "h binary, size long, first array<long>").dropDuplicates(["h"])
-    named = prefixes.join(texts.select("h", "node", "class"), "h")
-    return named.select(F.posexplode("first").alias("at", "key"), "node", "class", "size").select("key", "node", "class", (F.shiftleft("size", 32) + F.col("at")).alias("size"))
+    prefixes = rows.select("h", "t").mapInArrow(prefixed, "h binary, size long, first array<long>, " + ", ".join(f"{c} long" for c in SKETCH)).dropDuplicates(["h"])
+    return prefixes.join(texts.select("h", "node", "class"), "h").drop("h")
+
+
+def prefix_members(sets: DataFrame) -> DataFrame:
+    """Rows ``MEMBER``: every text's node and class under each of its first shingles."""
+    return sets.select(F.posexplode("first").alias("at", "key"), "node", "class", "size").select("key", "node", "class", (F.shiftleft("size", 32) + F.col("at")).alias("size"))
 
 
 def exact_candidates(members: DataFrame, similarity: float, most: int = MAX_RUN) -> DataFrame:
     """Pairs ``a b`` of nodes of different classes; no pair of ``similarity`` or more is left out.
 
-    Runs of more than ``most`` members with one first shingle are dealt into cells, two parts of the run each, so that no
+    ``members`` are rows ``MEMBER`` and ``SKETCH``. Runs of more than ``most`` members with one first shingle are dealt into cells, two parts of the run each, so that no
     task compares more than two parts.
     """
     found = checkpointed(_prefix_pairs(members, similarity, most))
-    long_runs = found.filter("kind = 1").select(*MEMBER)
+    long_runs = found.filter("kind = 1").select(*MEMBER, *SKETCH)
     parts = long_runs.groupBy("key").agg(F.ceil(F.count("*") / F.lit(most)).cast("long").alias("parts"))
     dealt = long_runs.join(parts, "key").withColumn("side", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "node", "class", "size", F.when(F.col("side") == F.col("other"), -1 - F.col("side")).otherwise(F.col("side")).alias("side"))
+    cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "node", "class", "size", *SKETCH, F.when(F.col("side") == F.col("other"), -1 - F.col("side")).otherwise(F.col("side")).alias("side"))
     finer = _prefix_pairs(cells, similarity, 1 << 62).filter("kind = 0")
     return found.filter("kind = 0").unionByName(finer).select(F.col("key").alias("a"), F.col("node").alias("b")).distinct()
 
@@ -531,28 +564,29 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     def forest_first(pairs: DataFrame) -> DataFrame:
         """The similar pairs among the given ones, but for those whose ends others join already.
 
-        A pair carries its shingles through a shuffle, so in large groups one likely pair a node is compared first, and then
+        A pair carries its shingles through a shuffle, so in large groups one pair a node is compared first, and then
         the pairs that are still between two components.
         """
-        likely = compared(pairs, False)
-        release(docs.sparkSession)
-        forest = compared(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), True)
+        forest = compared(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), True)
         roots = connected_components(forest)
         release(docs.sparkSession)
-        ends = likely.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+        ends = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
         apart = checkpointed(ends.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
-        return forest.unionByName(compared(apart, True))
+        return forest.unionByName(verified(apart))
 
     links = verified(candidates)
     classed = texts.select("h", "node").join(connected_components(links), "node", "left").select("h", "node", F.coalesce("root", "node").alias("class"))
     release(docs.sparkSession)
-    members = prefix_members(rows, classed, n_words, similarity)
-    found = written(_near_pairs(members, similarity), "near")  # large groups are tied together before any two members are compared
+    sets = written(prefix_sets(rows, classed, n_words, similarity), "sets")
+    release(docs.sparkSession)
+    runs = written(_mixed_runs(prefix_members(sets)), "runs")
+    release(docs.sparkSession)
+    sketches = sets.select("node", *SKETCH)
+    pairs = checkpointed(_near_pairs(runs.join(sketches, "node"), similarity))  # large groups are tied together before any two members are compared
     release(docs.sparkSession)
-    pairs = checkpointed(found.filter("kind = 0").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct())
     links = checkpointed(links.unionByName(forest_first(pairs)))
     roots = connected_components(links)
-    members = found.filter("kind = 1").select("key", "node", "size").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"), "size")
+    members = runs.select("key", "node", "size").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"), "size").join(sketches, "node").select(*MEMBER, *SKETCH)
     release(docs.sparkSession)
     rest = checkpointed(exact_candidates(members, similarity, most))
     release(docs.sparkSession)

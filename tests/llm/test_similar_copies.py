@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tallgrass.llm")
@@ -79,6 +80,31 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert compared[0].count() < 300
 
 
+def test_large_group_below_the_similarity(spark, monkeypatch):
+    """Texts that share most of a text, but are not similar, are told apart before they are pairs."""
+    rng = random.Random(3)
+    texts = {}
+    for i in range(200):
+        own = [f"b{j}" for j in range(120)]
+        for n, at in enumerate(rng.sample(range(5, 115, 10), 2)):
+            own[at] = f"x{i}y{n}"
+        texts[i] = " ".join(own)
+    near, rest = [], []
+    monkeypatch.setattr(simhash, "_near_pairs", lambda *args, plain=simhash._near_pairs: near.append(plain(*args)) or near[-1])
+    monkeypatch.setattr(simhash, "exact_candidates", lambda *args, plain=simhash.exact_candidates: rest.append(plain(*args)) or rest[-1])
+    assert roots(spark, texts) == plain_roots(texts)
+    assert near[0].count() < 800 and rest[0].count() < 800
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(2**63), 2**63 - 1, 4000)
+    for n in (0, 1, 30, 1000):
+        a, b = (np.unique(rng.choice(pool, n)) for _ in range(2))
+        bits = np.bitwise_count((simhash.sketch(a) ^ simhash.sketch(b)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(a, b)) and simhash.sketch(a).shape == (len(simhash.SKETCH),)
+
+
 def test_different_texts_of_one_id_stay(spark):
     one, other = (" ".join(f"{c}{j}" for j in range(30)) for c in "ab")
     rows = [(1, one), (1, other), (1, other), (2, one), (3, other)]

@@ -218,3 +218,26 @@ def test_blend_uses_only_earlier_tokens():
     again = mixing.blended(parts2, sizes, (0.3, 0.5, 0.2))
     assert whole[1] == 0 and whole[2] == again[2] and whole[0] != again[0]
     assert abs(mixing.blended(parts[:32], np.array([32]), (0.3, 0.5, 0.2))[0] - np.log10(np.exp(parts[:32]) @ [0.3, 0.5, 0.2]).sum()) < 1e-9
+
+
+def test_every_chunk_learns(spark, monkeypatch):
+    """Weights come from all training tokens, not from those of some chunks."""
+    sums = []
+    monkeypatch.setattr(mixing, "_averaged", lambda given, first, plain=mixing._averaged: sums.append(given) or plain(given, first))
+    monkeypatch.setattr(mixing, "CHUNK_BYTES", 2000)
+    rows = [(i, " ".join(f"w{(7 * i + j) % 50}" for j in range(60)), i % 4 > 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    found = mixing.score_texts(docs, F.col("learn")).collect()
+    assert len(found) == 80
+    assert sums[-1].filter("at = 0").agg(F.sum("n")).first()[0] == found[0].train_tokens == 60 * 61
+
+
+def test_weights_without_scoring():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(rng.exponential(9))}" for _ in range(50)) for _ in range(300)]
+    one, other = mixing.first_weights(), mixing.first_weights()
+    train = [i % 3 > 0 for i in range(300)]
+    for weights, scoring in ((one, True), (other, False)):
+        for own, _ in mixings(texts, train):
+            own.known(weights, scoring=scoring)
+    assert np.array_equal(one, other) and not np.array_equal(one, mixing.first_weights())

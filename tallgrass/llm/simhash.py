@@ -50,6 +50,8 @@ FINER_PARTS = 8
 #: Shingles that come so often in a chunk of rows are common; and at most so many are.
 COMMON_LEAST, COMMON_MOST = 4, 1 << 17
 BLOOM_BITS = 1 << 26
+#: Tasks that fill the filter, at most: ids only go through them, and the driver takes the filters one by one.
+FILTER_TASKS = 24
 #: A set's sketch, in bits (a power of two) and in columns of 64.
 SKETCH_BITS = 512
 SKETCH = tuple(f"sketch{i}" for i in range(SKETCH_BITS // 64))
@@ -482,10 +484,10 @@ def exact_candidates(members: DataFrame, similarity: float, most: int = MAX_RUN)
     return found.filter("kind = 0").unionByName(finer).select(F.col("key").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose text hash ``h`` may be among those of ``wanted``, by a Bloom filter of fixed size.
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash ``h`` may be among those of ``wanted``, by a Bloom filter of fixed size.
 
-    It keeps texts that no pair asks for out of the shuffle. A full filter lets all rows pass; none that is wanted is lost.
+    It keeps texts that nobody asks for out of the shuffle. A full filter lets all rows pass; none that is wanted is lost.
     """
 
     def places(hashes: list[bytes]) -> np.ndarray:
@@ -500,7 +502,7 @@ def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["bits"])
 
     filled = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for row in wanted.select("h").mapInArrow(bits, "bits binary").toLocalIterator():
+    for row in wanted.select("h").coalesce(FILTER_TASKS).mapInArrow(bits, "bits binary").toLocalIterator():  # a job a task
         filled |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(filled)
 
@@ -548,7 +550,7 @@ def _copy_classes(docs: DataFrame, id_col: str, text_col: str, n_words: int, sim
     def compared(pairs: DataFrame, whole: bool) -> DataFrame:
         """The pairs that are similar enough, or may be by a fourth of their shingles, if the rest were shared as far as it goes."""
         wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("h", "node", "least"), "node"))
-        one_each = _likely(rows, wanted).join(wanted.select("h", "node", F.col("least").alias("i")), ["h", "i"]).dropDuplicates(["h", "i"]).select("node", "t")
+        one_each = likely(rows, wanted).join(wanted.select("h", "node", F.col("least").alias("i")), ["h", "i"]).dropDuplicates(["h", "i"]).select("node", "t")
         sets = checkpointed(one_each.mapInArrow(shingled(whole), "node long, n int, s array<long>"))
         release(docs.sparkSession)
         both = pairs.join(sets.select(F.col("node").alias("a"), "n", "s"), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("o")), "b")

@@ -5,13 +5,12 @@ A word's vector is the sum of the hashed embeddings of the word and of its first
 filter's three largest answers (k-max pooling) go to a logistic output. The
 gradient reaches only the pooled positions, so training is cheap.
 
-Training takes a sample of labelled rows of at most ``MAX_PER_CLASS`` texts of
-either class, the ones with the least hash of their id. Embeddings begin with
-the smoothed log-odds of their bucket in the sample. A tenth of the sample is
-kept apart: it shifts the output so that 0.5 is the best threshold over all, and
-gives a threshold for each language with enough rows. Language, source and id
-are no inputs of the score; the language only chooses the threshold of
-``flagged``.
+Training takes every labelled row. Rows are dealt into chunks by a hash of their id. Embeddings begin with the smoothed
+log-odds of their bucket over all rows. In each of ``ROUNDS`` rounds every chunk goes on from the same model, and what
+they change is averaged on the cluster: a bucket's embedding over the batches that moved it, the rest over rows. A tenth
+of the rows is kept apart: it shifts the output so that 0.5 is the best threshold over all, and gives a threshold for
+each language with enough rows, from counts of logits to 1/64. Language, source and id are no inputs of the score; the
+language only chooses the threshold of ``flagged``. The driver holds one model, whatever the input.
 
 Null or empty texts have no words; they get the score of a text without any
 answer. Texts of any length are scored whole. Repeated rows are scored each and
@@ -22,6 +21,7 @@ scored where they lie, without a shuffle.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,14 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import id_mod, table, text_slices
+from tallgrass.llm.common import id_mod, release, table, text_slices, written
+from tallgrass.llm.simhash import likely
 from tallgrass.llm.words import ALNUM, Words
 
 BUCKETS_LOG2 = 15
 DIM, FILTERS, WIDTHS, POOL = 16, 8, (1, 2, 3), 3
 PREFIXES = (4, 5, 6, 7)
-MAX_PER_CLASS = 2000
-EPOCHS, BATCH, RATE = 8, 64, 0.02
+#: Labelled rows in a chunk, about; one with more bytes of text is cut.
+CHUNK_ROWS, CHUNK_BYTES = 4096, 16 << 20
+ROUNDS, EPOCHS, BATCH, RATE = 2, 2, 64, 0.02
+#: Buckets in a block of the embeddings, where models are added up.
+BLOCK = 512
+#: Logits are counted to a step of this, up to so many steps from 0.
+LOGIT_STEP, LOGIT_STEPS = 1 / 64, 1 << 12
 MIN_FOR_LANGUAGE = 40
 
 
@@ -108,20 +114,19 @@ def gradients(model: Model, ids: np.ndarray, doc: np.ndarray, labels: np.ndarray
         d, k, f = np.nonzero(positions[w] >= 0)
         at, g = positions[w][d, k, f], back[d, w, k, f]
         gradient = np.zeros_like(model.filters[w])
+        of_filter = np.zeros((len(at), FILTERS), np.float32)
+        of_filter[np.arange(len(at)), f] = g
         for o in range(width):
-            part = np.zeros((FILTERS, DIM), np.float32)
-            np.add.at(part, f, g[:, None] * vectors[at + o])
-            gradient[o] = part.T
+            gradient[o] = vectors[at + o].T @ of_filter
             moves.append(g[:, None] * model.filters[w][o].T[f])
             touched.append(at + o)
         of_filters.append(gradient)
         of_biases.append(np.bincount(f, g, minlength=FILTERS).astype(np.float32))
     at, move = np.concatenate(touched), np.concatenate(moves)
     buckets, inverse = np.unique(ids[at], return_inverse=True)
-    total = np.zeros((len(buckets), DIM), np.float32)
-    for j in range(ids.shape[1]):
-        np.add.at(total, inverse.reshape(len(at), -1)[:, j], move)
-    return pooled.T @ error, float(error.sum()), of_filters, of_biases, buckets, total
+    cells = (inverse.reshape(len(at), -1).T[:, :, None] * DIM + np.arange(DIM)).reshape(ids.shape[1], -1)
+    total = sum((np.bincount(c, move.ravel(), minlength=len(buckets) * DIM) for c in cells), np.zeros(len(buckets) * DIM))
+    return pooled.T @ error, float(error.sum()), of_filters, of_biases, buckets, total.reshape(-1, DIM).astype(np.float32)
 
 
 class _Adam:
@@ -135,37 +140,33 @@ class _Adam:
         self.values[rows] -= rate * (self.m[rows] / (1 - 0.9**self.t)) / (np.sqrt(self.v[rows] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(texts: list[bytes], labels: np.ndarray, languages: list[str | None], seed: int = 7, odds_start: float = 0.3) -> Model:
-    """A model from labelled texts. With one class only, it gives that class's label everywhere.
+def first_model(held: np.ndarray, totals: np.ndarray, seed: int = 7, odds_start: float = 0.3) -> Model:
+    """The model that training begins with. With one class only, it gives that class's label everywhere.
 
-    ``odds_start``: how much of its log-odds a bucket's embedding begins with.
+    ``held``: in how many texts of either class a bucket occurs; ``totals``: the texts of each. ``odds_start``: how much
+    of its log-odds a bucket's embedding begins with.
     """
     rng = np.random.default_rng(seed)
-    ids = [word_ids(Words([t.lower()], ALNUM)) for t in texts]
-    order = rng.permutation(len(texts))
-    kept, fitted = order[: len(order) // 10], order[len(order) // 10 :]
-    size = 1 << BUCKETS_LOG2
-    odds = np.zeros((2, size))
-    for i in fitted:
-        odds[int(labels[i]), np.unique(ids[i])] += 1
-    totals = [max(1, int((labels[fitted] == c).sum())) for c in (0, 1)]
-    ratio = np.log((odds[1] + 0.5) / (totals[1] + 1)) - np.log((odds[0] + 0.5) / (totals[0] + 1))
-    rare = odds.sum(0) < 3
-    embedding = rng.normal(0, 0.05, (size, DIM)).astype(np.float32)
-    embedding[:, 0] += np.where(rare, 0, odds_start * ratio)
+    ratio = np.log((held[1] + 0.5) / (max(1, totals[1]) + 1)) - np.log((held[0] + 0.5) / (max(1, totals[0]) + 1))
+    embedding = rng.normal(0, 0.05, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
+    embedding[:, 0] += np.where(held.sum(0) < 3, 0, odds_start * ratio)
     filters = [rng.normal(0, 0.2, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, 0] = np.abs(f[:, 0])
     model = Model(embedding, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.05, len(WIDTHS) * POOL * FILTERS).astype(np.float32), 0.0)
-    if len(set(labels.tolist())) < 2:
+    if not totals.all():
         model.output[:] = 0
-        model.intercept = 20.0 if len(labels) and labels[0] else -20.0
-        return model
+        model.intercept = 20.0 if totals[1] else -20.0
+    return model
+
+
+def learn(model: Model, ids: list[np.ndarray], labels: np.ndarray, rates: list[float], seed: int) -> np.ndarray:
+    """Goes over the texts once for each of ``rates``, and changes ``model`` in place. How many batches moved each bucket."""
+    rng, moved = np.random.default_rng(seed), np.zeros(1 << BUCKETS_LOG2, np.int64)
     adam = {name: [_Adam(v) for v in values] for name, values in (("f", model.filters), ("b", model.biases), ("o", [model.output]), ("e", [model.embedding]))}
-    intercept = _Adam(np.zeros(1, np.float32))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        shuffled = rng.permutation(fitted)
+    intercept = _Adam(np.array([model.intercept], np.float32))
+    for rate in rates:
+        shuffled = rng.permutation(len(ids))
         for batch in (shuffled[i : i + BATCH] for i in range(0, len(shuffled), BATCH)):
             own = np.concatenate([ids[i] for i in batch])
             doc = np.repeat(np.arange(len(batch)), [len(ids[i]) for i in batch])
@@ -178,17 +179,31 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str | None], s
                 adam["b"][w].step(of_biases[w], rate=rate)
             if len(buckets):
                 adam["e"][0].step(rows, buckets, rate=rate / 4)
+                moved[buckets] += 1
     model.intercept = float(intercept.values[0])
-    _calibrate(model, [ids[i] for i in kept], labels[kept], [languages[i] for i in kept])
-    return model
+    return moved
+
+
+def _small(model: Model) -> np.ndarray:
+    """All that is no embedding, in one array."""
+    return np.concatenate([*(f.ravel() for f in model.filters), *model.biases, model.output, [model.intercept]]).astype(np.float64)
 
 
-def best_cut(logits: np.ndarray, labels: np.ndarray, costs: tuple[float, float]) -> float:
-    """The middle of the widest range of logits with the least cost of (clean flagged, toxic missed)."""
-    order = np.argsort(logits)
-    z, y = logits[order], labels[order]
-    missed = np.concatenate([[0], np.cumsum(y)])
-    flagged = (1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)])
+def _with_small(model: Model, values: np.ndarray) -> None:
+    """Puts what ``_small`` gave back into ``model``."""
+    parts = np.split(values, np.cumsum([f.size for f in (*model.filters, *model.biases, model.output)]))
+    for of, part in zip((*model.filters, *model.biases, model.output), parts, strict=False):
+        of[...] = part.reshape(of.shape)
+    model.intercept = float(parts[-1][0])
+
+
+def best_cut(logits: np.ndarray, labels: np.ndarray, costs: tuple[float, float], n: np.ndarray | None = None) -> float:
+    """The middle of the widest range of logits with the least cost of (clean flagged, toxic missed). ``n``: texts of each entry, else one."""
+    n = np.ones(len(logits)) if n is None else n
+    z, which = np.unique(logits, return_inverse=True)
+    missed = np.concatenate([[0], np.cumsum(np.bincount(which, n * labels))])
+    clean = np.bincount(which, n * (1 - labels))
+    flagged = clean.sum() - np.concatenate([[0], np.cumsum(clean)])
     cost = costs[0] * flagged + costs[1] * missed
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     best = np.flatnonzero(cost <= cost.min() + 1e-9)
@@ -196,44 +211,183 @@ def best_cut(logits: np.ndarray, labels: np.ndarray, costs: tuple[float, float])
     return float((edges[widest] + edges[widest + 1]) / 2)
 
 
-def _calibrate(model: Model, ids: list[np.ndarray], labels: np.ndarray, languages: list[str | None]) -> None:
-    if len(set(labels.tolist())) < 2:
-        return
-    logits = np.array([model.logits(own, np.zeros(len(own), np.int64), 1)[0] for own in ids])
-    costs = (2.0, 1.0)  # a balanced sample holds too few clean rows: their errors weigh more
-    shift = best_cut(logits, labels, costs)
-    model.intercept -= shift
-    logits = logits - shift
-    spoken = np.array([x or "" for x in languages])
-    for language in np.unique(spoken):
-        own = spoken == language
-        if own.sum() >= MIN_FOR_LANGUAGE and len(set(labels[own].tolist())) == 2:
-            cut = best_cut(logits[own], labels[own], costs)
-            if abs(cut) > 1e-9 and (((logits[own] > 0) != labels[own]).sum() > ((logits[own] > cut) != labels[own]).sum()):
-                model.thresholds[str(language)] = float(1 / (1 + np.exp(-cut)))
+COSTS = (2.0, 1.0)  # a clean text that is flagged weighs more
+
 
+def language_cut(logits: np.ndarray, labels: np.ndarray, n: np.ndarray) -> float | None:
+    """A language's own cut, where it has rows enough of both classes and errs less by it than at 0."""
+    if n.sum() < MIN_FOR_LANGUAGE or not 0 < (n * labels).sum() < n.sum():
+        return None
+    cut = best_cut(logits, labels, COSTS, n)
+    wrong = [(n * ((logits > at) != labels)).sum() for at in (0, cut)]
+    return cut if abs(cut) > 1e-9 and wrong[0] > wrong[1] else None
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", language_col: str | None = "lang", held_out: int | None = 0, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """``text label lang`` of the labelled rows with the least id hashes, at most ``max_per_class`` of each class.
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", language_col: str | None = "lang", held_out: int | None = 0) -> DataFrame:
+    """``i text label lang`` of all labelled rows, one for each id.
 
     Ids whose crc32 modulo 5 is ``held_out`` take no part. Of several labels of an id the highest counts.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    language = F.col(language_col) if language_col and language_col in docs.columns else F.lit(None)
+    rows = docs
     if held_out is not None:
-        known = known.filter(id_mod(id_col, 5) != held_out)
+        known, rows = (x.filter(id_mod(id_col, 5) != held_out) for x in (known, rows))
     known = known.groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    least = [known.filter(F.col("label") == c).orderBy(F.xxhash64("i"), "i").limit(max_per_class) for c in (0, 1)]
-    chosen = F.broadcast(least[0].unionByName(least[1]))  # at most 2 * max_per_class rows
-    language = F.col(language_col) if language_col and language_col in docs.columns else F.lit(None)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), language.cast("string").alias("lang"))
+    rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), language.cast("string").alias("lang"))
+    own_hash = F.unhex(F.md5(F.col("i").cast("string"))).alias("h")
+    rows = likely(rows.select("*", own_hash), known.select(own_hash)).drop("h")  # most texts without a label stay out of the shuffle
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label", "lang")).alias("one")  # of an id's texts the same one each time
-    return rows.join(chosen, "i").groupBy("i").agg(one).orderBy("i").select("one.text", "one.label", "one.lang")
+    return rows.join(known, "i").groupBy("i").agg(one).select("i", "one.text", "one.label", "one.lang")
 
 
-def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:  # noqa: ANN003
-    rows = training_rows(docs, labels, **options).toArrow()
-    texts = [t or b"" for t in rows["text"].cast("binary").to_pylist()]
-    return train(texts, rows["label"].to_numpy().astype(np.int64), rows["lang"].to_pylist())
+CHUNK_DDL = "chunk long, part int, texts array<binary>, labels array<int>, langs array<string>, kept array<boolean>"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of rows that come sorted by chunk; one with too much text goes into several."""
+    number, part, held, size = None, 0, [], 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part], pa.int32()), *(pa.array([list(x)], pa.list_(kind)) for x, kind in zip(zip(*held, strict=True), (pa.binary(), pa.int32(), pa.string(), pa.bool_()), strict=True))], names=["chunk", "part", "texts", "labels", "langs", "kept"])
+
+    for batch, texts in text_slices(batches, "text"):
+        for chunk, *own in zip(batch.column("chunk").to_pylist(), texts, *(batch.column(c).to_pylist() for c in ("label", "lang", "kept")), strict=True):
+            if held and (chunk != number or size > CHUNK_BYTES):
+                yield row()
+                part, held, size = part + 1 if chunk == number else 0, [], 0
+            number = chunk
+            held.append(tuple(own))
+            size += len(own[0])
+    if held:
+        yield row()
+
+
+def _texts_of(batches: Iterator[pa.RecordBatch], kept: bool) -> Iterator[tuple[dict, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Each chunk with its texts' buckets, their labels and their places; those kept apart, or the others."""
+    for batch in batches:
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+            at = np.flatnonzero(np.array(row["kept"], bool) == kept)
+            if len(at):
+                words = Words([row["texts"][i].lower() for i in at.tolist()], ALNUM)
+                yield row, np.split(word_ids(words), np.searchsorted(words.doc, np.arange(1, len(at)))), np.array(row["labels"], np.int64)[at], at
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of either class a bucket occurs; bucket -1 stands for all texts."""
+    held, totals = np.zeros((2, 1 << BUCKETS_LOG2), np.int64), np.zeros(2, np.int64)
+    for _, ids, labels, _ in _texts_of(batches, False):
+        for own, label in zip(ids, labels.tolist(), strict=True):
+            held[label, np.unique(own)] += 1
+            totals[label] += 1
+    for label in (0, 1):
+        some = np.flatnonzero(held[label])
+        buckets, n = np.append(some, -1), np.append(held[label, some], totals[label])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label, np.int32)), pa.array(buckets.astype(np.int32)), pa.array(n)], names=["label", "bucket", "n"])
+
+
+def _changes(before: Model, after: Model, moved: np.ndarray, n_texts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """By block what changed, times its weight, and the weights. Block -1 is all but the embeddings."""
+    yield -1, ((_small(after) - _small(before)) * n_texts).astype(np.float32).tobytes(), np.full(1, n_texts, np.float32).tobytes()
+    change = ((after.embedding - before.embedding) * moved[:, None]).astype(np.float32)
+    for block in range(len(moved) // BLOCK):
+        own = slice(block * BLOCK, (block + 1) * BLOCK)
+        if moved[own].any():
+            yield block, change[own].tobytes(), moved[own].astype(np.float32).tobytes()
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows that come sorted by block, one block in memory at a time."""
+    block, sums = None, []
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=["block", "change", "weight"])
+
+    for batch in batches:
+        for own, *given in zip(*(batch.column(c).to_pylist() for c in ("block", "change", "weight")), strict=True):
+            values = [np.frombuffer(x, np.float32).astype(np.float64) for x in given]
+            if own != block and block is not None:
+                yield row()
+            sums = [a + b for a, b in zip(sums, values, strict=True)] if own == block else values
+            block = own
+    if block is not None:
+        yield row()
+
+
+def _round(model: Model, chunks: DataFrame, rates: list[float]) -> Model:
+    """``model`` after every chunk has gone on from it, with their changes averaged."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, ids, labels, _ in _texts_of(batches, False):
+            own = copy.deepcopy(shared.value)
+            moved = learn(own, ids, labels, rates, row["chunk"] * 1000 + row["part"])
+            for block, change, weight in _changes(shared.value, own, moved, len(labels)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([row["part"]], pa.int32()), pa.array([change], pa.binary()), pa.array([weight], pa.binary())], names=["block", "chunk", "part", "change", "weight"])
+
+    changes = chunks.mapInArrow(run, "block int, chunk long, part int, change binary, weight binary")
+    added = changes.repartition("block").sortWithinPartitions("block", "chunk", "part").mapInArrow(_added, "block int, change binary, weight binary")
+    out = copy.deepcopy(model)
+    for r in added.collect():  # one model in all
+        change, weight = np.frombuffer(r.change, np.float64), np.frombuffer(r.weight, np.float64)
+        if r.block < 0:
+            _with_small(out, _small(model) + change / weight)
+        else:
+            out.embedding[r.block * BLOCK : (r.block + 1) * BLOCK] += (change.reshape(BLOCK, DIM) / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    return out
+
+
+def _calibrated(model: Model, chunks: DataFrame) -> Model:
+    """``model`` with its output shifted, and languages' thresholds, as the texts kept apart ask for."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, ids, labels, at in _texts_of(batches, True):
+            logits = np.array([shared.value.logits(own, np.zeros(len(own), np.int64), 1)[0] for own in ids])
+            steps = np.clip(np.round(logits / LOGIT_STEP), -LOGIT_STEPS, LOGIT_STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([row["langs"][i] or "" for i in at.tolist()], pa.string()), pa.array(labels.astype(np.int32)), pa.array(steps)], names=["lang", "label", "step"])
+
+    counted = written(chunks.mapInArrow(run, "lang string, label int, step int").groupBy("lang", "label", "step").agg(F.count("*").alias("n")), "logits")
+    rows = counted.groupBy("label", "step").agg(F.sum("n").alias("n")).orderBy("step", "label").collect()  # two for a step, at most
+    step, label, n = (np.array([r[c] for r in rows], np.int64) for c in ("step", "label", "n"))
+    if len(set(label.tolist())) < 2:
+        return model
+    shift = best_cut(step * LOGIT_STEP, label, COSTS, n)
+
+    def cut_of(key: tuple, given: pa.Table) -> pa.Table:
+        step, label, n = (given[c].to_numpy() for c in ("step", "label", "n"))
+        cut = language_cut(step * LOGIT_STEP - shift, label, n)
+        return pa.table({"lang": [key[0].as_py()], "cut": pa.array([cut], pa.float64())})
+
+    out = copy.deepcopy(model)
+    out.intercept -= shift
+    for r in counted.groupBy("lang").applyInArrow(cut_of, "lang string, cut double").filter("cut is not null").collect():
+        out.thresholds[r.lang] = float(1 / (1 + np.exp(-r.cut)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 7, odds_start: float = 0.3, **options) -> Model:  # noqa: ANN003
+    """A model that has learned from every labelled row."""
+    known = training_rows(docs, labels, **options)
+    n_chunks = max(1, -(-labels.count() // CHUNK_ROWS))
+    dealt = known.withColumn("chunk", F.pmod(F.xxhash64("i"), F.lit(n_chunks))).withColumn("kept", F.pmod(F.xxhash64("i", F.lit(1)), F.lit(10)) == 0)
+    packed = dealt.repartition("chunk").sortWithinPartitions("chunk", "i").select("chunk", "text", "label", "lang", "kept")
+    chunks = written(packed.mapInArrow(_chunks, CHUNK_DDL), "labelled")
+    release(docs.sparkSession)
+    held, totals = np.zeros((2, 1 << BUCKETS_LOG2)), np.zeros(2)
+    for r in chunks.mapInArrow(_held, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # two a bucket, at most
+        if r["bucket"] < 0:
+            totals[r["label"]] = r["n"]
+        else:
+            held[r["label"], r["bucket"]] = r["n"]
+    model = first_model(held, totals, seed, odds_start)
+    if not totals.all():
+        return model
+    rates = RATE * (1 - np.arange(ROUNDS * EPOCHS) / (ROUNDS * EPOCHS))
+    for own in rates.reshape(ROUNDS, EPOCHS).tolist():
+        model = _round(model, chunks, own)
+        release(docs.sparkSession)
+    return _calibrated(model, chunks)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", language_col: str | None = "lang", prefix: str = "") -> DataFrame:

@@ -96,3 +96,24 @@ def test_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     empty = toxicity.fit(docs, labels.limit(0))
     assert all(r.score < 0.5 for r in toxicity.score(docs.filter(F.col("doc_id") < 5), empty).collect())
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Far more rows than a chunk holds: a word of few texts anywhere is counted, and chunks add up to one model."""
+    monkeypatch.setattr(toxicity, "CHUNK_ROWS", 500)
+    ids = spark.range(6000).withColumnRenamed("id", "doc_id")
+    toxic = F.col("doc_id") % 2 == 0
+    docs = ids.select("doc_id", F.concat(F.lit("some plain words w"), F.col("doc_id").cast("string"), F.when(toxic, " nasty").otherwise(" kind")).alias("text"), F.lit("en").alias("lang"))
+    labels = ids.select("doc_id", toxic.cast("int").alias("toxic"))
+    rows = toxicity.training_rows(docs, labels)
+    assert rows.count() == labels.filter(toxicity.id_mod("doc_id", 5) != 0).count() > 2 * 2000
+    model = toxicity.fit(docs, labels)
+    assert np.array_equal(model.embedding, toxicity.fit(docs.repartition(7), labels.repartition(3)).embedding)
+    wrong = toxicity.score(docs, model).filter((F.col("predicted") == 1) != toxic)
+    assert wrong.count() == 0
+
+
+def test_cut_of_equal_logits():
+    z, y, n = np.array([-1.0, 0.0, 0.0, 2.0]), np.array([0, 0, 1, 1]), np.array([50, 3, 4, 9])
+    assert toxicity.best_cut(z, y, (1.0, 1.0), n) == -0.5
+    assert toxicity.best_cut(np.repeat(z, n), np.repeat(y, n), (1.0, 1.0)) == -0.5

@@ -39,6 +39,8 @@ DIM, FILTERS, WIDTHS, POOL = 16, 8, (1, 2, 3), 3
 PREFIXES = (4, 5, 6, 7)
 #: Labelled rows in a chunk, about; one with more bytes of text is cut.
 CHUNK_ROWS, CHUNK_BYTES = 4096, 16 << 20
+#: Bytes of text that are split into words at once.
+SLICE_BYTES = 1 << 19
 ROUNDS, EPOCHS, BATCH, RATE = 2, 2, 64, 0.02
 #: Buckets in a block of the embeddings, where models are added up.
 BLOCK = 512
@@ -264,13 +266,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch], kept: bool) -> Iterator[tuple[dict, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Each chunk with its texts' buckets, their labels and their places; those kept apart, or the others."""
+    """Each chunk with its texts' buckets, their labels and their places; those kept apart, or the others.
+
+    Texts are split into words a slice at a time, and 10 bytes a word stay of them.
+    """
     for batch in batches:
-        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in ("chunk", "part", "labels", "langs", "kept")}
             at = np.flatnonzero(np.array(row["kept"], bool) == kept)
             if len(at):
-                words = Words([row["texts"][i].lower() for i in at.tolist()], ALNUM)
-                yield row, np.split(word_ids(words), np.searchsorted(words.doc, np.arange(1, len(at)))), np.array(row["labels"], np.int64)[at], at
+                own, ids = pa.record_batch({"text": batch.column("texts")[i].values.take(pa.array(at))}), []
+                for _, texts in text_slices(iter([own]), "text", SLICE_BYTES):
+                    words = Words([t.lower() for t in texts], ALNUM)
+                    ids += np.split(word_ids(words).astype(np.uint16), np.searchsorted(words.doc, np.arange(1, len(texts))))
+                yield row, ids, np.array(row["labels"], np.int64)[at], at
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +411,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", language_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, texts in text_slices(batches, text_col, 1 << 19):
+        for batch, texts in text_slices(batches, text_col, SLICE_BYTES):
             scores = model.scores(texts)
             spoken = batch.column(language_col).to_pylist() if language_col in batch.schema.names else [None] * len(texts)
             cuts = np.array([model.thresholds.get(x or "", 0.5) for x in spoken])

@@ -2,14 +2,16 @@
 
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tallgrass.llm")
 
-from tallgrass.llm import toxicity  # noqa: E402
+from tallgrass.llm import toxicity, words  # noqa: E402
 from tallgrass.llm.words import ALNUM, Words  # noqa: E402
 
 
@@ -113,6 +115,24 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
     assert wrong.count() == 0
 
 
+def test_memory_of_a_chunk():
+    """Splitting a whole chunk's texts at once took over 40 bytes for each of theirs, and tables as long as the chunk stayed."""
+    texts = [b"some words of text number %d " % i * 100 for i in range(2000)]
+    n = len(texts)
+    row = [[0], [0], [texts], [[0, 1] * (n // 2)], [["en"] * n], [[i % 10 == 0 for i in range(n)]]]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.bool_())]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "part", "texts", "labels", "langs", "kept"])
+    want = [toxicity.word_ids(Words([texts[i].lower()], ALNUM)) for i in range(0, n, 10)]
+    words._POWERS.clear()
+    tracemalloc.start()
+    _, ids, labels, at = next(toxicity._texts_of(iter([batch]), False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == len(labels) == len(at) == n - n // 10 and peak < 10 * sum(map(len, texts))
+    _, ids, _, at = next(toxicity._texts_of(iter([batch]), True))
+    assert at.tolist() == list(range(0, n, 10)) and all(np.array_equal(a, b) for a, b in zip(ids, want, strict=True))
+
+
 def test_cut_of_equal_logits():
     z, y, n = np.array([-1.0, 0.0, 0.0, 2.0]), np.array([0, 0, 1, 1]), np.array([50, 3, 4, 9])
     assert toxicity.best_cut(z, y, (1.0, 1.0), n) == -0.5

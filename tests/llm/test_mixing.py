@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,3 +242,28 @@ def test_weights_without_scoring():
         for own, _ in mixings(texts, train):
             own.known(weights, scoring=scoring)
     assert np.array_equal(one, other) and not np.array_equal(one, mixing.first_weights())
+
+
+def test_tokens_alike_are_scored_once(monkeypatch):
+    texts = ["a b c a b d"] * 200 + ["a b c x"] * 10
+    sizes = []
+    plain = mixing.Mixing._score_bit
+    monkeypatch.setattr(mixing.Mixing, "_score_bit", lambda self, level, weights, given, *rest: sizes.append(len(given[0])) or plain(self, level, weights, given, *rest))
+    [(own, _)] = mixings(texts, [i % 5 > 0 for i in range(len(texts))])
+    own.known(mixing.first_weights(), learning=False)
+    assert max(sizes) <= 2 * 9  # different tokens after different ones, in training or not
+
+
+def test_shuffle_files_go_with_the_query(spark):
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(f.getName().startswith("shuffle_") for f in map(manager.getAllFiles().apply, range(manager.getAllFiles().size())))
+
+    rows = spark.range(1000).repartition(3, "id")
+    before = files()
+    folder = mixing.stored(rows, "test")
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and folder.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -140,10 +140,14 @@ def link_count(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(id_col, count(r"<a ").alias("n_links"), count(r"<li>").alias("n_items"), count(r"<p>").alias("n_paragraphs"))
 
 
+def filled_places(state: Column) -> Column:
+    """The places of a JSON object that hold cards, as a map; null if it is no such object."""
+    return F.map_filter(F.from_json(state, "map<string,array<string>>"), lambda _, v: F.size(v) > 0)
+
+
 def matching_state(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Places and their cards out of a JSON object; empty places are left out."""
-    state = F.from_json(F.col(json_col), "map<string,array<string>>")
-    return rows.select(id_col, F.explode(F.map_filter(state, lambda _, v: F.size(v) > 0)).alias("place", "cards"))
+    return rows.select(id_col, F.explode(filled_places(F.col(json_col))).alias("place", "cards"))
 
 
 def grid_words(cells: DataFrame) -> DataFrame:

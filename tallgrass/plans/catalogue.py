@@ -563,7 +563,9 @@ def harvested_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         <label for="k">Kind of %s</label><select id="k"><option>none<option selected>%s</select><p>Sizes</p><input type=text value=" %s"><input type=text value=""></div></div>""",
         *[F.col(c).cast("string") for c in ("p_partkey", "p_name", "p_brand", "p_name", "p_type", "p_size")],
     )
-    found = harvest.harvest_records(read(spark, sf_dir, "part").select("p_partkey", form.alias("html")), "p_partkey", "html")
+    # Few bytes a part but a page of work, so tasks are not left to the size of the file: parts are dealt out before their forms are made.
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = harvest.harvest_records(parts.select("p_partkey", form.alias("html")), "p_partkey", "html")
     return found.select(F.col("page").alias("p_partkey"), "problem_id", "question", "answer")
 
 

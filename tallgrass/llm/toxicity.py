@@ -42,11 +42,15 @@ CHUNK_ROWS, CHUNK_BYTES = 4096, 16 << 20
 #: Bytes of text that are split into words at once.
 SLICE_BYTES = 1 << 19
 ROUNDS, EPOCHS, BATCH, RATE = 2, 2, 64, 0.02
+#: Batches in a round at least: few rows are gone over more often.
+MIN_BATCHES = 16
 #: Buckets in a block of the embeddings, where models are added up.
 BLOCK = 512
 #: Logits are counted to a step of this, up to so many steps from 0.
 LOGIT_STEP, LOGIT_STEPS = 1 / 64, 1 << 12
 MIN_FOR_LANGUAGE = 40
+#: Rows kept apart without which the output stays as it was learned: a few texts say little about where to cut.
+MIN_FOR_CUT = 20
 
 
 def word_ids(words: Words) -> np.ndarray:
@@ -359,7 +363,7 @@ def _calibrated(model: Model, chunks: DataFrame) -> Model:
     counted = written(chunks.mapInArrow(run, "lang string, label int, step int").groupBy("lang", "label", "step").agg(F.count("*").alias("n")), "logits")
     rows = counted.groupBy("label", "step").agg(F.sum("n").alias("n")).orderBy("step", "label").collect()  # two for a step, at most
     step, label, n = (np.array([r[c] for r in rows], np.int64) for c in ("step", "label", "n"))
-    if len(set(label.tolist())) < 2:
+    if len(set(label.tolist())) < 2 or n.sum() < MIN_FOR_CUT:
         return model
     shift = best_cut(step * LOGIT_STEP, label, COSTS, n)
 
@@ -392,8 +396,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7, odds_start: float = 0
     model = first_model(held, totals, seed, odds_start)
     if not totals.all():
         return model
-    rates = RATE * (1 - np.arange(ROUNDS * EPOCHS) / (ROUNDS * EPOCHS))
-    for own in rates.reshape(ROUNDS, EPOCHS).tolist():
+    epochs = max(EPOCHS, -(-MIN_BATCHES // -(-int(totals.sum()) // (n_chunks * BATCH))))
+    rates = RATE * (1 - np.arange(ROUNDS * epochs) / (ROUNDS * epochs))
+    for own in rates.reshape(ROUNDS, epochs).tolist():
         model = _round(model, chunks, own)
         release(docs.sparkSession)
     return _calibrated(model, chunks)
